@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandloom.llm._shared import table
 
@@ -182,7 +182,11 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(mask, schema)
 
 
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+
 def query_op1(spark, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    counts = [count_of(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return out.select("doc_id", *counts, "base_sha256", "spans")

@@ -32,7 +32,7 @@ from strandloom.llm._shared import keyed_text
 from strandloom.llm._sketch import CountMin
 
 U = np.uint64
-_RUN = "doc_id long, text_key long, first long, many int, anchor long, content long, busy boolean, payload binary"
+_RUN = "doc_id long, text_key long, first long, many int, anchor long, content long, payload binary"
 _HIT = "anchor long, content long, lo int, hi int"
 
 
@@ -75,8 +75,9 @@ class Repeats:
             if (found := self.runs(symbols, bounds)) is not None:
                 yield found["anchor"]
 
-    def scan(self, sent, payload: bool) -> Callable:
-        """A mapInArrow function: the runs whose anchor is estimated to occur more than once."""
+    def scan(self, sent, payload: bool, busy: bool | None = None) -> Callable:
+        """A mapInArrow function: the runs whose anchor is estimated to occur more than once; only frequent or only
+        infrequent anchors if ``busy`` is given."""
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = self.sketch.load(sent)
@@ -87,7 +88,7 @@ class Repeats:
                     if found is None:
                         continue
                     estimate = self.sketch.estimate(counts, found["anchor"])
-                    keep = np.flatnonzero(estimate >= 2)
+                    keep = np.flatnonzero(estimate >= 2 if busy is None else (estimate >= self.busy_from) if busy else (estimate >= 2) & (estimate < self.busy_from))
                     if not len(keep):
                         continue
                     first, many = found["first"][keep], found["many"][keep]
@@ -100,10 +101,9 @@ class Repeats:
                             pa.array(many, pa.int32()),
                             pa.array(found["anchor"][keep].view(np.int64)),
                             pa.array(found["content"][keep].view(np.int64)),
-                            pa.array(estimate[keep] >= self.busy_from),
                             self.payloads(symbols, data, first, many) if payload else pa.nulls(len(keep), pa.binary()),
                         ],
-                        names=["doc_id", "text_key", "first", "many", "anchor", "content", "busy", "payload"],
+                        names=["doc_id", "text_key", "first", "many", "anchor", "content", "payload"],
                     )
 
         return go
@@ -199,18 +199,19 @@ class Repeats:
     def spans(self, texts: DataFrame) -> DataFrame:
         """(doc_id, text_key, spans): per text the covered [start, end) stretches, in units, flat and sorted by start."""
         sent = self.sketch.build(texts.select("text"), self.anchors)
-        runs = texts.mapInArrow(self.scan(sent, True), _RUN)
-        distinct = runs.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("copies"), F.max("many").alias("many"), F.first("busy").alias("busy"), F.first("payload").alias("payload")
-        )
+
+        def distinct(busy: bool) -> DataFrame:
+            runs = texts.mapInArrow(self.scan(sent, True, busy), _RUN)
+            return runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.max("many").alias("many"), F.first("payload").alias("payload"))
+
         calm = (
-            distinct.where("not busy")
+            distinct(False)
             .repartition("anchor")
             .sortWithinPartitions("anchor")
             .select("anchor", "content", "copies", "many", "payload")
             .mapInArrow(self.compare, _HIT)
         )
-        windows = distinct.where("busy").select("anchor", "content", "copies", "payload").mapInArrow(self.spread, "anchor long, content long, lo int, window long, copies long")
+        windows = distinct(True).select("anchor", "content", "copies", "payload").mapInArrow(self.spread, "anchor long, content long, lo int, window long, copies long")
         often = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("total")).where("total > 1").select("anchor", "window")
         busy = windows.join(often, ["anchor", "window"]).select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi"))
         hits = calm.unionByName(busy)

@@ -159,8 +159,12 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+
 def query_op5(spark, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("found", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    counts = [count_of(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return out.select("doc_id", *counts, F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("found")).alias("spans"))

@@ -130,8 +130,8 @@ def query_op9(spark, sf_dir: str) -> DataFrame:
 
 
 SQL_OP9 = """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT vec_id, [floor(x::DOUBLE * 256)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM e q, e c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """

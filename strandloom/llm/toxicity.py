@@ -1,32 +1,31 @@
 """Operator 2: graded toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(severity <= k) = sigmoid(threshold_k - x.w): one weight vector shared by all ordered thresholds. Features are a text's
-distinct lower-case words and their first four and five letters, hashed to 2^20 places; a proximal step keeps most weights at
-zero. The model is fitted on a bounded sample of labelled rows (``max_per_class`` of each label, chosen by a hash of the id);
+distinct lower-case words and their first four and five letters, hashed to 63 bits; places that do not
+tell the classes apart are left out. The model is fitted on a bounded sample of labelled rows (``max_per_class`` of each label, chosen by a hash of the id);
 its weights, at most 2^20, are broadcast and every text is scored whole.
 
-The label table says toxic or not. Severity grades for toxic rows come from the sample: the share of a text's words that
-only toxic rows use decides between grade 1 (up to the median share) and grade 2 (above it). ``fit`` itself takes any grades.
+The label table says toxic or not. Severity grades for toxic rows come from the sample: the number of features that
+only toxic rows have decides between grade 1 (up to the median) and grade 2 (above it). ``fit`` itself takes any grades.
 
 Cases: null or empty text has no features; labels without a text or with a null label are left out of the sample; without
-rows of both classes nothing is rejected; repeated rows are scored each; an empty table gives an empty result; other columns
+rows of both classes, or without a telling feature, nothing is rejected; repeated rows are scored each; an empty table gives an empty result; other columns
 pass through ``drop_toxic`` and are ignored by ``score_toxicity``.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from strandloom.llm._shared import table
 
-_PLACES = 1 << 20
 #: Letters, digits and bytes above 127 stay; all else parts words.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -35,10 +34,14 @@ def _distinct_words(text: str | None) -> set[bytes]:
     return set(text.lower().encode().translate(_FOLD).split()) if text else set()
 
 
+def _place(feature: bytes) -> int:
+    return xxhash.xxh64_intdigest(feature) >> 1
+
+
 def _places(word: bytes) -> list[int]:
-    out = [zlib.crc32(word) % _PLACES]
+    out = [_place(word)]
     if len(word) > 4:
-        out += [zlib.crc32(b"^4" + word[:4]) % _PLACES, zlib.crc32(b"^5" + word[:5]) % _PLACES]
+        out += [_place(b"^4" + word[:4]), _place(b"^5" + word[:5])]
     return out
 
 
@@ -57,45 +60,64 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, l1: float = 2e-4, steps: int = 200, rate: float = 0.3, least_rows: int = 3) -> Model:
-    """Proximal adaptive gradient on the mean negative log-likelihood of the cumulative-link model plus ``l1`` * |w|."""
+def telling(rows: list[np.ndarray], positive: np.ndarray, least_rows: int = 5, least_share: float = 0.02, least_z: float = 6.0) -> np.ndarray:
+    """The places that ``least_rows`` rows and ``least_share`` of the positive or of the other rows hold, and whose share
+    of positive rows is ``least_z`` standard errors above that of the others."""
+    n = [max(1, int((~positive).sum())), max(1, int(positive.sum()))]
+    sizes = np.array([len(np.unique(r)) for r in rows])
+    names, inverse = np.unique(np.concatenate([np.unique(r) for r in rows]), return_inverse=True)
+    held = [np.bincount(inverse[np.repeat(positive == c, sizes)], minlength=len(names)) for c in (False, True)]
+    both = (held[0] + held[1]) / (n[0] + n[1])
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    common = (held[0] + held[1] >= least_rows) & ((held[0] >= least_share * n[0]) | (held[1] >= least_share * n[1]))
+    return names[common & (held[1] / n[1] - held[0] / n[0] >= least_z * error)]
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 1e-3, l1: float = 1e-3, steps: int = 300, balance: bool = True) -> Model:
+    """Adaptive gradient on the mean negative log-likelihood of the cumulative-link model (classes weigh alike if
+    ``balance``) plus l2/2 * w^2 + l1 * |w|, over the places that tell grade 0 from the rest."""
     top = int(grades.max(initial=0))
     if len(rows) == 0 or len(set(grades.tolist())) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(max(1, top), 1e9))
+    places = telling(rows, grades > 0)
+    n, d = len(rows), len(places)
+    if not d:
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(top, 1e9))
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    places, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = counts >= least_rows
-    renamed = np.cumsum(keep) - 1
-    row = np.repeat(np.arange(len(rows)), sizes)[keep[inverse]]
-    col = renamed[inverse[keep[inverse]]]
-    n, d = len(rows), int(keep.sum())
-    w, grown = np.zeros(d), np.full(d, 1e-8)
-    share = np.array([(grades <= k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
-    theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(top))
-    theta_grown = np.full(top, 1e-8)
-    # each class weighs the same
-    weight = (n / (len(set(grades.tolist())) * np.bincount(grades, minlength=top + 1)[grades])) / n
-    for _ in range(steps):
-        score = np.bincount(row, w[col], n) if d else np.zeros(n)
-        below = _sigmoid(np.concatenate([theta[grades.clip(max=top - 1)]]) - score)
+    at = np.searchsorted(places, flat).clip(max=d - 1)
+    keep = places[at] == flat
+    row, col = np.repeat(np.arange(n), sizes)[keep], at[keep]
+    weight = np.full(n, 1 / n) if not balance else 1 / (len(set(grades.tolist())) * np.bincount(grades, minlength=top + 1)[grades])
+
+    def slopes(w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = np.bincount(row, w[col], n)
+        below = _sigmoid(theta[grades.clip(max=top - 1)] - score)
         below[grades == top] = 1.0
         under = _sigmoid(theta[(grades - 1).clip(min=0)] - score)
         under[grades == 0] = 0.0
         inside = np.maximum(below - under, 1e-12)
-        g_score = -weight * (below + under - 1)
-        g = np.bincount(col, g_score[row], d)
         g_theta = np.zeros(top)
-        np.add.at(g_theta, grades[grades < top], -(weight * below * (1 - below) / inside)[grades < top])
-        np.add.at(g_theta, grades[grades > 0] - 1, (weight * under * (1 - under) / inside)[grades > 0])
-        grown += g * g
-        step = rate / np.sqrt(grown)
-        w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        theta_grown += g_theta * g_theta
-        theta = np.maximum.accumulate(theta - rate / np.sqrt(theta_grown) * g_theta + 1e-9 * np.arange(top))
+        low, high = grades < top, grades > 0
+        np.add.at(g_theta, grades[low], -(weight * below * (1 - below) / inside)[low])
+        np.add.at(g_theta, grades[high] - 1, (weight * under * (1 - under) / inside)[high])
+        return np.bincount(col, (-weight * (below + under - 1))[row], d) + l2 * w, g_theta
+
+    # adaptive moments over weights and thresholds together; the rate falls to a tenth
+    x = np.concatenate([np.zeros(d), np.linspace(0.0, 1.0, top)])
+    first, second = np.zeros(d + top), np.zeros(d + top)
+    for i in range(1, steps + 1):
+        g = np.concatenate(slopes(x[:d], x[d:]))
+        g[:d] += l1
+        first += 0.1 * (g - first)
+        second += 0.01 * (g * g - second)
+        rate = 0.05 * 0.1 ** (i / steps)
+        x = x - rate * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
+        x[:d] = np.maximum(x[:d], 0)  # evidence of severity only adds up
+        x[d:] = np.maximum.accumulate(x[d:] + 1e-6 * np.arange(top))
+    w, theta = x[:d], x[d:]
     used = np.flatnonzero(w)
-    return Model(places[keep][used], w[used], theta)
+    return Model(places[used], w[used], theta)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -111,21 +133,27 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000,
         for batch in batches:
             get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             words = [sorted(_distinct_words(t.as_py())) for t in get("s_text")]
-            plain = [np.array([zlib.crc32(w) % _PLACES for w in x], "<i4").tobytes() for x in words]
-            every = [np.array([p for w in x for p in _places(w)], "<i4").tobytes() for x in words]
-            yield pa.RecordBatch.from_arrays([get("s_id"), get("s_label"), pa.array(plain, pa.binary()), pa.array(every, pa.binary())], names=["s_id", "s_label", "plain", "every"])
+            every = [np.array([p for w in x for p in _places(w)], "<i8").tobytes() for x in words]
+            yield pa.RecordBatch.from_arrays([get("s_id"), get("s_label"), pa.array(every, pa.binary())], names=["s_id", "s_label", "every"])
 
-    got = {r["s_id"]: r for r in joined.select("s_id", "s_label", "s_text").mapInArrow(features, "s_id long, s_label int, plain binary, every binary").toLocalIterator()}
+    got = {r["s_id"]: r for r in joined.select("s_id", "s_label", "s_text").mapInArrow(features, "s_id long, s_label int, every binary").toLocalIterator()}
     rows = [got[i] for i in sorted(got)]
     toxic = np.array([r["s_label"] for r in rows], np.int64)
-    plain = [np.frombuffer(r["plain"], "<i4") for r in rows]
+    every = [np.frombuffer(r["every"], "<i8") for r in rows]
     if not len(rows) or not 0 < toxic.sum() < len(rows):
         return fit([], np.zeros(0, np.int64))
-    held = [np.bincount(np.concatenate([p for p, y in zip(plain, toxic, strict=True) if y == c]), minlength=_PLACES) for c in (0, 1)]
-    marked = (held[1] >= 3) & (held[0] == 0)
-    share = np.array([marked[p].mean() if len(p) else 0.0 for p in plain])
-    grades = np.where(toxic == 0, 0, np.where(share > np.median(share[toxic == 1]), 2, 1))
-    return fit([np.frombuffer(r["every"], "<i4") for r in rows], grades)
+    return fit(every, severity(every, toxic))
+
+
+def severity(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Grades of a sample: 0 for clean rows; toxic rows by how many of their features three or more toxic rows and no clean
+    row hold: 1 up to the median of toxic rows, 2 above it."""
+    sizes = np.array([len(r) for r in rows])
+    names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    y = np.repeat(toxic == 1, sizes)
+    marked = (np.bincount(inverse[y], minlength=len(names)) >= 3) & (np.bincount(inverse[~y], minlength=len(names)) == 0)
+    many = np.bincount(np.repeat(np.arange(len(rows)), sizes), marked[inverse], len(rows))
+    return np.where(toxic == 0, 0, np.where(many > np.median(many[toxic == 1]), 2, 1))
 
 
 class Scorer:

@@ -12,7 +12,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _LOW_BITS = 24
 #: Texts are hashed in slices of about this many bytes, so that a task's memory does not follow the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def words(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: np.
     """
     parts, at, n = [], 0, len(data)
     while at < n:
-        to = min(n, at + 2 * SLICE_BYTES)
+        to = min(n, at + 4 * SLICE_BYTES)
         if to < n:
             cut = np.flatnonzero(separator[data[at:to]])
             if len(cut):

@@ -103,6 +103,7 @@ class CountMin:
             got = np.zeros(self.depth << self.bits, self.kind)
             for b, cells in sent.value.items():
                 _add(got[b * self.block : (b + 1) * self.block], cells, self.kind)
-            _LOADED.clear()
+            if len(_LOADED) > 1:
+                _LOADED.clear()
             _LOADED[sent.id if hasattr(sent, "id") else id(sent)] = got
         return got

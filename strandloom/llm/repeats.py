@@ -9,9 +9,11 @@ document or another, judged on the input. What they share:
 * A pass over the corpus counts anchors in sketches of fixed size that the partitions fill and a shuffle merges.
 * A second pass sends on only runs whose anchor is estimated to occur twice or more. An estimate is never too low, so
   no repeated window is lost; a run sent for nothing finds no partner.
-* Runs of equal content are folded first (map-side), so thousands of copies become one row with a count. What is left
-  of an anchor is compared window by window: inside one group while the group is small, through a shuffle on the
-  window's own key where the anchor is frequent, so that no frequent passage lands in one task.
+* Runs of equal content are folded into one row with a count (map-side first); all windows of a run with an equal are
+  repeated. Only anchors with several contents need a comparison window by window: a sketch of the contents tells
+  which, and the runs of those anchors alone are sent again with what their windows are compared by. They meet inside one
+  group while an anchor has few contents, and through a shuffle on the window's own key where it has many, so that
+  no frequent passage lands in one task.
 
 Cases: a null text is empty; an empty text or one shorter than the window keeps everything; repeated rows (same id and
 text) are further occurrences of their windows; rows that share an id but not a text are told apart; an empty table gives
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandloom.llm import _kernels as k
-from strandloom.llm._shared import keyed_text
+from strandloom.llm._shared import keyed_text, settled
 from strandloom.llm._sketch import CountMin
 
 U = np.uint64
@@ -39,12 +41,14 @@ _HIT = "anchor long, content long, lo int, hi int"
 @dataclass(frozen=True)
 class Repeats:
     """Finds repeated windows. ``unit`` is ``word`` or ``byte``; ``gram`` is the anchor's length in units;
-    ``busy_from`` is the estimated count from which an anchor's windows are compared through a shuffle of their own."""
+    ``busy_from`` is the estimated number of contents
+    from which an anchor's windows are compared through a shuffle of their own."""
 
     unit: str
     width: int
     gram: int
     sketch: CountMin
+    contents: CountMin
     busy_from: int = 100
 
     def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
@@ -75,20 +79,33 @@ class Repeats:
             if (found := self.runs(symbols, bounds)) is not None:
                 yield found["anchor"]
 
-    def scan(self, sent, payload: bool, busy: bool | None = None) -> Callable:
-        """A mapInArrow function: the runs whose anchor is estimated to occur more than once; only frequent or only
-        infrequent anchors if ``busy`` is given."""
+    def scan(self, sent, mixed=None, busy: bool = False) -> Callable:
+        """A mapInArrow function: the runs whose anchor is estimated to occur more than once.
+
+        With ``mixed``, the sketch of contents: once a partition, the distinct runs, with payload, of anchors estimated to
+        have several contents, many if ``busy``, else few."""
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = self.sketch.load(sent)
+            others = self.contents.load(mixed) if mixed is not None else None
+            seen: set[int] = set()
             for batch in batches:
                 ids, keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
                 for row, symbols, bounds, before, data in self.slices(batch):
                     found = self.runs(symbols, bounds)
                     if found is None:
                         continue
-                    estimate = self.sketch.estimate(counts, found["anchor"])
-                    keep = np.flatnonzero(estimate >= 2 if busy is None else (estimate >= self.busy_from) if busy else (estimate >= 2) & (estimate < self.busy_from))
+                    keep = np.flatnonzero(self.sketch.estimate(counts, found["anchor"]) >= 2)
+                    if others is not None and len(keep):
+                        several = self.contents.estimate(others, found["anchor"][keep])
+                        keep = keep[several >= self.busy_from if busy else (several >= 2) & (several < self.busy_from)]
+                        both = (found["anchor"][keep] ^ k.mix(found["content"][keep])).tolist()
+                        fresh = []
+                        for i, key in enumerate(both):
+                            if key not in seen:
+                                seen.add(key)
+                                fresh.append(i)
+                        keep = keep[fresh]
                     if not len(keep):
                         continue
                     first, many = found["first"][keep], found["many"][keep]
@@ -101,7 +118,7 @@ class Repeats:
                             pa.array(many, pa.int32()),
                             pa.array(found["anchor"][keep].view(np.int64)),
                             pa.array(found["content"][keep].view(np.int64)),
-                            self.payloads(symbols, data, first, many) if payload else pa.nulls(len(keep), pa.binary()),
+                            self.payloads(symbols, data, first, many) if others is not None else pa.nulls(len(keep), pa.binary()),
                         ],
                         names=["doc_id", "text_key", "first", "many", "anchor", "content", "payload"],
                     )
@@ -133,42 +150,33 @@ class Repeats:
         return k.Rolling(k.mix(k.BYTE_CODES[raw] ^ U(0x5851F42D4C957F2D)), 1).windows(self.width)[starts], many
 
     def compare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """mapInArrow over distinct runs that stand sorted by anchor: the stretches of windows found more than once."""
+        """mapInArrow over runs sorted by anchor and content: the stretches of windows that two contents of an anchor share."""
         held: list[pa.RecordBatch] = []
 
         def finish(t: pa.Table) -> pa.RecordBatch | None:
-            t = t.combine_chunks()
-            if not t.num_rows:
-                return None
-            anchor = np.asarray(t.column("anchor")).astype(np.int64)
-            copies = np.asarray(t.column("copies")).astype(np.int64)
+            anchor, content = (np.asarray(t.column(c)).astype(np.int64) for c in ("anchor", "content"))
+            single = np.ones(len(anchor), bool)
+            single[1:] = (np.diff(anchor) != 0) | (np.diff(content) != 0)
             group = np.cumsum(np.append(0, (np.diff(anchor) != 0).astype(np.int64)))
-            sizes = np.bincount(group)
-            several = sizes[group] > 1
-            many = np.asarray(t.column("many")).astype(np.int64)
-            lo, hi, owner = [np.zeros(0, np.int64)], [many[:0]], [np.zeros(0, np.int64)]
-            alone = np.flatnonzero(copies > 1)  # every window of a run with equals is repeated
-            lo.append(np.zeros(len(alone), np.int64)), hi.append(many[alone]), owner.append(alone)
-            rest = np.flatnonzero(several)
-            if len(rest):
-                keys, sized = self.window_keys(t.column("payload").combine_chunks().take(pa.array(rest)))
-                run = np.repeat(rest, sized)
-                spot = np.arange(len(run)) - np.repeat(np.cumsum(sized) - sized, sized)
-                order = np.lexsort((keys, group[run]))
-                same = (np.diff(group[run][order]) == 0) & (np.diff(keys[order]) == 0)
-                twin = np.zeros(len(run), bool)
-                twin[order[1:]] |= same
-                twin[order[:-1]] |= same
-                hits = np.flatnonzero(twin & (copies[run] == 1))
-                if len(hits):
-                    fresh = np.append(True, (np.diff(run[hits]) != 0) | (np.diff(spot[hits]) != 1))
-                    begin = np.flatnonzero(fresh)
-                    last = np.append(begin[1:], len(hits)) - 1
-                    lo.append(spot[hits[begin]]), hi.append(spot[hits[last]] + 1), owner.append(run[hits[begin]])
-            at = np.concatenate(owner)
+            rest = np.flatnonzero(single & (np.bincount(group[single])[group] > 1))
+            if not len(rest):
+                return None
+            keys, sized = self.window_keys(t.column("payload").combine_chunks().take(pa.array(rest)))
+            run = np.repeat(rest, sized)
+            spot = np.arange(len(run)) - np.repeat(np.cumsum(sized) - sized, sized)
+            order = np.lexsort((keys, group[run]))
+            same = (np.diff(group[run][order]) == 0) & (np.diff(keys[order]) == 0)
+            twin = np.zeros(len(run), bool)
+            twin[order[1:]] |= same
+            twin[order[:-1]] |= same
+            hits = np.flatnonzero(twin)
+            if not len(hits):
+                return None
+            begin = np.flatnonzero(np.append(True, (np.diff(run[hits]) != 0) | (np.diff(spot[hits]) != 1)))
+            last = np.append(begin[1:], len(hits)) - 1
+            at = run[hits[begin]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchor[at]), pa.array(np.asarray(t.column("content")).astype(np.int64)[at]), pa.array(np.concatenate(lo), pa.int32()), pa.array(np.concatenate(hi), pa.int32())],
-                names=["anchor", "content", "lo", "hi"],
+                [pa.array(anchor[at]), pa.array(content[at]), pa.array(spot[hits[begin]], pa.int32()), pa.array(spot[hits[last]] + 1, pa.int32())], names=["anchor", "content", "lo", "hi"]
             )
 
         for batch in batches:
@@ -192,30 +200,28 @@ class Repeats:
             at = pa.array(np.repeat(np.arange(batch.num_rows), many))
             spot = np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)
             yield pa.RecordBatch.from_arrays(
-                [get("anchor").take(at), get("content").take(at), pa.array(spot, pa.int32()), pa.array(keys.view(np.int64)), get("copies").take(at)],
-                names=["anchor", "content", "lo", "window", "copies"],
+                [get("anchor").take(at), get("content").take(at), pa.array(spot, pa.int32()), pa.array(keys.view(np.int64))],
+                names=["anchor", "content", "lo", "window"],
             )
 
     def spans(self, texts: DataFrame) -> DataFrame:
         """(doc_id, text_key, spans): per text the covered [start, end) stretches, in units, flat and sorted by start."""
         sent = self.sketch.build(texts.select("text"), self.anchors)
-
-        def distinct(busy: bool) -> DataFrame:
-            runs = texts.mapInArrow(self.scan(sent, True, busy), _RUN)
-            return runs.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.max("many").alias("many"), F.first("payload").alias("payload"))
-
+        places = texts.mapInArrow(self.scan(sent), _RUN).select("doc_id", "text_key", "first", "many", "anchor", "content")
+        folded = settled(places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.max("many").alias("many")), "folded")
+        whole = folded.where("copies > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("many").alias("hi"))
+        mixed = self.contents.build(folded.select("anchor"), lambda batch: iter([np.asarray(batch.column(0)).view(U)]))
         calm = (
-            distinct(False)
+            texts.mapInArrow(self.scan(sent, mixed), _RUN)
+            .select("anchor", "content", "payload")
             .repartition("anchor")
-            .sortWithinPartitions("anchor")
-            .select("anchor", "content", "copies", "many", "payload")
+            .sortWithinPartitions("anchor", "content")
             .mapInArrow(self.compare, _HIT)
         )
-        windows = distinct(True).select("anchor", "content", "copies", "payload").mapInArrow(self.spread, "anchor long, content long, lo int, window long, copies long")
-        often = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("total")).where("total > 1").select("anchor", "window")
-        busy = windows.join(often, ["anchor", "window"]).select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi"))
-        hits = calm.unionByName(busy)
-        places = texts.mapInArrow(self.scan(sent, False), _RUN).select("doc_id", "text_key", "first", "anchor", "content")
+        windows = texts.mapInArrow(self.scan(sent, mixed, busy=True), _RUN).select("anchor", "content", "payload").mapInArrow(self.spread, "anchor long, content long, lo int, window long")
+        often = windows.groupBy("anchor", "window").agg(F.min("content").alias("one"), F.max("content").alias("other")).where("one < other").select("anchor", "window")
+        busy = windows.join(often, ["anchor", "window"]).select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi")).distinct()
+        hits = whole.unionByName(calm).unionByName(busy)
         found = places.join(hits, ["anchor", "content"]).select(
             "doc_id", "text_key", F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") + (self.width - 1)).alias("end")).alias("span")
         )
@@ -257,11 +263,11 @@ def _batched(rows: Iterator[tuple], names: list[tuple[str, pa.DataType]], size:
 
 
 def repeated_word_windows(width: int = 35, gram: int = 5, sketch: CountMin | None = None, busy_from: int = 100) -> Repeats:
-    return Repeats("word", width, min(gram, width), sketch or CountMin(bits=25, depth=2), busy_from)
+    return Repeats("word", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2), busy_from)
 
 
-def repeated_byte_strings(width: int = 200, gram: int = 100, sketch: CountMin | None = None, busy_from: int = 100) -> Repeats:
-    return Repeats("byte", width, min(gram, width), sketch or CountMin(bits=25, depth=2), busy_from)
+def repeated_byte_strings(width: int = 200, gram: int = 80, sketch: CountMin | None = None, busy_from: int = 100) -> Repeats:
+    return Repeats("byte", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2), busy_from)
 
 
 def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Repeats | None = None) -> DataFrame:

@@ -21,11 +21,12 @@ def _rng(seed: int, *key: int) -> np.random.Generator:
 
 # -- set overlap -----------------------------------------------------------------------------------------------------
 def set_overlap(genes: DataFrame, sets: DataFrame, universe: DataFrame, min_k: int = 1) -> DataFrame:
-    """For each (library, category): genes hit (k), category size in the universe (K), sorted members; with n and N."""
+    """For each (library, category): genes hit (k), category size in the universe (set_size), sorted members; with the
+    numbers drawn and in the universe."""
     fg = genes.select("gene").distinct().join(universe.select("gene"), "gene", "left_semi").withColumn("_hit", F.lit(1))
     inside = sets.select("library", "category", "gene").distinct().join(universe.select("gene").distinct(), "gene", "left_semi")
-    out = inside.join(fg, "gene", "left").groupBy("library", "category").agg(F.sum(F.coalesce("_hit", F.lit(0))).alias("k"), F.count(F.lit(1)).alias("K"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_hit") == 1, F.col("gene")))), ";").alias("members"))
-    sizes = fg.agg(F.count(F.lit(1)).alias("n")).crossJoin(universe.select("gene").distinct().agg(F.count(F.lit(1)).alias("N")))  # one row
+    out = inside.join(fg, "gene", "left").groupBy("library", "category").agg(F.sum(F.coalesce("_hit", F.lit(0))).alias("k"), F.count(F.lit(1)).alias("set_size"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_hit") == 1, F.col("gene")))), ";").alias("members"))
+    sizes = fg.agg(F.count(F.lit(1)).alias("drawn")).crossJoin(universe.select("gene").distinct().agg(F.count(F.lit(1)).alias("universe")))  # one row
     return out.where(F.col("k") >= min_k).crossJoin(F.broadcast(sizes))
 
 
@@ -35,9 +36,10 @@ def hypergeom_p(k: pd.Series, N: pd.Series, K: pd.Series, n: pd.Series) -> pd.Se
 
 
 def hypergeom_enrichment(df: DataFrame) -> DataFrame:
-    """Add ``p`` = P(X >= k) and ``fold`` = (k / n) / (K / N). K = 0: p 1 and fold infinite."""
-    fold = F.when(F.col("K") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("k") * F.col("N"), F.col("n") * F.col("K")))
-    p = F.when(F.col("K") == 0, F.lit(1.0)).otherwise(hypergeom_p("k", "N", "K", "n"))
+    """Add ``p`` = P(X >= k) and ``fold`` = (k / drawn) / (set_size / universe). An empty set: p 1 and fold infinite."""
+    empty = F.col("set_size") == 0
+    fold = F.when(empty, F.lit(float("inf"))).otherwise(F.try_divide(F.col("k") * F.col("universe"), F.col("drawn") * F.col("set_size")))
+    p = F.when(empty, F.lit(1.0)).otherwise(hypergeom_p("k", "universe", "set_size", "drawn"))
     return df.withColumn("p", p).withColumn("fold", fold)
 
 
@@ -257,10 +259,10 @@ def tiebreak_enrichment(loci: DataFrame, sets: DataFrame, universe: DataFrame, r
     picks = loci.withColumn("resolution", F.explode(F.sequence(F.lit(0), F.lit(resolutions - 1)))).where(F.size("genes") > 0)
     picked = picks.select("resolution", F.element_at("genes", (F.pmod(F.xxhash64(F.lit(seed), "resolution", "locus"), F.size("genes")) + 1).cast("int")).alias("gene")).distinct()
     inside = sets.select("library", "category", "gene").distinct().join(universe.select("gene").distinct(), "gene", "left_semi")
-    sizes = inside.groupBy("library", "category").agg(F.count(F.lit(1)).alias("K"))
-    n = picked.join(universe.select("gene").distinct(), "gene", "left_semi").groupBy("resolution").agg(F.count(F.lit(1)).alias("n"))
+    sizes = inside.groupBy("library", "category").agg(F.count(F.lit(1)).alias("set_size"))
+    n = picked.join(universe.select("gene").distinct(), "gene", "left_semi").groupBy("resolution").agg(F.count(F.lit(1)).alias("drawn"))
     k = picked.join(inside, "gene").groupBy("resolution", "library", "category").agg(F.count(F.lit(1)).alias("k"))
-    total = universe.select("gene").distinct().agg(F.count(F.lit(1)).alias("N"))
+    total = universe.select("gene").distinct().agg(F.count(F.lit(1)).alias("universe"))
     tested = hypergeom_enrichment(k.join(n, "resolution").join(sizes, ["library", "category"]).crossJoin(F.broadcast(total)))
     adjusted = bh_adjust(tested, "p", ["resolution", "library"])
     out = adjusted.groupBy("library", "category").agg(

@@ -48,23 +48,18 @@ def nearest(a: DataFrame, b: DataFrame, ties: str = "all", max_distance: int | N
     return a.join(full, ["chrom", "start", "end"]).select(*a.columns, "b_start", "b_end", *[f"b_{c}" for c in others], "distance")
 
 
-def nearest_k(anchors: DataFrame, pool: DataFrame, k: str = "k", span: int = 1_000_000, key: str = "anchor") -> DataFrame:
-    """The ``k`` (a column of ``anchors``: key, chrom, pos, k) positions of ``pool`` closest to each anchor within ``span``,
-    widened by doubling until every anchor has enough or its chromosome is used up."""
-    limits = pool.groupBy("chrom").agg(F.count(F.lit(1)).alias("_all"), F.max("pos").alias("_top"))
-    todo, out, reach = anchors.join(limits, "chrom"), None, span
-    top = limits.agg(F.max("_top")).first()[0] or 0
-    while True:
-        spans = todo.select(key, "chrom", "pos", k, "_all", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + reach + 1).alias("end"))
-        near = _pairs(spans, pool.select("chrom", F.col("pos").alias("p")).withColumn("start", F.col("p")).withColumn("end", F.col("p") + 1), max(WIDTH, reach))
-        w = Window.partitionBy(key).orderBy(F.abs(F.col("b_p") - F.col("pos")), "b_p")
-        ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col(k)).select(key, "chrom", "pos", k, "_all", F.col("b_p").alias("near_pos"), F.abs(F.col("b_p") - F.col("pos")).alias("distance"), "rank")
-        enough = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(k).alias("_k"), F.first("_all").alias("_a")).where("_n >= least(_k, _a)").select(key)
-        done = ranked.join(enough, key, "left_semi").drop("_all")
-        out = done if out is None else out.unionByName(done)
-        if reach >= top:
-            return out
-        todo = todo.join(enough, key, "left_anti")
-        if not todo.take(1):
-            return out
-        reach *= 4
+def nearest_k(anchors: DataFrame, pool: DataFrame, k: str = "k", key: str = "anchor", block: int = BLOCK) -> DataFrame:
+    """The ``k`` positions of ``pool`` closest to each anchor (a column of ``anchors``: key, chrom, pos, k); fewer if the
+    chromosome holds fewer. Ties go to the lower position.
+
+    Pool positions are numbered along the chromosome; an anchor's neighbours are the k numbers on both sides of its own
+    place, so the join is on (chrom, number) and no window of positions has to be guessed or widened."""
+    numbered = running(pool.select("chrom", "pos"), ["chrom"], "pos", ["pos"], {"number": ("count", F.lit(1))}, block=block)
+    asks = anchors.select("chrom", "pos").distinct().select("chrom", "pos", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_one"))
+    both = asks.unionByName(pool.select("chrom", "pos", F.lit(0).alias("_kind"), F.lit(1).alias("_one")))
+    places = running(both, ["chrom"], "pos", ["pos", "_kind"], {"below": ("count", F.col("_one"))}, block=block).where("_kind = 1").select("chrom", "pos", F.coalesce("below", F.lit(0)).alias("below"))
+    near = anchors.join(places, ["chrom", "pos"]).withColumn("number", F.explode(F.sequence(F.col("below") - F.col(k) + 1, F.col("below") + F.col(k))))
+    hits = near.join(numbered.select("chrom", "number", F.col("pos").alias("near_pos")), ["chrom", "number"])
+    distance = F.abs(F.col("near_pos") - F.col("pos"))
+    w = Window.partitionBy(key).orderBy(distance, "near_pos")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col(k)).select(key, "chrom", "pos", k, "near_pos", distance.alias("distance"), "rank")

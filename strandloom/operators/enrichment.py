@@ -177,9 +177,9 @@ def sample_null_loci(loci: DataFrame, pool: DataFrame, n_rep: int, seed: int, to
     near = asks.join(binned.select("_b", "chrom", "pos", F.col("score").alias("s")), "_b").where(F.abs(F.col("s") - F.col("score")) <= tolerance).select("locus", "k", "score", "chrom", "pos", "s")
     lost = loci.join(near.select("locus").distinct(), "locus", "left_anti")
     if lost.take(1):
-        ranges = pool.agg(F.max("score").alias("hi"), F.min("score").alias("lo")).first()
-        reach = max(tolerance, float(ranges["hi"] or 0) - float(ranges["lo"] or 0))
-        wide = lost.withColumn("_b", F.explode(F.sequence(F.floor((F.col("score") - reach) / tolerance).cast("long"), F.floor((F.col("score") + reach) / tolerance).cast("long"))))
+        ends = pool.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+        spread = F.sequence(F.floor(F.col("lo") / tolerance).cast("long"), F.floor(F.col("hi") / tolerance).cast("long"))
+        wide = lost.crossJoin(F.broadcast(ends)).withColumn("_b", F.explode(spread))
         cand = wide.join(binned.select("_b", "chrom", "pos", F.col("score").alias("s")), "_b").select("locus", "k", "score", "chrom", "pos", "s")
         w = Window.partitionBy("locus").orderBy(F.abs(F.col("s") - F.col("score")), "chrom", "pos")
         near = near.unionByName(cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= fallback).drop("_n"))
@@ -196,22 +196,20 @@ def check_matching(loci: DataFrame, null: DataFrame, value: str = "score") -> Da
 
 
 def shuffle_intervals(df: DataFrame, sizes: DataFrame, replicates: int, seed: int, excluded: DataFrame | None = None, tries: int = 20) -> DataFrame:
-    """Every interval placed at a random start of its chromosome in every replicate, placements that meet ``excluded`` redrawn up
-    to ``tries`` times. The draw is a hash of seed, replicate, interval and try."""
+    """Every interval placed at a random start of its chromosome in every replicate, placements that meet ``excluded`` redrawn: of
+    ``tries`` placements the first that meets none counts. The draw is a hash of seed, replicate, interval and try."""
     from strandloom.operators.intervals import overlap_anti
 
-    keyed = df.join(F.broadcast(sizes.select("chrom", F.col("length").alias("_len"))), "chrom").withColumn("_size", F.col("end") - F.col("start"))
-    todo = keyed.where(F.col("_size") <= F.col("_len")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    out = None
-    for t in range(tries if excluded is not None else 1):
-        at = F.pmod(F.xxhash64(F.lit(seed), "replicate", F.lit(t), "chrom", "start", "end"), F.col("_len") - F.col("_size") + 1)
-        placed = todo.withColumn("src_start", F.col("start")).withColumn("start", at).withColumn("end", F.col("start") + F.col("_size"))
-        good = placed if excluded is None else overlap_anti(placed, excluded)
-        out = good if out is None else out.unionByName(good)
-        if excluded is None:
-            break
-        todo = todo.join(good.select("chrom", F.col("src_start").alias("start"), "_size", "replicate"), ["chrom", "start", "_size", "replicate"], "left_anti")
-    return out.drop("_len", "_size")
+    keyed = df.join(F.broadcast(sizes.select("chrom", F.col("length").alias("_len"))), "chrom").withColumn("_size", F.col("end") - F.col("start"))  # one row a chromosome
+    copies = Window.partitionBy("chrom", "start", "end").orderBy(*[c for c in df.columns if c not in ("chrom", "start", "end")] or ["_size"])
+    numbered = keyed.where(F.col("_size") <= F.col("_len")).withColumn("_copy", F.row_number().over(copies)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    each = numbered.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))) if excluded is not None else numbered.withColumn("_try", F.lit(0))
+    at = F.pmod(F.xxhash64(F.lit(seed), "replicate", "_try", "_copy", "chrom", "start", "end"), F.col("_len") - F.col("_size") + 1)
+    placed = each.withColumn("src_start", F.col("start")).withColumn("start", at).withColumn("end", F.col("start") + F.col("_size"))
+    if excluded is not None:
+        first = Window.partitionBy("chrom", "src_start", "_size", "_copy", "replicate").orderBy("_try")
+        placed = overlap_anti(placed, excluded).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return placed.drop("_len", "_size", "_copy", "_try")
 
 
 def shuffle_null(observed: float, fractions: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _BLOCK_BITS = 20
 _SCHEMA = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("cells", pa.binary())])
-_LOADED: dict[int, np.ndarray] = {}
+_LOADED: dict[str, np.ndarray] = {}
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -94,16 +95,17 @@ class CountMin:
         halves = parts.groupBy("block", "slice").applyInArrow(self._merge(True), schema)
         whole = halves.groupBy("block").applyInArrow(self._merge(False), schema)
         rows = whole.select("block", "cells").collect()  # at most self.blocks rows of self.block counters
-        return source.sparkSession.sparkContext.broadcast({r["block"]: bytes(r["cells"]) for r in rows})
+        return source.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, {r["block"]: bytes(r["cells"]) for r in rows}))
 
     def load(self, sent) -> np.ndarray:
-        """The broadcast sketch as an array; kept for the worker's next tasks."""
-        got = _LOADED.get(sent.id if hasattr(sent, "id") else id(sent))
+        """The broadcast sketch as an array, kept by its own name for the worker's next tasks; the oldest of three goes."""
+        name, blocks = sent.value
+        got = _LOADED.get(name)
         if got is None:
             got = np.zeros(self.depth << self.bits, self.kind)
-            for b, cells in sent.value.items():
+            for b, cells in blocks.items():
                 _add(got[b * self.block : (b + 1) * self.block], cells, self.kind)
             if len(_LOADED) > 1:
-                _LOADED.clear()
-            _LOADED[sent.id if hasattr(sent, "id") else id(sent)] = got
+                del _LOADED[next(iter(_LOADED))]
+            _LOADED[name] = got
         return got

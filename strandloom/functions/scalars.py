@@ -10,21 +10,36 @@ from pyspark.sql import Column, functions as F
 GENERATION_YEARS = 29
 BASE_RATE = 1.015e-7
 
-#: Effect terms in falling severity, with the category each stands for; the first contained term decides. Fixed values.
+#: Effect terms and the category each stands for; the first contained term of the ladder decides. Fixed values.
 EFFECTS = (
     ("stop_gained", "LOF"),
-    ("frameshift", "LOF"),
-    ("splice_acceptor", "LOF"),
-    ("splice_donor", "LOF"),
-    ("missense", "missense"),
-    ("synonymous", "synonymous"),
-    ("splice_region", "splice region"),
-    ("5_prime_UTR", "5' UTR"),
-    ("3_prime_UTR", "3' UTR"),
-    ("intron", "intron"),
-    ("upstream", "upstream"),
-    ("downstream", "downstream"),
-    ("intergenic", "intergenic"),
+    ("start_lost", "LOF"),
+    ("stop_lost", "LOF"),
+    ("missense_variant", "missense"),
+    ("stop_retained_variant", "synonymous"),
+    ("synonymous_variant", "synonymous"),
+    ("initiator_codon_variant", "missense"),
+    ("splice", "splice_region"),
+    ("upstream_gene_variant", "upstream_gene"),
+    ("downstream_gene_variant", "downstream_gene"),
+    ("5_prime_UTR", "5_prime_UTR"),
+    ("3_prime_UTR", "3_prime_UTR"),
+    ("non_coding_transcript_exon_variant", "non_coding_transcript_exon"),
+    ("intron_variant", "intron"),
+    ("intergenic_region", "intergenic"),
+    ("intragenic", "intragenic"),
+)
+
+#: Categories from the least to the greatest consequence; one that is not listed ranks below all. Fixed values.
+SEVERITY = (
+    "intergenic", "intron", "intragenic", "non_coding_transcript_exon",
+    "synonymous", "3_prime_UTR", "5_prime_UTR", "downstream_gene", "upstream_gene", "splice_region", "missense", "LOF",
+)
+
+#: Bracketed notes that name the study and not the trait. Fixed values.
+TRAIT_NOTES = (
+    r"UKB data field[^)]*", r"PheCode[^)]*", "MTAG", "PGS-adjusted", "baseline", "2df test", "rank-based inverse normal transformation",
+    r"[A-Za-z0-9]{2,8},[^)]*(?:inv-norm|inverse normal)[^)]*", r"[^)]*inv-norm(?:al)? transformed", r"[A-Z][A-Za-z0-9]{1,6}",
 )
 
 
@@ -104,22 +119,15 @@ def effect_category(c: Column, ladder: Sequence[tuple[str, str]] = EFFECTS, othe
     return F.when(c.isNotNull(), out)
 
 
-def worst_effect(annotations: Column, lof: Column | None = None, ladder: Sequence[tuple[str, str]] = EFFECTS, other: str = "other") -> Column:
-    """The most severe category among comma-separated annotations; ``lof`` true overrides with LOF."""
-    rank = lambda text: _first_rank(text, ladder)
-    least = F.array_min(F.transform(F.split(annotations, ","), rank))
-    names = F.array(*[F.lit(category) for _, category in ladder], F.lit(other))
-    found = F.when(annotations.isNotNull(), F.element_at(names, least))
+def worst_effect(annotations: Column, lof: Column | None = None, ladder: Sequence[tuple[str, str]] = EFFECTS, severity: Sequence[str] = SEVERITY) -> Column:
+    """The category of greatest consequence among comma-separated annotations (of equals the first); ``lof`` true overrides."""
+    ranks = F.create_map(*[F.lit(x) for i, c in enumerate(severity) for x in (c, i)])
+    named = F.transform(F.split(annotations, ","), lambda a: effect_category(a, ladder))
+    ranked = F.transform(named, lambda c, i: F.struct(F.coalesce(F.try_element_at(ranks, c), F.lit(-1)).alias("rank"), (-i).alias("first"), c.alias("category")))
+    found = F.when(annotations.isNotNull(), F.array_max(ranked)["category"])
     return found if lof is None else F.when(lof, F.lit("LOF")).otherwise(found)
 
 
-def _first_rank(text: Column, ladder: Sequence[tuple[str, str]]) -> Column:
-    out = F.lit(len(ladder) + 1)
-    for i, (term, _) in reversed(list(enumerate(ladder, 1))):
-        out = F.when(F.contains(text, F.lit(term)), F.lit(i)).otherwise(out)
-    return out
-
-
 def derived_af(af: Column, aa: Column, alt: Column) -> Column:
     """Frequency of the derived allele: one minus AF where ALT is ancestral."""
     return F.when(aa == alt, 1 - af).otherwise(af)
@@ -131,10 +139,10 @@ def distinct_subfield(c: Column, index: int, outer: str = ";", inner: str = r"\|
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
 
 
-def normalise_trait(c: Column) -> Column:
-    """Lower-case trait without bracketed notes, dashes as spaces, white space squeezed."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(c), r"\([^)]*\)|\[[^\]]*\]", " "), "[-_]", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+def normalise_trait(c: Column, notes: Sequence[str] = TRAIT_NOTES) -> Column:
+    """A trait's name without notes about its study, white space squeezed and closing marks trimmed."""
+    plain = F.regexp_replace(c, r"(?i)\s*\((?:" + "|".join(notes) + r")\)", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"\s{2,}", " "), r"^[ ,;]+|[ ,;]+$", "")
 
 
 def format_top(values: Column, k: int = 2, sep: str = "; ") -> Column:

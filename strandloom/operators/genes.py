@@ -120,7 +120,7 @@ def region_summary(snps: DataFrame, traits: DataFrame | None = None, by: str = "
     if traits is None:
         return out
     counts = traits.groupBy(by, "trait").agg(F.count(F.lit(1)).alias("n"))
-    ranked = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("trait").alias("t")))), lambda x: x["t"])
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.lower("trait").alias("l"), F.col("trait").alias("t")))), lambda x: x["t"])
     return out.join(counts.groupBy(by).agg(format_top(ranked, k).alias("traits")), by, "left")
 
 

@@ -9,9 +9,12 @@ Jaccard distance is a metric. Documents are brought together as follows, all in
   regions; any order gives the same result.
 * *Pivots.* A region's pivot is the member whose shingles are the most shared. Every member is measured exactly
   against pivots, never all pairs: a ball of radius 0.2 around a pivot is linked in one star.
-* *Windows and recursion.* A region whose members already reach one another is done. In the others the used pivots leave,
-  the members carry their distance to the first pivot, and two of them are measured only if those distances differ by 0.2 at
-  most (triangle inequality); new pivots are taken from what is left until nothing is. No candidate is capped or dropped.
+* *Windows and recursion.* A region whose members already reach one another is done. In an open region of at most ``few``
+  members all of them are pivots at once; larger ones take ``slots`` pivots at a time, which then leave, until nothing is
+  left. Members carry their distance to the region's first pivot, and two of them are measured only if those distances
+  differ by 0.2 at most (triangle inequality). Where all members are pivots, the regions that two documents share are counted,
+  and fewer than their sizes call for rule the pair out (the first fifths hold all but a known number of the common
+  shingles). No candidate is capped or dropped.
 * Equal sets are folded by a 128-bit key before and linked to their least document.
 
 Cases: null text, or text without words, has no shingles and links with nothing; fewer words than a shingle make one
@@ -39,13 +42,15 @@ U = np.uint64
 @dataclass(frozen=True)
 class JaccardJoin:
     """``words``: shingle length; ``percent``: least similarity; ``crowd``: estimated holders from which a region's first
-    pass is dealt over several tasks; ``slots``: pivots a region tries at once in the recursion."""
+    pass is dealt over several tasks; ``few``: members up to which an open region is settled at once; ``slots``: pivots a
+    larger one tries at a time."""
 
     words: int = 5
     percent: int = 80
     crowd: int = 2000
-    slots: int = 8
-    order: CountMin = field(default_factory=lambda: CountMin(bits=24, depth=2, kind=np.uint16))
+    few: int = 64
+    slots: int = 512
+    order: CountMin = field(default_factory=lambda: CountMin(bits=25, depth=1, kind=np.uint16))
     wanted: CountMin = field(default_factory=lambda: CountMin(bits=24, depth=2))
 
     # -- inside tasks ---------------------------------------------------------------------------------------------
@@ -109,7 +114,7 @@ class JaccardJoin:
                     seen.add(key)
                     held_by = self.order.estimate(counts, s)
                     many = n - (self.percent * n + 99) // 100 + 1
-                    first = np.argpartition((held_by.astype(U) << U(48)) | (s >> U(16)), many - 1)[:many] if many < n else np.arange(n)
+                    first = np.lexsort((s, held_by))[:many]
                     rank = int(1000 * np.log2(held_by.astype(np.float64) + 1).mean())
                     parts = np.maximum(held_by[first].astype(np.int64) // self.crowd, 0) + 1
                     part = (int(k.mix(np.array([doc_id & 0x7FFFFFFFFFFFFFFF], U))[0] >> U(33)) % parts).astype(np.int32)
@@ -207,7 +212,7 @@ class JaccardJoin:
             yield k.mix(np.asarray(batch.column(0)).astype(np.int64).view(U))
 
         sent = self.wanted.build(asked, ids)
-        sets = texts.select("doc_id", "text").mapInArrow(self.wanted_sets(sent), "doc_id long, codes binary")
+        sets = settled(texts.select("doc_id", "text").mapInArrow(self.wanted_sets(sent), "doc_id long, codes binary"), "sets")
         one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("codes").alias("codes_a")), "a")
         two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("codes").alias("codes_b")), "b")
         return two.select("a", "b", "codes_a", "codes_b").mapInArrow(self.measure, "a long, b long, shared long, whole long")
@@ -218,6 +223,27 @@ class JaccardJoin:
     def near_sizes(self, a: str, b: str) -> F.Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
+    def in_window(self) -> F.Column:
+        """Whether two members' distances to the region's first pivot, where both are known, allow a link."""
+        slack = 1 - self.percent / 100 + 1e-9
+        return F.coalesce((F.col("pivot") != F.col("p_pivot")) | (F.abs(F.col("far") - F.col("p_far")) <= slack), F.lit(True))
+
+    def regions_needed(self, a: str, b: str) -> F.Column:
+        """Least number of regions shared by linked sets of these sizes: the intersection they need, less the shingles that may
+        lie beyond the first fifth of the set whose first fifth ends earlier, which are one less than its last four fifths."""
+        both = F.ceil((F.col(a) + F.col(b)) * self.percent / (100.0 + self.percent) - 1e-9)
+        return both - F.ceil(F.greatest(a, b) * self.percent / 100.0 - 1e-9) + 1
+
+    def open_regions(self, rows: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows, with their component as ``label``, of regions whose members are not all in one."""
+        named = rows.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        apart = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
+        return settled(named.join(apart, "region"), "left")
+
+    def untested(self, pairs: DataFrame, tested: DataFrame) -> DataFrame:
+        done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return settled(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_shingles, component_id), one row for each row of ``docs``."""
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -243,26 +269,47 @@ class JaccardJoin:
         near = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("whole")).alias("far"))
         left = members.join(near, ["doc_id", "pivot"], "left").select("region", "doc_id", "n", "rank", "pivot", "far")
         left = settled(left.withColumn("far", F.when(F.col("doc_id") == F.col("pivot"), 0.0).otherwise(F.col("far"))), "left")
-        while True:
+        label = components(links)
+        left = self.open_regions(left, label)
+        sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+        sized = left.join(sizes, "region")
+        held = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("members") > self.few).alias("held_large"))
+        sized = settled(sized.join(held, "doc_id"), "open")
+
+        # small open regions: every member is a pivot; pairs are counted over the regions they share
+        small = sized.where(F.col("members") <= self.few)
+        other = small.select("region", F.col("doc_id").alias("p"), F.col("n").alias("p_n"), F.col("pivot").alias("p_pivot"), F.col("far").alias("p_far"), F.col("label").alias("p_label"), F.col("held_large").alias("p_large"))
+        met = small.join(other, "region").where(F.col("doc_id") > F.col("p")).where(F.col("label") != F.col("p_label")).where(self.near_sizes("n", "p_n"))
+        shared = met.groupBy(F.col("doc_id").alias("a"), F.col("p").alias("b"), "n", "p_n").agg(
+            F.count(F.lit(1)).alias("votes"), F.bool_or(~self.in_window()).alias("apart"), F.max(F.least("held_large", "p_large")).alias("more")
+        )
+        large = sized.where(F.col("members") > self.few)
+        # two documents share at most ``more`` of the regions that are not counted here
+        pairs = shared.where(~F.col("apart") & (F.col("votes") + F.col("more") >= self.regions_needed("n", "p_n"))).select("a", "b")
+        pairs = self.untested(pairs, tested)
+        more = settled(self.measured(texts, pairs), "measured")
+        tested = tested.unionByName(more)
+        links = links.unionByName(self.linked(more).select("a", "b"))
+        if more.take(1):
             label = components(links)
-            left = left.join(label.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-            open_regions = left.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
-            left = settled(left.join(open_regions, "region"), "left")
+
+        # large ones: some pivots at a time, until every region has come together or has no pivot left
+        left = settled(large.drop("label", "members"), "left")
+        while left.take(1):
+            left = self.open_regions(left, label)
             slot = F.pmod(F.xxhash64("doc_id"), F.lit(self.slots)).alias("slot")
-            pivots = left.groupBy("region", slot).agg(F.max_by(F.struct("doc_id", "n", "pivot", "far", "label"), F.struct("rank", "doc_id")).alias("p"))
-            pivots = settled(pivots.select("region", F.col("p.doc_id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.pivot").alias("p_pivot"), F.col("p.far").alias("p_far"), F.col("p.label").alias("p_label")), "pivots")
-            if not pivots.take(1):
-                break
-            slack = 1 - self.percent / 100 + 1e-9
-            pairs = left.join(pivots, "region").where(F.col("label") != F.col("p_label")).where(self.near_sizes("n", "p_n"))
-            pairs = pairs.where(F.coalesce((F.col("pivot") != F.col("p_pivot")) | (F.abs(F.col("far") - F.col("p_far")) <= slack), F.lit(True)))
+            pivots = left.groupBy("region", slot).agg(F.max_by(F.struct("doc_id", "n", "pivot", "far", "label", "held"), F.struct("rank", "doc_id")).alias("p"))
+            pivots = settled(pivots.select("region", F.col("p.doc_id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.pivot").alias("p_pivot"), F.col("p.far").alias("p_far"), F.col("p.label").alias("p_label"), F.col("p.held").alias("p_held")), "pivots")
+            pairs = left.join(pivots, "region").where(F.col("label") != F.col("p_label")).where(self.near_sizes("n", "p_n")).where(self.in_window())
+            pairs = pairs.where(F.least("held", "p_held") >= self.regions_needed("n", "p_n"))
             pairs = pairs.select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
-            pairs = pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-            pairs = settled(pairs, "pairs")
-            more = settled(self.measured(texts, pairs), "measured")
-            tested = tested.unionByName(more)
-            links = links.unionByName(self.linked(more).select("a", "b"))
-            left = left.drop("label").join(pivots.select("region", F.col("p").alias("doc_id")), ["region", "doc_id"], "left_anti")
+            pairs = self.untested(pairs, tested)
+            if pairs.take(1):
+                more = settled(self.measured(texts, pairs), "measured")
+                tested = tested.unionByName(more)
+                links = links.unionByName(self.linked(more).select("a", "b"))
+                label = components(links)
+            left = settled(left.drop("label").join(pivots.select("region", F.col("p").alias("doc_id")), ["region", "doc_id"], "left_anti"), "left")
         found = label.select(F.col("node").alias("doc_id"), "component")
         out = signs.join(found, "doc_id", "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

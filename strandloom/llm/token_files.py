@@ -35,27 +35,44 @@ class WordCoder:
     """Encodes texts with a tokenizer whose pre-tokens never cross a space or line feed: words are encoded once each.
 
     The words that a batch of texts adds go to the tokenizer together; the table of known words is emptied when it holds
-    ``most`` words, so its memory is bounded."""
+    ``most`` words, so its memory is bounded. A word of letters before one closing mark is encoded as the two pre-tokens it
+    is, and plain ASCII letters in lower case as the tokenizer's normaliser makes them, so variants of a word share its ids."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.lower_case = "Lowercase" in str(self.tokenizer.normalizer)
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _stem(self, word: str) -> str | None:
+        """The word of letters that ``word`` is a variant of; None if it is to be encoded as it stands."""
+        core = word[:-1] if word and word[-1] in ",.;:!?" else word
+        if not core.isalpha():
+            return None
+        return core.lower() if self.lower_case and core.isascii() else core
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words} - self.known.keys())
+        seen = {w for words in split for w in words}
+        fresh = [w for w in seen if w not in self.known]  # looks up the batch's words; the known ones are not walked
         if len(self.known) + len(fresh) > self.most:
-            self.known = {}
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.known.__getitem__
+            self.known, fresh = {}, list(seen)
+        known = self.known
+        stems = {w: self._stem(w) for w in fresh}
+        self._learn([w for w in {*(s or w for w, s in stems.items()), *",.;:!?"} if w not in known])
+        for w, s in stems.items():
+            if s is not None and w not in known:
+                known[w] = known[s] + known[w[-1]] if len(w) > len(s) else known[s]
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 

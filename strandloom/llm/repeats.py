@@ -42,14 +42,15 @@ _HIT = "anchor long, content long, lo int, hi int"
 class Repeats:
     """Finds repeated windows. ``unit`` is ``word`` or ``byte``; ``gram`` is the anchor's length in units;
     ``busy_from`` is the estimated number of contents
-    from which an anchor's windows are compared through a shuffle of their own."""
+    from which an anchor's windows are compared through a shuffle of their own; below it they meet in one group of
+    at most about so many runs of twice the window's length."""
 
     unit: str
     width: int
     gram: int
     sketch: CountMin
     contents: CountMin
-    busy_from: int = 100
+    busy_from: int = 5000
 
     def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
         """(first row, symbols, row offsets, units before the slice in its text, bytes) of a batch."""
@@ -262,12 +263,12 @@ def _batched(rows: Iterator[tuple], names: list[tuple[str, pa.DataType]], size:
         yield _out(held, names)
 
 
-def repeated_word_windows(width: int = 35, gram: int = 5, sketch: CountMin | None = None, busy_from: int = 100) -> Repeats:
-    return Repeats("word", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2), busy_from)
+def repeated_word_windows(width: int = 35, gram: int = 5, sketch: CountMin | None = None, busy_from: int = 5000) -> Repeats:
+    return Repeats("word", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2, kind=np.uint16), busy_from)
 
 
-def repeated_byte_strings(width: int = 200, gram: int = 80, sketch: CountMin | None = None, busy_from: int = 100) -> Repeats:
-    return Repeats("byte", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2), busy_from)
+def repeated_byte_strings(width: int = 200, gram: int = 80, sketch: CountMin | None = None, busy_from: int = 5000) -> Repeats:
+    return Repeats("byte", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2, kind=np.uint16), busy_from)
 
 
 def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Repeats | None = None) -> DataFrame:

@@ -239,3 +239,17 @@ def test_toxicity_held_out(spark):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
     empty = toxicity.fit_on_labels(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.drop_toxic(docs, empty).count() == docs.count()
+
+
+def test_toxicity_reaches_groups_with_few_labels():
+    r = random.Random(8)
+    plain = {"en": [f"en{i}" for i in range(300)], "de": [f"de{i}" for i in range(300)]}
+    bad = {"en": ["idiot", "scum", "moron"], "de": ["achlicha", "achlichch", "achlichung"]}
+    text = lambda lang, toxic: " ".join([r.choice(plain[lang]) for _ in range(30)] + (r.sample(bad[lang], 2) if toxic else []))
+    sample = [(text(lang, y), y) for lang, y, n in (("en", 0, 300), ("en", 1, 40), ("de", 0, 40), ("de", 1, 4)) for _ in range(n)]
+    rows = [np.array([p for w in sorted(toxicity._distinct_words(t)) for p in toxicity._places(w)], "<i8") for t, _ in sample]
+    scorer = toxicity.Scorer(toxicity.fit(rows, np.array([y for _, y in sample])))
+    rejected = lambda t: scorer.model.probabilities(scorer.score(t))[0] >= 0.5
+    for lang in plain:
+        assert sum(rejected(text(lang, 1)) for _ in range(50)) >= 45, lang
+        assert sum(rejected(text(lang, 0)) for _ in range(50)) <= 2, lang

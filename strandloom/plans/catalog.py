@@ -584,9 +584,22 @@ def overlap_subsample_null(spark, d):
 
 @query()
 def shuffled_placements(spark, d):
-    rows = intervals(spark, d, "error")
-    sizes = intervals(spark, d).groupBy("chrom").agg(F.max("end").alias("length"))
-    return E.shuffle_intervals(rows, sizes, 5, 11, intervals(spark, d, "signup")).groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bp"))
+    """Share of the nearest genes of error intervals that are in a set, against 1000 placements that avoid signup intervals.
+    Purchase intervals stand for genes; chromosomes run from the first event on."""
+    first = intervals(spark, d).agg(F.min("start").alias("zero"))
+    based = lambda kind=None: intervals(spark, d, kind).crossJoin(F.broadcast(first)).withColumn("start", F.col("start") - F.col("zero")).withColumn("end", F.col("end") - F.col("zero")).drop("zero")  # noqa: E731  # one row
+    sizes = based().groupBy("chrom").agg(F.max("end").alias("length"))
+    genes = based("purchase").select("chrom", "start", "end", F.col("event_id").alias("gene"), F.pmod("event_id", F.lit(5)).alias("k"))
+    rows = based("error").select("chrom", "start", "end", "event_id")
+    placed = E.shuffle_intervals(rows, sizes, 1000, 11, based("signup")).where("start is not null")
+
+    def fractions(df):
+        hit = N.nearest(df, genes, "first", width=4096, block=BLOCK).select("replicate", "b_gene", "b_k").distinct()
+        return hit.groupBy("replicate").agg(F.avg((F.col("b_k") == 0).cast("double")).alias("fraction"))
+
+    observed = fractions(rows.withColumn("replicate", F.lit(0))).select(F.col("fraction").alias("observed"))
+    null = fractions(placed).crossJoin(F.broadcast(observed))  # one row
+    return null.groupBy("observed").agg(F.avg("fraction").alias("null_mean"), F.avg((F.col("fraction") >= F.col("observed")).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -594,4 +607,4 @@ def permutation_enrichment(spark, d):
     li = _t(spark, d, "lineitem")
     seg = li.select(F.col("l_orderkey").alias("seg"), F.col("l_suppkey").cast("string").alias("gene")).distinct()
     test = seg.join(li.where("l_quantity >= 49 and l_discount >= 0.1").select(F.col("l_orderkey").alias("seg")).distinct(), "seg", "left_semi")
-    return E.permutation_enrichment(test, seg, _sets(spark, d), 20, 3).select("category", "k", r6("null_mean", "null_mean"), r6("p", "p"))
+    return E.permutation_enrichment(test, seg, _sets(spark, d), 1000, 3).select("category", "k", r6("null_mean", "null_mean"), r6("p", "p"))

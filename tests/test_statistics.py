@@ -151,3 +151,27 @@ def test_branch_ages(spark):
     nodes, edges, muts, _, _ = tree_tables(spark, [(10, 4, "T")])
     got = Y.branch_ages(nodes, edges, muts.withColumn("freq", F.lit(0.5)), 0.1).first()
     assert (got["lower"], got["upper"], got["mid_age"]) == (5.0, 20.0, 12.5)
+
+
+def test_shuffled_intervals_use_every_gap_and_report_what_fits_nowhere(spark):
+    sizes = spark.createDataFrame([("1", 100_000)], "chrom string, length long")
+    iv = spark.createDataFrame([("1", 0, 100), ("1", 0, 5000)], "chrom string, start long, end long")
+    ban = spark.createDataFrame([("1", 0, 40_000), ("1", 40_101, 99_900)], "chrom string, start long, end long")
+    placed = E.shuffle_intervals(iv, sizes, 400, 3, ban).collect()
+    assert len(placed) == 800 and len({(r["src_start"], r["replicate"]) for r in placed}) == 400
+    starts = [r["start"] for r in placed if r["start"] is not None]
+    assert len(starts) == 400 and set(starts) == {40_000, 40_001, 99_900} and all(r["end"] == r["start"] + 100 for r in placed if r["start"] is not None)
+    assert all(starts.count(x) > 90 for x in set(starts))
+
+
+def test_registered_nulls_have_1000_replicates(spark, monkeypatch):
+    from strandloom.plans import catalog
+
+    asked = []
+    stop = lambda *args: asked.append(args) or (_ for _ in ()).throw(InterruptedError)
+    monkeypatch.setattr(E, "permutation_enrichment", stop)
+    monkeypatch.setattr(E, "shuffle_intervals", stop)
+    for f in (catalog.permutation_enrichment, catalog.shuffled_placements):
+        with pytest.raises(InterruptedError):
+            f(spark, "/root/testdata/sf0.001")
+    assert [asked[0][3], asked[1][2]] == [1000, 1000]

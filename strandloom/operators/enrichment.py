@@ -173,7 +173,8 @@ def matched_locus_null(loci: DataFrame, background: DataFrame, n_perm: int, seed
 
 def sample_null_loci(loci: DataFrame, pool: DataFrame, n_rep: int, seed: int, tolerance: float = 20.0, fallback: int = 100_000) -> DataFrame:
     """For each locus (locus, score, k) and replicate an anchor of the pool (chrom, pos, score) within ``tolerance`` of its
-    score, by hash order; loci without one take among the ``fallback`` closest. Returns replicate, locus, chrom, pos, k."""
+    score, drawn with replacement by a hash, so that every replicate holds every locus; loci without one draw among the
+    ``fallback`` closest. ``locus`` is unique. Returns replicate, locus, chrom, pos, k, score."""
     binned = pool.withColumn("_b", F.floor(F.col("score") / tolerance).cast("long"))
     asks = loci.withColumn("_b", F.explode(F.array(*[(F.floor(F.col("score") / tolerance) + d).cast("long") for d in (-1, 0, 1)])))
     near = asks.join(binned.select("_b", "chrom", "pos", F.col("score").alias("s")), "_b").where(F.abs(F.col("s") - F.col("score")) <= tolerance).select("locus", "k", "score", "chrom", "pos", "s")
@@ -185,8 +186,11 @@ def sample_null_loci(loci: DataFrame, pool: DataFrame, n_rep: int, seed: int, to
         cand = wide.join(binned.select("_b", "chrom", "pos", F.col("score").alias("s")), "_b").select("locus", "k", "score", "chrom", "pos", "s")
         w = Window.partitionBy("locus").orderBy(F.abs(F.col("s") - F.col("score")), "chrom", "pos")
         near = near.unionByName(cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= fallback).drop("_n"))
-    w = Window.partitionBy("locus").orderBy(F.xxhash64(F.lit(seed), "locus", "chrom", "pos"), "chrom", "pos")
-    return near.withColumn("replicate", F.row_number().over(w) - 1).where(F.col("replicate") < n_rep).select("replicate", "locus", "chrom", "pos", "k", F.col("s").alias("score"))
+    w = Window.partitionBy("locus").orderBy("chrom", "pos", "s")
+    numbered = near.withColumn("_i", F.row_number().over(w) - 1).select(F.col("locus").alias("_l"), "_i", "chrom", "pos", F.col("s").alias("score"))
+    counts = near.groupBy("locus", "k").agg(F.count(F.lit(1)).alias("_c"))
+    draws = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_draw", F.pmod(F.xxhash64(F.lit(seed), "locus", "replicate"), F.col("_c")))
+    return draws.join(numbered, (F.col("locus") == F.col("_l")) & (F.col("_draw") == F.col("_i"))).select("replicate", "locus", "chrom", "pos", "k", "score")
 
 
 def check_matching(loci: DataFrame, null: DataFrame, value: str = "score") -> DataFrame:

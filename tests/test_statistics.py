@@ -175,3 +175,11 @@ def test_registered_nulls_have_1000_replicates(spark, monkeypatch):
         with pytest.raises(InterruptedError):
             f(spark, "/root/testdata/sf0.001")
     assert [asked[0][3], asked[1][2]] == [1000, 1000]
+
+
+def test_anchors_are_drawn_with_replacement(spark):
+    pool = spark.createDataFrame([("1", 1, 100.0), ("1", 2, 101.0), ("2", 3, 900.0)], "chrom string, pos long, score double")
+    loci = spark.createDataFrame([(1, 100.0, 2), (2, 900.0, 1)], "locus long, score double, k int")
+    picks = E.sample_null_loci(loci, pool, 50, 3).collect()
+    assert sorted((r["replicate"], r["locus"]) for r in picks) == [(i, x) for i in range(50) for x in (1, 2)]
+    assert {r["pos"] for r in picks if r["locus"] == 1} == {1, 2} and {r["pos"] for r in picks if r["locus"] == 2} == {3}

@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from strandloom.functions.tails import hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
+from strandloom.llm._shared import settled
 from strandloom.operators.bins import avg_rank, bh_adjust
 from strandloom.operators.carry import previous
 from strandloom.operators.islands import merge
@@ -326,18 +327,21 @@ def cluster_categories(sets: DataFrame, how: str = "jaccard", threshold: float =
     return label.withColumn("cluster_size", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
 
 
-def min_label(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(category, cluster): the least name reachable over the edges, by repeated grouped minima."""
-    both = edges.unionByName(edges.select(F.col("other").alias("category"), F.col("category").alias("other"))).distinct()
-    label = nodes.withColumn("cluster", F.col("category"))
-    for _ in range(rounds):
-        step = both.join(label.select(F.col("category").alias("other"), "cluster"), "other").groupBy("category").agg(F.min("cluster").alias("m"))
-        fresh = label.join(step, "category", "left").select("category", F.least("cluster", "m").alias("fresh"), F.col("cluster").alias("was")).persist()
-        moved = fresh.where("fresh < was").take(1)
-        label = fresh.select("category", F.col("fresh").alias("cluster"))
-        if not moved:
-            break
-    return label
+def min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(category, cluster): the least name reachable over the edges. Every round hands the least label of the neighbours to a node
+    and to the node that its label names, then follows labels one step, so a chain's labels move by doubling; rounds are written
+    to shared storage and go on until no label moves."""
+    both = settled(edges.unionByName(edges.select(F.col("other").alias("category"), F.col("category").alias("other"))).distinct(), "edges")
+    label = settled(nodes.select("category", F.col("category").alias("cluster")), "labels")
+    while True:
+        least = both.join(label.select(F.col("category").alias("other"), "cluster"), "other").groupBy("category").agg(F.min("cluster").alias("m"))
+        roots = label.join(least, "category").select(F.col("cluster").alias("category"), "m")
+        step = least.unionByName(roots).groupBy("category").agg(F.min("m").alias("m"))
+        hooked = settled(label.join(step, "category", "left").select("category", F.least("cluster", "m").alias("cluster"), F.col("cluster").alias("was")), "labels")
+        if not hooked.where("cluster < was").take(1):
+            return hooked.select("category", "cluster")
+        ahead = hooked.select(F.col("category").alias("cluster"), F.col("cluster").alias("next"))
+        label = settled(hooked.select("category", "cluster").join(ahead, "cluster").select("category", F.col("next").alias("cluster")), "labels")
 
 
 def cluster_table(clusters: DataFrame, results: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,17 +354,19 @@ def cluster_table(clusters: DataFrame, results: DataFrame, sets: DataFrame) -> D
     )
 
 
-def greedy_cover(sets: DataFrame, limit: int = 1000) -> list[tuple[str, int]]:
+def greedy_cover(sets: DataFrame, limit: int | None = None) -> list[tuple[str, int]]:
     """Categories that cover all genes, each step the one with most genes not yet covered (ties by name). One grouped count a
-    step; the loop ends when nothing is left, which takes no more steps than there are categories chosen."""
-    left, out = sets.select("category", "gene").distinct().persist(), []
-    while len(out) < limit:
+    step; the loop ends when nothing is left, which takes no more steps than there are categories chosen. With a ``limit`` it
+    raises if that many categories leave genes uncovered."""
+    left, out = settled(sets.select("category", "gene").distinct(), "cover"), []
+    while True:
         top = left.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").first()
         if top is None:
-            break
+            return out
+        if limit is not None and len(out) >= limit:
+            raise RuntimeError(f"{limit} categories leave genes uncovered")
         out.append((top["category"], top["n"]))
-        left = left.join(left.where(F.col("category") == top["category"]).select("gene"), "gene", "left_anti").select("category", "gene")
-    return out
+        left = settled(left.join(left.where(F.col("category") == top["category"]).select("gene"), "gene", "left_anti").select("category", "gene"), "cover")
 
 
 # -- rank tests ------------------------------------------------------------------------------------------------------

@@ -183,3 +183,16 @@ def test_anchors_are_drawn_with_replacement(spark):
     picks = E.sample_null_loci(loci, pool, 50, 3).collect()
     assert sorted((r["replicate"], r["locus"]) for r in picks) == [(i, x) for i in range(50) for x in (1, 2)]
     assert {r["pos"] for r in picks if r["locus"] == 1} == {1, 2} and {r["pos"] for r in picks if r["locus"] == 2} == {3}
+
+
+def test_long_chains_are_one_cluster_and_covers_are_whole(spark):
+    order = np.random.default_rng(2).permutation(140)
+    for names in (range(140), order.tolist()):
+        chain = [(f"c{c:03d}", f"g{g:03d}") for i, c in enumerate(names) for g in (i, i + 1)]
+        sets = spark.createDataFrame(chain, "category string, gene string")
+        got = E.cluster_categories(sets, "jaccard", 0.3).collect()
+        assert len(got) == 140 and {(r["cluster"], r["cluster_size"]) for r in got} == {("c000", 140)}
+    with pytest.raises(RuntimeError):
+        E.greedy_cover(sets.where("gene < 'g010'"), 2)
+    few = sets.where("gene < 'g010'")
+    assert sum(n for _, n in E.greedy_cover(few)) == few.select("gene").distinct().count()

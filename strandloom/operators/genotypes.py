@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.llm._shared import settled
+from strandloom.operators.carry import running
+
 
 # -- per-site counts over an array of (sample, a0, a1) ---------------------------------------------------------------
 def fill_tags(df: DataFrame, genotypes: str = "genotypes") -> DataFrame:
@@ -100,20 +103,29 @@ def cross_ld(gt: DataFrame, set_a: DataFrame, set_b: DataFrame, by: Sequence[str
 
 def ld_prune(gt: DataFrame, window: int = 50, step: int = 10, r2: float = 0.1, block: int = 5000, use: str = "in") -> DataFrame:
     """Sites (chrom, pos, dosages array) kept by a sliding window of ``window`` sites moved by ``step``: of a pair above
-    ``r2`` the one of lower minor-allele frequency goes (of equals the later). Chromosomes are cut into blocks of
-    ``block`` sites, scanned in parallel; blocks do not see each other. ``use='out'`` gives the removed sites."""
-    ranked = gt.withColumn("_i", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")))
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+    ``r2`` the one of lower minor-allele frequency goes (of equals the later). ``use='out'`` gives the removed sites.
+
+    Chromosomes are cut into blocks of ``block`` sites that scan the windows starting in them and hold the next block's first
+    ``window`` sites too. What a block removes there is handed on and the scan repeated until no hand-over changes, so the
+    result is that of one scan over the chromosome. Positions of a chromosome are unique."""
+    block = max(-(-block // step) * step, -(-window // step) * step)
+    numbered = running(gt, ["chrom"], "pos", ["pos"], {"_i": ("count", F.lit(1))}).select("chrom", "pos", "dosages", (F.col("_i") - 1).cast("long").alias("_i"))
+    own = numbered.withColumn("_block", F.floor(F.col("_i") / block).cast("long"))
+    shared = own.where((F.col("_i") - F.col("_block") * block < window) & (F.col("_block") > 0)).withColumn("_block", F.col("_block") - 1)
+    sites = settled(own.unionByName(shared), "prune")
+
+    def prune(pdf: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"chrom": [], "pos": [], "_i": [], "_block": [], "kept": []})
+        pdf = pdf.sort_values("_i")
         x = np.array(pdf["dosages"].tolist(), float)
         mean = np.nanmean(x, axis=1, keepdims=True)
         x = np.where(np.isnan(x), mean, x)
         freq = np.minimum(mean[:, 0] / 2, 1 - mean[:, 0] / 2)
         x = x - x.mean(axis=1, keepdims=True)
         norm = np.sqrt((x * x).sum(axis=1))
-        keep = norm > 0
-        for at in range(0, max(1, len(x) - window + step), step):
+        keep = (norm > 0) & ~pdf["_i"].isin(gone["_i"]).to_numpy()
+        for at in range(0, min(len(x), block), step):
             live = np.flatnonzero(keep[at : at + window]) + at
             while len(live) > 1:
                 z = x[live] / norm[live, None]
@@ -124,9 +136,17 @@ def ld_prune(gt: DataFrame, window: int = 50, step: int = 10, r2: float = 0.1, b
                 i, j = live[hit[0][0]], live[hit[0][1]]
                 keep[i if freq[i] < freq[j] else j] = False
                 live = live[keep[live]]
-        return pdf.loc[keep if use == "in" else ~keep, ["chrom", "pos"]]
-
-    return ranked.withColumn("_block", F.floor((F.col("_i") - 1) / block)).groupBy("chrom", "_block").applyInPandas(prune, "chrom string, pos long")
+        return pdf[["chrom", "pos", "_i", "_block"]].assign(kept=keep)
+
+    handed = gt.sparkSession.createDataFrame([], "chrom string, _i long, _block long")
+    while True:
+        scanned = settled(sites.groupBy("chrom", "_block").cogroup(handed.groupBy("chrom", "_block")).applyInPandas(prune, "chrom string, pos long, _i long, _block long, kept boolean"), "prune")
+        past = F.col("_i") >= (F.col("_block") + 1) * block
+        fresh = scanned.where(past & ~F.col("kept")).select("chrom", "_i", (F.col("_block") + 1).alias("_block"))
+        # later rounds may also hand over less than earlier ones
+        if not fresh.exceptAll(handed).take(1) and not handed.exceptAll(fresh).take(1):
+            return scanned.where(~past & (F.col("kept") if use == "in" else ~F.col("kept"))).select("chrom", "pos")
+        handed = fresh
 
 
 def genotype_pca(gt: DataFrame, k: int = 20) -> tuple[list[float], np.ndarray]:

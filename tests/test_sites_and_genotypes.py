@@ -1,5 +1,6 @@
 """Filters, joins, genotype counts, coordinates and readers on small hand-made frames."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandloom.functions import scalars as S
@@ -143,3 +144,16 @@ def test_readers(spark, tmp_path):
     assert sorted((r["chrom"], r["start"], r["value"]) for r in w.collect()) == [("1", 0, 1.0), ("1", 1000, 0.5), ("2", 0, 0.25)]
     (tmp_path / "g.gtf").write_text('1\tx\ttranscript\t11\t20\t.\t+\t.\tgene_type "protein_coding"; gene_name "AB"; tag "Ensembl_canonical";\n')
     assert T.read_gtf_transcripts(spark, str(tmp_path / "g.gtf")).first().asDict() == {"chrom": "1", "start": 10, "end": 20, "gene": "AB", "canon": True}
+
+
+def test_pruning_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = np.zeros((330, 12), int)
+    x[0] = rng.integers(0, 3, 12)
+    for i in range(1, 330):  # neighbours are linked
+        x[i] = np.where(rng.random(12) < 0.12, rng.integers(0, 3, 12), x[i - 1])
+    df = spark.createDataFrame([("1", 10 * i, [float(v) for v in d]) for i, d in enumerate(x)], "chrom string, pos long, dosages array<double>")
+    uncut = sorted(r["pos"] for r in GT.ld_prune(df, 20, 5, 0.3, 1000).collect())
+    assert 0 < len(uncut) < 330
+    assert sorted(r["pos"] for r in GT.ld_prune(df, 20, 5, 0.3, 60).collect()) == uncut
+    assert sorted(r["pos"] for r in GT.ld_prune(df, 20, 5, 0.3, 60, "out").collect()) == sorted(set(range(0, 3300, 10)) - set(uncut))

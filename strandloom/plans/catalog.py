@@ -591,7 +591,7 @@ def shuffled_placements(spark, d):
     sizes = based().groupBy("chrom").agg(F.max("end").alias("length"))
     genes = based("purchase").select("chrom", "start", "end", F.col("event_id").alias("gene"), F.pmod("event_id", F.lit(5)).alias("k"))
     rows = based("error").select("chrom", "start", "end", "event_id")
-    placed = E.shuffle_intervals(rows, sizes, 1000, 11, based("signup")).where("start is not null")
+    placed = E.settled(E.shuffle_intervals(rows, sizes, 1000, 11, based("signup")).where("start is not null"), "placed")
 
     def fractions(df):
         hit = N.nearest(df, genes, "first", width=4096, block=BLOCK).select("replicate", "b_gene", "b_k").distinct()

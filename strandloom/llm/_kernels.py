@@ -159,6 +159,7 @@ def window_runs(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int)
     return {
         "first": first,
         "many": many,
+        "lead": anchor - first,
         "row": np.searchsorted(bounds, first, "right") - 1,
         "anchor": grams[anchor],
         "content": mix(two.stretches(first, first + many - 1 + width) + lead * U(0x2545F4914F6CDD1D)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontam, jaccard, packing, pii, repeats, secrets, token_files, topk, toxicity
+from strandloom.llm import decontam, jaccard, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query_op1,
@@ -11,7 +11,7 @@ QUERIES = {
     "op4_decontamination": decontam.query_op4,
     "op5_secret_scan": secrets.query_op5,
     "op6_best_fit_packing": packing.query_op6,
-    "op7_suffix_dedup": repeats.query_op7,
+    "op7_suffix_dedup": suffixes.query_op7,
     "op8_token_files": token_files.query_op8,
     "op9_exact_top_k": topk.query_op9,
     "op10_ngram_jaccard_join": jaccard.query_op10,

@@ -1,4 +1,4 @@
-"""Count-min sketches that partitions fill, shuffles merge and tasks read: one fixed size whatever the corpus holds."""
+"""Count-min sketches: partitions count their keys, a shuffle merges the counts, tasks read "twice or more" as bits."""
 
 from __future__ import annotations
 
@@ -11,101 +11,124 @@ from pyspark.sql import DataFrame, functions as F
 
 U = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
-_BLOCK_BITS = 20
+_BLOCK_BITS = 18
 _SCHEMA = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("cells", pa.binary())])
 _LOADED: dict[str, np.ndarray] = {}
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Few counters travel as (place, count), many as they stand."""
-    places = np.flatnonzero(x)
-    sparse = len(places) * 6 < x.nbytes
-    body = places.astype(np.uint32).tobytes() + x[places].tobytes() if sparse else x.tobytes()
-    return (b"S" if sparse else b"D") + len(places).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(body, asbytes=True)
+def _pack(cells: np.ndarray) -> bytes:
+    """Sorted cells, as zstd over their differences; the lowest bit tells cells of two or more from those of one."""
+    body = np.diff(cells.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").tobytes()
+    return len(cells).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(body, asbytes=True)
 
 
-def _add(total: np.ndarray, packed: bytes, kind: type) -> None:
-    many, item = int.from_bytes(packed[1:5], "little"), np.dtype(kind).itemsize
-    size = many * (4 + item) if packed[:1] == b"S" else len(total) * item
-    body = pa.Codec("zstd").decompress(packed[5:], size, asbytes=True)
-    if packed[:1] == b"S":
-        total[np.frombuffer(body, np.uint32, many)] += np.frombuffer(body, kind, many, 4 * many)
-    else:
-        total += np.frombuffer(body, kind)
+def _unpack(packed: bytes) -> np.ndarray:
+    many = int.from_bytes(packed[:4], "little")
+    return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(packed[4:], 4 * many, asbytes=True), "<u4"), dtype=np.uint32)
 
 
 class CountMin:
-    """``depth`` rows of 2^``bits`` counters that stop at ``kind``'s maximum. Estimates never fall below the true count
-    (or that maximum), so a key of count two or more is never estimated below two. Size: depth * 2^bits * itemsize bytes."""
+    """``depth`` rows of 2^``bits`` counters that stop at two. An estimate is the least of a key's counters, so it never falls
+    below the true count (or two): a key that occurs twice is never estimated to occur once.
 
-    def __init__(self, bits: int = 24, depth: int = 2, kind: type = np.uint8):
-        self.bits, self.depth, self.kind = bits, depth, kind
-        self.block = 1 << min(bits, _BLOCK_BITS)
-        self.blocks = depth * (1 << bits) // self.block
+    A task that fills it holds its own keys' cells only; a task that reads it holds depth * 2^bits / 8 bytes.
+    """
 
-    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
-        return ((keys * U(_ODD[row])) >> U(64 - self.bits)).astype(np.int64) + (row << self.bits)
+    def __init__(self, bits: int = 24, depth: int = 2):
+        self.bits, self.depth = bits, depth
+        self.block_bits = min(bits, _BLOCK_BITS)
 
-    def add(self, table: np.ndarray, keys: np.ndarray) -> None:
-        top = np.iinfo(self.kind).max
-        for row in range(self.depth):
-            cells, many = np.unique(self.cells(keys, row), return_counts=True)
-            table[cells] = np.minimum(table[cells].astype(np.int64) + many, top).astype(self.kind)
+    @classmethod
+    def sized(cls, keys: int, depth: int = 2, least: int = 16, most: int = 28) -> CountMin:
+        """Four counters or more a key in every row, up to 2^``most`` counters (64 MB of bits at depth 2). Past that size
+        more keys are let through, and results stay the same."""
+        return cls(min(most, max(least, int(4 * max(keys, 1) - 1).bit_length())), depth)
+
+    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
+        return (keys * U(_ODD[row])) >> U(64 - self.bits)
 
     def estimate(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        out = table[self.cells(keys, 0)]
-        for row in range(1, self.depth):
-            out = np.minimum(out, table[self.cells(keys, row)])
+        """True where the estimate is two or more."""
+        out = np.ones(len(keys), bool)
+        for row in range(self.depth):
+            cell = self.cells(keys, row)
+            byte = table[row, (cell >> U(3)).astype(np.int64)]
+            out &= (byte >> (cell & U(7)).astype(np.uint8)) & 1 == 1
         return out
 
     def partials(self, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
-        """A mapInArrow function: one partition's sketch, as its non-empty blocks."""
+        """A mapInArrow function: one partition's counts, by blocks of cells."""
+
+        def fold(parts: list[np.ndarray]) -> np.ndarray:
+            """cell * 2 + (1 if it was counted twice or more), sorted."""
+            both = np.sort(np.concatenate(parts))
+            cell = both >> U(1)
+            fresh = np.append(True, cell[1:] != cell[:-1])[: len(cell)]
+            begin = np.flatnonzero(fresh)
+            again = np.diff(np.append(begin, len(cell))) > 1
+            top = both[np.append(begin[1:], len(both)) - 1]
+            return top | again.astype(U)
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(self.depth << self.bits, self.kind)
-            seen = 0
+            held: list[list[np.ndarray]] = [[] for _ in range(self.depth)]
+            size = 0
             for batch in batches:
                 for keys in keys_of(batch):
-                    self.add(table, keys)
-                    seen += len(keys)
-            if seen:
-                salt = int(table[: self.block].sum()) % 16
-                for b in range(self.blocks):
-                    part = table[b * self.block : (b + 1) * self.block]
-                    if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(part)], pa.binary())], schema=_SCHEMA)
+                    for row in range(self.depth):
+                        held[row].append(self.cells(keys, row) << U(1))
+                    size += len(keys)
+                    if size > 1 << 21:
+                        held = [[fold(x)] for x in held]
+                        size = len(held[0][0]) // 2
+            for row in range(self.depth):
+                if not sum(map(len, held[row])):
+                    continue
+                cells = fold(held[row])
+                blocks = (cells >> U(1 + self.block_bits)).astype(np.int64)
+                edges = np.flatnonzero(np.append(True, np.diff(blocks) != 0))
+                inside = cells & U((2 << self.block_bits) - 1)
+                named = [int(b) + (row << (self.bits - self.block_bits)) for b in blocks[edges]]
+                packed = [_pack(x) for x in np.split(inside, edges[1:])]
+                salt = int(cells[: 1 << 12].sum()) % 16
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array([salt] * len(named), pa.int32()), pa.array(packed, pa.binary())], schema=_SCHEMA)
 
         return fill
 
-    def _merge(self, by_slice: bool) -> Callable:
-        def merge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top, total = np.iinfo(self.kind).max, np.zeros(self.block, np.int64)
-            for t in tables:
-                for x in t.column("cells"):
-                    _add(total, x.as_py(), self.kind)
-            slice_ = key[1] if by_slice else pa.scalar(0, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([slice_.as_py()], pa.int32()), pa.array([_pack(np.minimum(total, top).astype(self.kind))], pa.binary())], schema=_SCHEMA)
-
-        return merge
+    def _merged(self, tables: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(1 << self.block_bits, np.uint8)
+        for t in tables:
+            for x in t.column("cells"):
+                cells = _unpack(x.as_py())
+                at = cells >> np.uint32(1)
+                total[at] = np.minimum(total[at] + 1 + (cells & np.uint32(1)).astype(np.uint8), 2)
+        return total
 
     def build(self, source: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
-        """Merge the partitions' sketches in two levels and broadcast the result (its size is fixed by the parameters)."""
+        """Merge the partitions' counts in two levels and broadcast the bits (their size is fixed by the parameters)."""
+
+        def half(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = self._merged(tables)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(at * 2 + (total[at] > 1))], pa.binary())], schema=_SCHEMA)
+
+        def whole(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.packbits(self._merged(tables) > 1, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([bits], pa.binary())], schema=_SCHEMA)
+
         schema = "block int, slice int, cells binary"
         parts = source.mapInArrow(self.partials(keys_of), schema)
-        halves = parts.groupBy("block", "slice").applyInArrow(self._merge(True), schema)
-        whole = halves.groupBy("block").applyInArrow(self._merge(False), schema)
-        rows = whole.select("block", "cells").collect()  # at most self.blocks rows of self.block counters
+        halves = parts.groupBy("block", "slice").applyInArrow(half, schema)
+        rows = halves.groupBy("block").applyInArrow(whole, schema).select("block", "cells").collect()  # bits of fixed size
         return source.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, {r["block"]: bytes(r["cells"]) for r in rows}))
 
     def load(self, sent) -> np.ndarray:
-        """The broadcast sketch as an array, kept by its own name for the worker's next tasks; the oldest of three goes."""
+        """The broadcast bits as an array; a worker keeps the last one it read for its next tasks."""
         name, blocks = sent.value
-        got = _LOADED.get(name)
-        if got is None:
-            got = np.zeros(self.depth << self.bits, self.kind)
-            for b, cells in blocks.items():
-                _add(got[b * self.block : (b + 1) * self.block], cells, self.kind)
-            if len(_LOADED) > 1:
-                del _LOADED[next(iter(_LOADED))]
+        if name not in _LOADED:
+            _LOADED.clear()
+            got = np.zeros((self.depth, max(1, (1 << self.bits) // 8)), np.uint8)
+            flat, size = got.reshape(-1), (1 << self.block_bits) // 8
+            for b, bits in blocks.items():
+                flat[b * size : (b + 1) * size] = np.frombuffer(bits, np.uint8)
             _LOADED[name] = got
-        return got
+        return _LOADED[name]

@@ -1,22 +1,18 @@
-"""Removal of passages that occur more than once: windows of words (operator 3) and of bytes (operator 7).
+"""Operator 3: removal of word windows that occur more than once, by a count-min prefilter and exact groups.
 
-Both operators find, exactly, every window of a fixed width whose content also starts anywhere else, in the same
-document or another, judged on the input. What they share:
+* Windows are taken in *runs*: consecutive windows that have the same anchor, the rightmost stretch of ``gram`` words of least
+  hash inside the window. Equal windows have equal anchors, so a window's count is at most its anchor's.
+* *Prefilter*: partitions count the anchors of their windows, a shuffle merges the counts (count-min), and a second pass over
+  the texts sends on only windows whose anchor is estimated to occur twice or more. An estimate is never too low, so no
+  repeated window is lost; a window sent for nothing finds no partner. The sketch grows with the corpus.
+* *Exact groups*: runs of equal content fold into one row with a count (map-side first); all windows of a run with an equal
+  are repeated. Windows of anchors with several contents are then grouped by their own key. Every group is a minimum and a
+  maximum with a map-side combine, so no frequent passage lands in one task.
 
-* Suffixes (window starts) are taken in *runs*: consecutive windows that have the same anchor, the rightmost stretch of
-  least hash inside the window. The anchor is a function of the window's content, so equal windows have equal anchors;
-  one row stands for the run, and nothing is sampled.
-* A pass over the corpus counts anchors in sketches of fixed size that the partitions fill and a shuffle merges.
-* A second pass sends on only runs whose anchor is estimated to occur twice or more. An estimate is never too low, so
-  no repeated window is lost; a run sent for nothing finds no partner.
-* Runs of equal content are folded into one row with a count (map-side first); all windows of a run with an equal are
-  repeated. Only anchors with several contents need a comparison window by window: a sketch of the contents tells
-  which, and the runs of those anchors alone are sent again with what their windows are compared by. They meet inside one
-  group while an anchor has few contents, and through a shuffle on the window's own key where it has many, so that
-  no frequent passage lands in one task.
+Keys are 64-bit hashes, compared within their anchor (128 bits in all).
 
-Cases: a null text is empty; an empty text or one shorter than the window keeps everything; repeated rows (same id and
-text) are further occurrences of their windows; rows that share an id but not a text are told apart; an empty table gives
+Cases: a null text has no words; a text shorter than the window keeps everything; repeated rows (same id and text) are further
+occurrences of their windows; rows that share an id but not a text are told apart; a null id is an id; an empty table gives
 an empty result; other columns are ignored, whatever their names.
 """
 
@@ -29,259 +25,117 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm import _kernels as k
-from strandloom.llm._shared import keyed_text, settled
+from strandloom.llm import _kernels as k, _passages as p
+from strandloom.llm._shared import discard, keyed_text, settled, table
 from strandloom.llm._sketch import CountMin
 
 U = np.uint64
-_RUN = "doc_id long, text_key long, first long, many int, anchor long, content long, payload binary"
-_HIT = "anchor long, content long, lo int, hi int"
+_WINDOW = "anchor long, window long, content long, single boolean, block int, bit int"
+#: Bytes of text for each anchor, at least: about 17 words of some 6 bytes.
+_BYTES_PER_ANCHOR = 64
 
 
 @dataclass(frozen=True)
-class Repeats:
-    """Finds repeated windows. ``unit`` is ``word`` or ``byte``; ``gram`` is the anchor's length in units;
-    ``busy_from`` is the estimated number of contents
-    from which an anchor's windows are compared through a shuffle of their own; below it they meet in one group of
-    at most about so many runs of twice the window's length."""
-
-    unit: str
-    width: int
-    gram: int
-    sketch: CountMin
-    contents: CountMin
-    busy_from: int = 5000
-
-    def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, np.ndarray]]:
-        """(first row, symbols, row offsets, units before the slice in its text, bytes) of a batch."""
-        column = batch.column(batch.schema.get_field_index("text"))
-        for row, data, bounds in k.text_slices(column):
-            if self.unit == "word":
-                _, _, codes, offsets = k.words(data, bounds, k.BLANKS)
-                step = 1 << 21
-                if len(codes) <= step:
-                    yield row, codes, offsets, 0, data
-                    continue
-                for at in range(0, max(1, len(codes) - self.width + 1), step):  # one long text
-                    part = codes[at : at + step + self.width - 1]
-                    yield row, part, np.array([0, len(part)]), at, data
-            elif len(bounds) == 2 and len(data) > 2 * k.SLICE_BYTES:
-                for at in range(0, len(data) - self.width + 1, k.SLICE_BYTES):
-                    part = data[at : at + k.SLICE_BYTES + self.width - 1]
-                    yield row, k.BYTE_CODES[part], np.array([0, len(part)]), at, part
-            else:
-                yield row, k.BYTE_CODES[data], bounds, 0, data
-
-    def runs(self, symbols: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray] | None:
-        return k.window_runs(symbols, bounds, self.width, self.gram)
+class RepeatedWindows:
+    """``width``: words of a window; ``gram``: words of an anchor; ``sketch``: None for one sized by the input."""
+
+    width: int = 35
+    gram: int = 5
+    sketch: CountMin | None = None
+    #: Words of a long text that are worked off at a time.
+    step: int = 1 << 21
+
+    # -- inside tasks ---------------------------------------------------------------------------------------------
+    def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(first row, word codes, row offsets, words before the slice in its text)."""
+        for row, data, bounds in k.text_slices(batch.column(batch.schema.get_field_index("text"))):
+            _, _, codes, offsets = k.words(data, bounds, k.BLANKS)
+            if len(bounds) > 2 or len(codes) <= self.step:
+                yield row, codes, offsets, 0
+                continue
+            for at in range(0, max(1, len(codes) - self.width + 1), self.step):  # one long text
+                part = codes[at : at + self.step + self.width - 1]
+                yield row, part, np.array([0, len(part)]), at
 
     def anchors(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, symbols, bounds, _, _ in self.slices(batch):
-            if (found := self.runs(symbols, bounds)) is not None:
+        for _, codes, bounds, _ in self.slices(batch):
+            if (found := k.window_runs(codes, bounds, self.width, min(self.gram, self.width))) is not None:
                 yield found["anchor"]
 
-    def scan(self, sent, mixed=None, busy: bool = False) -> Callable:
-        """A mapInArrow function: the runs whose anchor is estimated to occur more than once.
-
-        With ``mixed``, the sketch of contents: once a partition, the distinct runs, with payload, of anchors estimated to
-        have several contents, many if ``busy``, else few."""
+    def runs(self, sketch: CountMin, sent) -> Callable:
+        """A mapInArrow function: the runs whose anchor is estimated to occur twice or more."""
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = self.sketch.load(sent)
-            others = self.contents.load(mixed) if mixed is not None else None
-            seen: set[int] = set()
+            counts = sketch.load(sent)
             for batch in batches:
-                ids, keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
-                for row, symbols, bounds, before, data in self.slices(batch):
-                    found = self.runs(symbols, bounds)
+                for row, codes, bounds, before in self.slices(batch):
+                    found = k.window_runs(codes, bounds, self.width, min(self.gram, self.width))
                     if found is None:
                         continue
-                    keep = np.flatnonzero(self.sketch.estimate(counts, found["anchor"]) >= 2)
-                    if others is not None and len(keep):
-                        several = self.contents.estimate(others, found["anchor"][keep])
-                        keep = keep[several >= self.busy_from if busy else (several >= 2) & (several < self.busy_from)]
-                        both = (found["anchor"][keep] ^ k.mix(found["content"][keep])).tolist()
-                        fresh = []
-                        for i, key in enumerate(both):
-                            if key not in seen:
-                                seen.add(key)
-                                fresh.append(i)
-                        keep = keep[fresh]
-                    if not len(keep):
-                        continue
-                    first, many = found["first"][keep], found["many"][keep]
-                    at = pa.array(found["row"][keep] + row)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(at),
-                            keys.take(at),
-                            pa.array(first - bounds[found["row"][keep]] + before, pa.int64()),
-                            pa.array(many, pa.int32()),
-                            pa.array(found["anchor"][keep].view(np.int64)),
-                            pa.array(found["content"][keep].view(np.int64)),
-                            self.payloads(symbols, data, first, many) if others is not None else pa.nulls(len(keep), pa.binary()),
-                        ],
-                        names=["doc_id", "text_key", "first", "many", "anchor", "content", "payload"],
-                    )
+                    keep = np.flatnonzero(sketch.estimate(counts, found["anchor"]))
+                    if len(keep):
+                        yield p.run_rows(batch, row, bounds, before, found, keep)
 
         return go
 
-    def payloads(self, symbols: np.ndarray, data: np.ndarray, first: np.ndarray, many: np.ndarray) -> pa.Array:
-        """What a run's windows are compared by: the run's own bytes, or 64-bit keys of its word windows."""
-        if self.unit == "byte":
-            sizes = many + self.width - 1
-            source, item = data, 1
-        else:
-            sizes, item = many, 8
-            source = k.Rolling(k.mix(symbols ^ U(0x5851F42D4C957F2D)), 1).windows(self.width).view(np.uint8).reshape(-1, 8)
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(first, sizes)
-        offsets = (np.concatenate([[0], ends]) * item).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(source[places]).tobytes())])
-
-    def window_keys(self, payloads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all windows of the runs, one after another, and the number of windows of each run."""
-        sizes = np.array([len(x) for x in payloads.to_pylist()], np.int64)
-        raw = np.frombuffer(b"".join(payloads.to_pylist()), np.uint8)
-        if self.unit == "word":
-            return raw.view(U), sizes // 8
-        many = sizes - self.width + 1
-        ends = np.cumsum(sizes)
-        starts = np.repeat(ends - sizes - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        return k.Rolling(k.mix(k.BYTE_CODES[raw] ^ U(0x5851F42D4C957F2D)), 1).windows(self.width)[starts], many
-
-    def compare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """mapInArrow over runs sorted by anchor and content: the stretches of windows that two contents of an anchor share."""
-        held: list[pa.RecordBatch] = []
-
-        def finish(t: pa.Table) -> pa.RecordBatch | None:
-            anchor, content = (np.asarray(t.column(c)).astype(np.int64) for c in ("anchor", "content"))
-            single = np.ones(len(anchor), bool)
-            single[1:] = (np.diff(anchor) != 0) | (np.diff(content) != 0)
-            group = np.cumsum(np.append(0, (np.diff(anchor) != 0).astype(np.int64)))
-            rest = np.flatnonzero(single & (np.bincount(group[single])[group] > 1))
-            if not len(rest):
-                return None
-            keys, sized = self.window_keys(t.column("payload").combine_chunks().take(pa.array(rest)))
-            run = np.repeat(rest, sized)
-            spot = np.arange(len(run)) - np.repeat(np.cumsum(sized) - sized, sized)
-            order = np.lexsort((keys, group[run]))
-            same = (np.diff(group[run][order]) == 0) & (np.diff(keys[order]) == 0)
-            twin = np.zeros(len(run), bool)
-            twin[order[1:]] |= same
-            twin[order[:-1]] |= same
-            hits = np.flatnonzero(twin)
-            if not len(hits):
-                return None
-            begin = np.flatnonzero(np.append(True, (np.diff(run[hits]) != 0) | (np.diff(spot[hits]) != 1)))
-            last = np.append(begin[1:], len(hits)) - 1
-            at = run[hits[begin]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(anchor[at]), pa.array(content[at]), pa.array(spot[hits[begin]], pa.int32()), pa.array(spot[hits[last]] + 1, pa.int32())], names=["anchor", "content", "lo", "hi"]
-            )
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 2000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            anchor = np.asarray(t.column("anchor"))
-            whole = int(np.searchsorted(-(anchor != anchor[-1]).astype(np.int8), 0))  # rows before the last anchor, which may go on
-            if whole and (out := finish(t.slice(0, whole))) is not None:
-                yield out
-            held = t.slice(whole).to_batches()
-        if held and (out := finish(pa.Table.from_batches(held))) is not None:
-            yield out
-
-    def spread(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """mapInArrow: one row for each window of a run."""
+    def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """mapInArrow over (text, runs): a row for each window of the runs, with the window's own key."""
         for batch in batches:
-            get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-            keys, many = self.window_keys(get("payload"))
-            at = pa.array(np.repeat(np.arange(batch.num_rows), many))
-            spot = np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays(
-                [get("anchor").take(at), get("content").take(at), pa.array(spot, pa.int32()), pa.array(keys.view(np.int64))],
-                names=["anchor", "content", "lo", "window"],
-            )
-
+            of_row, runs = p.runs_of(batch)
+            for row, codes, bounds, before in self.slices(batch):
+                inside = (runs["first"] >= before) & (runs["first"] - before <= len(codes) - self.width)
+                pick = np.flatnonzero((of_row >= row) & (of_row < row + len(bounds) - 1) & inside)
+                if not len(pick):
+                    continue
+                keys = k.Rolling(k.mix(codes ^ U(0x5851F42D4C957F2D)), 1).windows(self.width)
+                many = runs["many"][pick].astype(np.int64)
+                at = np.repeat(np.arange(len(pick)), many)
+                spot = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                start = runs["first"][pick][at] - before + bounds[of_row[pick][at] - row] + spot
+                take = pick[at]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(runs["anchor"][take]),
+                        pa.array(keys[start].view(np.int64)),
+                        pa.array(runs["content"][take]),
+                        pa.array(runs["single"][take].astype(bool)),
+                        pa.array(spot // p.BITS, pa.int32()),
+                        pa.array(spot % p.BITS, pa.int32()),
+                    ],
+                    names=["anchor", "window", "content", "single", "block", "bit"],
+                )
+
+    # -- plan -----------------------------------------------------------------------------------------------------
     def spans(self, texts: DataFrame) -> DataFrame:
-        """(doc_id, text_key, spans): per text the covered [start, end) stretches, in units, flat and sorted by start."""
-        sent = self.sketch.build(texts.select("text"), self.anchors)
-        places = texts.mapInArrow(self.scan(sent), _RUN).select("doc_id", "text_key", "first", "many", "anchor", "content")
-        folded = settled(places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.max("many").alias("many")), "folded")
-        whole = folded.where("copies > 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("many").alias("hi"))
-        mixed = self.contents.build(folded.select("anchor"), lambda batch: iter([np.asarray(batch.column(0)).view(U)]))
-        calm = (
-            texts.mapInArrow(self.scan(sent, mixed), _RUN)
-            .select("anchor", "content", "payload")
-            .repartition("anchor")
-            .sortWithinPartitions("anchor", "content")
-            .mapInArrow(self.compare, _HIT)
-        )
-        windows = texts.mapInArrow(self.scan(sent, mixed, busy=True), _RUN).select("anchor", "content", "payload").mapInArrow(self.spread, "anchor long, content long, lo int, window long")
-        often = windows.groupBy("anchor", "window").agg(F.min("content").alias("one"), F.max("content").alias("other")).where("one < other").select("anchor", "window")
-        busy = windows.join(often, ["anchor", "window"]).select("anchor", "content", "lo", (F.col("lo") + 1).alias("hi")).distinct()
-        hits = whole.unionByName(calm).unionByName(busy)
-        found = places.join(hits, ["anchor", "content"]).select(
-            "doc_id", "text_key", F.struct((F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") + (self.width - 1)).alias("end")).alias("span")
-        )
-        return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-
-    def apply(self, docs: DataFrame, id_col: str, text_col: str, cut: Callable, schema: str) -> DataFrame:
-        """Join the spans to their texts and let ``cut`` (a mapInArrow function) make the result rows."""
-        texts = keyed_text(docs, id_col, text_col)
-        spans = self.spans(texts).withColumnsRenamed({"doc_id": "span_id", "text_key": "span_key"})
-        joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("text_key") == F.col("span_key")), "left")
-        starts = F.coalesce(F.col("spans.start"), F.array().cast("array<bigint>")).alias("starts")
-        ends = F.coalesce(F.col("spans.end"), F.array().cast("array<bigint>")).alias("ends")
-        return joined.select("doc_id", "text", starts, ends).mapInArrow(cut, schema)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, bytes, np.ndarray]]:
-    for batch in batches:
-        get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-        starts, ends = get("starts"), get("ends")
-        for i, doc_id in enumerate(get("doc_id")):
-            at = np.column_stack([np.asarray(starts[i].values).astype(np.int64), np.asarray(ends[i].values).astype(np.int64)]) if len(starts[i]) else np.zeros((0, 2), np.int64)
-            yield doc_id.as_py(), get("text")[i].as_buffer().to_pybytes(), k.merge_ranges(at)
-
-
-def _out(rows: list[tuple], names: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
-
-
-def _batched(rows: Iterator[tuple], names: list[tuple[str, pa.DataType]], size: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield _out(held, names)
-            held = []
-    if held:
-        yield _out(held, names)
-
-
-def repeated_word_windows(width: int = 35, gram: int = 5, sketch: CountMin | None = None, busy_from: int = 5000) -> Repeats:
-    return Repeats("word", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2, kind=np.uint16), busy_from)
-
-
-def repeated_byte_strings(width: int = 200, gram: int = 80, sketch: CountMin | None = None, busy_from: int = 5000) -> Repeats:
-    return Repeats("byte", width, min(gram, width), sketch or CountMin(bits=25, depth=2), CountMin(bits=24, depth=2, kind=np.uint16), busy_from)
-
-
-def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Repeats | None = None) -> DataFrame:
-    """Remove every word that a repeated window of words covers (count-min prefilter, then exact groups).
+        """(doc_id, text_key, spans): per text the covered [start, end) stretches of words."""
+        sketch = self.sketch or CountMin.sized((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _BYTES_PER_ANCHOR)
+        sent = sketch.build(texts.select("text"), self.anchors)
+        runs = settled(texts.mapInArrow(self.runs(sketch, sent), p.RUN), "runs")
+        fold = p.folded(runs)
+        mixed = p.of_mixed_anchors(fold)
+
+        windows = settled(p.with_text(texts, mixed).mapInArrow(self.windows, _WINDOW), "windows")
+        often = windows.groupBy("anchor", "window").agg(F.min("content").alias("one"), F.max("content").alias("other"), F.max("single").alias("open"))
+        often = often.where("one < other and open").select("anchor", "window")
+        equal = windows.where("single").join(often, ["anchor", "window"]).groupBy("anchor", "content", "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        found = equal.join(mixed.where("copies = 1"), ["anchor", "content"])
+        found = settled(found.select("doc_id", "text_key", (F.col("first") + F.col("block") * p.BITS).alias("base"), "mask"), "repeated")
+        discard(windows, mixed)
+        return p.covered(runs, fold, found, self.width)
+
+
+def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: RepeatedWindows | None = None) -> DataFrame:
+    """Remove every word that a repeated window of words covers; see the module for method and cases.
 
     Words are stretches without space and \\x09-\\x0D, unchanged. Returns doc_id, n_words, n_removed, kept_text (kept words
     joined by one space) and the removed word spans, one row for each row of ``docs``.
     """
+    finder = finder or RepeatedWindows()
     names = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for doc_id, text, spans in _rows(batches):
+            for doc_id, text, spans in p.rows_with_spans(batches):
                 tokens = text.split()
                 kept, at = [], 0
                 for start, end in spans.tolist():
@@ -290,49 +144,13 @@ def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kept += tokens[at:]
                 yield doc_id, len(tokens), len(tokens) - len(kept), b" ".join(kept).decode(), spans[:, 0].tolist(), spans[:, 1].tolist()
 
-        yield from _batched(rows(), names, 500)
-
-    return (finder or repeated_word_windows()).apply(docs, id_col, text_col, cut, "doc_id long, n_words long, n_removed long, kept_text string, span_starts array<long>, span_ends array<long>")
+        yield from p.batched(rows(), names)
 
-
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Repeats | None = None) -> DataFrame:
-    """Remove every byte that a repeated string of ``width`` bytes covers (radix passes over depth-limited suffixes).
-
-    The suffixes are ordered through ``width`` bytes only, most significant digit first: the first digit is the suffix's
-    anchor (counted in a histogram of fixed size; suffixes alone in their bucket retire), the second the content of its
-    run, the last the whole ``width``-byte key of what is left. Groups of equal keys are the repeated strings. Returns
-    doc_id, n_bytes, n_removed, n_spans, kept (binary) and the removed byte spans, one row for each row of ``docs``.
-    """
-    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64()))]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for doc_id, text, spans in _rows(batches):
-                kept, at = [], 0
-                for start, end in spans.tolist():
-                    kept.append(text[at:start])
-                    at = end
-                kept.append(text[at:])
-                rest = b"".join(kept)
-                yield doc_id, len(text), len(text) - len(rest), len(spans), rest, spans[:, 0].tolist(), spans[:, 1].tolist()
-
-        yield from _batched(rows(), names, 500)
-
-    return (finder or repeated_byte_strings()).apply(docs, id_col, text_col, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, span_starts array<long>, span_ends array<long>")
+    texts = keyed_text(docs, id_col, text_col)
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, span_starts array<long>, span_ends array<long>"
+    return p.cut_texts(texts, finder.spans(texts), cut, schema)
 
 
 def query_op3(spark, sf_dir: str) -> DataFrame:
-    from strandloom.llm._shared import table
-
     out = drop_repeated_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
-
-
-def query_op7(spark, sf_dir: str) -> DataFrame:
-    from strandloom.llm._shared import table
-
-    out = drop_repeated_bytes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-__all__ = ["Repeats", "drop_repeated_bytes", "drop_repeated_words", "query_op3", "query_op7", "repeated_byte_strings", "repeated_word_windows"]

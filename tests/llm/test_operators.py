@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontam, jaccard, packing, pii, repeats, secrets, token_files, topk, toxicity
+from strandloom.llm import decontam, jaccard, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
 from strandloom.llm.components import components
 from tests.llm import brute
 
@@ -90,20 +90,27 @@ def test_trigram_queries():
     assert ["aki", "kia"] in secrets.trigram_query("AKIA[A-Z0-9]+")
 
 
-@pytest.mark.parametrize("busy_from", [2, 5000])
-def test_repeated_words(docs, rows, nothing, busy_from):
-    finder = repeats.repeated_word_windows(busy_from=busy_from, sketch=repeats.CountMin(bits=16))
+@pytest.mark.parametrize("bits", [16, None])
+def test_repeated_words(docs, rows, nothing, bits):
+    finder = repeats.RepeatedWindows(sketch=bits and repeats.CountMin(bits=bits))
     got = by_id(repeats.drop_repeated_words(docs, finder=finder).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256)), "n_words", "n_removed", "h")
     assert got == {r[0]: w for r, w in zip(rows, brute.word_dedup([r[1] for r in rows]), strict=True)}
     assert repeats.drop_repeated_words(nothing, finder=finder).count() == 0
 
 
-@pytest.mark.parametrize("busy_from", [2, 5000])
-def test_repeated_bytes(docs, rows, nothing, busy_from):
-    finder = repeats.repeated_byte_strings(busy_from=busy_from, sketch=repeats.CountMin(bits=16))
-    got = by_id(repeats.drop_repeated_bytes(docs, finder=finder).withColumn("h", F.sha2("kept", 256)), "n_bytes", "n_removed", "n_spans", "h")
-    assert got == {r[0]: w for r, w in zip(rows, brute.byte_dedup([r[1] for r in rows]), strict=True)}
-    assert repeats.drop_repeated_bytes(nothing, finder=finder).count() == 0
+def test_repeated_words_of_small_windows_and_pieces(docs, rows):
+    finder = repeats.RepeatedWindows(width=9, gram=3, sketch=repeats.CountMin(bits=12), step=64)
+    got = by_id(repeats.drop_repeated_words(docs, finder=finder).withColumn("h", F.sha2(F.col("kept_text").cast("binary"), 256)), "n_words", "n_removed", "h")
+    assert got == {r[0]: w for r, w in zip(rows, brute.word_dedup([r[1] for r in rows], 9), strict=True)}
+
+
+@pytest.mark.parametrize("passes", [{}, {"width": 40, "digit": 9, "block": 6}, {"width": 64, "digit": 32, "block": 33}])
+def test_repeated_bytes(docs, rows, nothing, passes):
+    passes = suffixes.SuffixPasses(**passes)
+    got = by_id(suffixes.drop_repeated_bytes(docs, passes=passes).withColumn("h", F.sha2("kept", 256)), "n_bytes", "n_removed", "n_spans", "h")
+    want = brute.byte_dedup([r[1] for r in rows], passes.width)
+    assert got == {r[0]: w for r, w in zip(rows, want, strict=True)}
+    assert suffixes.drop_repeated_bytes(nothing, passes=passes).count() == 0
 
 
 def test_contamination(spark, docs, rows, nothing):
@@ -121,12 +128,49 @@ def test_contamination(spark, docs, rows, nothing):
     assert decontam.find_contamination(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
 
-@pytest.mark.parametrize("few", [1, 64])
-def test_jaccard_components(spark, docs, rows, nothing, few):
-    small = jaccard.JaccardJoin(few=few, slots=2, crowd=3, order=jaccard.CountMin(bits=14, depth=1, kind=np.uint16), wanted=jaccard.CountMin(bits=14))
-    got = by_id(jaccard.near_duplicates(docs, join=small), "n_shingles", "component_id")
+@pytest.mark.parametrize("join", [{}, {"few": 1, "first": 1}, {"few": 3, "first": 1, "crowd": 4, "frequent": 2, "chunk": 500, "ranked": 50}])
+def test_jaccard_components(spark, docs, rows, nothing, join):
+    join = jaccard.JaccardJoin(**join)
+    got = by_id(jaccard.near_duplicates(docs, join=join), "n_shingles", "component_id")
     assert got == {d: (n, c) for d, n, c in brute.components([(r[0], r[1]) for r in rows])}
-    assert jaccard.near_duplicates(nothing, join=small).count() == 0
+    assert jaccard.near_duplicates(nothing, join=join).count() == 0
+
+
+def near_copies(seed, n=120, words=60):
+    """Groups whose members differ a little from each other, at and around the similarity of a link."""
+    r = random.Random(seed)
+    out = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(words)]
+        for _ in range(n // 3):
+            t = list(base)
+            at = r.randrange(0, words - 6)
+            t[at : at + r.randrange(0, 4)] = [f"x{r.randrange(9)}" for _ in range(r.randrange(0, 4))]
+            if r.random() < 0.3:
+                t += [f"y{r.randrange(4)}" for _ in range(r.randrange(1, 8))]
+            out.append(" ".join(t))
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("join", [{}, {"few": 5, "first": 1}, {"few": 4, "first": 1, "crowd": 7, "frequent": 2, "chunk": 300, "ranked": 200}])
+def test_jaccard_of_crowded_regions(spark, join):
+    rows = near_copies(1)
+    got = by_id(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), join=jaccard.JaccardJoin(**join)), "n_shingles", "component_id")
+    assert got == {d: (n, c) for d, n, c in brute.components(rows)}
+
+
+def test_cells_find_what_all_pairs_find():
+    r, join = np.random.default_rng(5), jaccard.JaccardJoin()
+    centres = r.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    bits = centres[r.integers(0, 40, 3000)]
+    for _ in range(6):
+        bits[np.arange(3000), r.integers(0, 4, 3000)] ^= np.uint64(1) << r.integers(0, 63, 3000, dtype=np.uint64)
+    x = {"bits": bits, "n": r.integers(90, 110, 3000), "place": np.zeros(3000, np.int64), "label": np.arange(3000), "key": np.arange(3000)}
+    guests, members = np.arange(0, 3000, 2), np.arange(3000)
+    got = {(i, j) for part in join.by_cells(x, guests, members, 5000) for i, j in zip(part[0], part[1], strict=True)}
+    ok, _ = join.may_link(x, guests[:, None], members[None, :])
+    assert got == {(guests[i], members[j]) for i, j in zip(*np.nonzero(ok), strict=True)} and len(got) > 10_000
 
 
 def test_components_of_a_chain_and_a_star(spark):

@@ -1,6 +1,9 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. An
+empty table goes through every stage and gives an empty result; further columns are kept by all stages but the last,
+whatever their names; null texts stay, and have no place in a sequence. The stages take whole tables: the clusters that the
+last one keeps apart are equal texts, as the second leaves one text of each near-duplicate class.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row of least doc_id stays; rows with a null id stay."""
-    found = settled(near_duplicates(docs), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
+    """Of each class of near duplicates the text of least (doc_id, hash) stays, once; rows without words or without an id stay.
+    Unlike texts that share a doc_id are not duplicates. Of repeated rows (same id and text) any one stays."""
+    found = settled(near_duplicates(docs).where("class_id is not null and doc_id is not null"), "classes")
+    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.doc_id", "kept.text_key")
+    gone = found.join(first, ["doc_id", "text_key"], "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["gone_id"]) & (key == gone["gone_key"]), "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        named = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        kept = kept.where(named).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~named))
     return kept
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandloom.llm import _kernels as k
-from strandloom.llm._shared import settled
+from strandloom.llm._shared import discard, settled
 
 RUN = "doc_id long, text_key long, first long, many int, lead int, anchor long, content long"
 #: Windows whose answers share one row, a bit each.
@@ -37,6 +37,15 @@ def run_rows(batch: pa.RecordBatch, row: int, bounds: np.ndarray, before: int, f
     )
 
 
+def joined_apart(rows: DataFrame, keys: DataFrame, on: list[str], label: str) -> DataFrame:
+    """Join rows to grouped keys that were written before. A join straight on a grouping would keep its partitioning, and
+    all rows of one key in one task; so Spark is free to split a frequent key."""
+    known = settled(keys, f"{label}_keys")
+    out = settled(rows.join(known, on), label)
+    discard(known)
+    return out
+
+
 def folded(runs: DataFrame) -> DataFrame:
     """One row for each (anchor, content) with its number of runs and one of them; map-side first."""
     some = [F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "many", "lead")]
@@ -46,7 +55,7 @@ def folded(runs: DataFrame) -> DataFrame:
 def of_mixed_anchors(fold: DataFrame) -> DataFrame:
     """The rows whose anchor has several contents: the only ones whose windows must be compared one by one."""
     several = fold.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor")
-    return settled(fold.join(several, "anchor"), "mixed")
+    return joined_apart(fold, several, ["anchor"], "mixed")
 
 
 def with_text(texts: DataFrame, mixed: DataFrame) -> DataFrame:

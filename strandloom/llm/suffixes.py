@@ -140,7 +140,7 @@ class SuffixPasses:
         """(doc_id, text_key, spans): per text the covered [start, end) stretches of bytes."""
         runs = settled(texts.mapInArrow(self.runs, p.RUN), "suffixes")
         shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-        alive = settled(runs.join(shared, "anchor").select(*runs.columns), "first_digit")
+        alive = p.joined_apart(runs, shared, ["anchor"], "first_digit")
         discard(runs)
         fold = p.folded(alive)
         mixed = p.of_mixed_anchors(fold)
@@ -148,7 +148,7 @@ class SuffixPasses:
         blocks = settled(p.with_text(texts, mixed).mapInArrow(self.blocks, _BLOCK), "blocks")
         differ = [F.min("content").alias("one"), F.max("content").alias("other"), F.max("single").alias("open")]
         second = blocks.groupBy("anchor", "core").agg(*differ, (F.min("whole") == F.max("whole")).alias("agree")).where("one < other and open")
-        left = settled(blocks.join(second.select("anchor", "core", "agree"), ["anchor", "core"]), "second_digit")
+        left = p.joined_apart(blocks, second.select("anchor", "core", "agree"), ["anchor", "core"], "second_digit")
         discard(blocks)
         # bit b of a block's mask is its suffix of lead block * size + size - 1 - b: bits rise with the place in the text
         wide = self.block - 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm._shared import table
+from strandloom.llm._shared import discard, settled, table
 
 #: Letters, digits and bytes above 127 stay; all else parts words.
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -127,20 +127,38 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000,
     spark = docs.sparkSession
     small = spark.createDataFrame([(r["s_id"], r["s_label"]) for r in chosen], "s_id long, s_label int")
     joined = docs.select(F.col(id_col).cast("long").alias("s_id"), F.col(text_col).cast("string").alias("s_text")).join(F.broadcast(small), "s_id")
+    # of texts that share an id, the one of least hash
+    joined = joined.groupBy("s_id", "s_label").agg(F.min_by("s_text", F.xxhash64("s_text")).alias("s_text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             words = [sorted(_distinct_words(t.as_py())) for t in get("s_text")]
-            every = [np.array([p for w in x for p in _places(w)], "<i8").tobytes() for x in words]
-            yield pa.RecordBatch.from_arrays([get("s_id"), get("s_label"), pa.array(every, pa.binary())], names=["s_id", "s_label", "every"])
-
-    got = {r["s_id"]: r for r in joined.select("s_id", "s_label", "s_text").mapInArrow(features, "s_id long, s_label int, every binary").toLocalIterator()}
-    rows = [got[i] for i in sorted(got)]
-    toxic = np.array([r["s_label"] for r in rows], np.int64)
-    every = [np.frombuffer(r["every"], "<i8") for r in rows]
-    if not len(rows) or not 0 < toxic.sum() < len(rows):
+            every = [[p for w in x for p in _places(w)] for x in words]
+            yield pa.RecordBatch.from_arrays([get("s_id"), get("s_label"), pa.array(every, pa.list_(pa.int64()))], names=["s_id", "s_label", "every"])
+
+    sample = settled(joined.select("s_id", "s_label", "s_text").mapInArrow(features, "s_id long, s_label int, every array<long>"), "labelled")
+    n = {r["s_label"]: r["n"] for r in sample.groupBy("s_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return fit([], np.zeros(0, np.int64))
+    # the driver gets the features that can tell, and of each row of the sample those alone
+    held = sample.select("s_label", F.explode(F.array_distinct("every")).alias("place")).groupBy("place").agg(F.count_if(F.col("s_label") == 0).alias("clean"), F.count_if(F.col("s_label") == 1).alias("toxic"))
+    can = held.where((F.col("clean") + F.col("toxic") >= 2) & (F.col("toxic") * n[0] > F.col("clean") * n[1])).select("place")
+    places = np.sort(can.toArrow().column("place").to_numpy().astype("<i8"))
+    sent = spark.sparkContext.broadcast(places.tobytes())
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(sent.value, "<i8")
+        for batch in batches:
+            every = [np.asarray(v.values).astype("<i8") for v in batch.column(2)]
+            at = [np.searchsorted(known, x).clip(max=max(len(known) - 1, 0)) for x in every]
+            kept = [x[known[i] == x] if len(known) else x[:0] for x, i in zip(every, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in kept], pa.binary())], names=["s_id", "s_label", "every"])
+
+    got = sample.mapInArrow(narrow, "s_id long, s_label int, every binary").toArrow().sort_by("s_id")
+    discard(sample)
+    every = [np.frombuffer(x.as_buffer(), "<i8") for x in got.column("every")]
+    toxic = np.asarray(got.column("s_label")).astype(np.int64)
     return fit(every, severity(every, toxic))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -58,7 +59,10 @@ class WordCoder:
         core = word[:-1] if word and word[-1] in ",.;:!?" else word
         if not core.isalpha():
             return None
-        return core.lower() if self.lower_case and core.isascii() else core
+        if core.isascii():
+            return core.lower() if self.lower_case else core
+        # a letter that the normaliser turns into a letter and a mark of its own would draw the closing mark to it
+        return core if unicodedata.normalize("NFC", core).lower().isalpha() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]

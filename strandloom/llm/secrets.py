@@ -53,8 +53,7 @@ def literal_runs(pattern: str) -> list[list[str]]:
 
         def cut() -> None:
             for a in alternatives:
-                if a[-1]:
-                    a.append("")
+                a.append("")  # even if the run is empty: what a class opens or closes never joins its neighbours
 
         for op, arg in items:
             if op is c.LITERAL:

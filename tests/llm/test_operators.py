@@ -1,6 +1,7 @@
 """The corpus operators against the plain versions in brute.py, on a fixture with nulls, empties, ties, copies and long texts."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -85,11 +86,33 @@ def test_secrets(docs, rows, nothing):
 
 
 def test_trigram_queries():
-    assert secrets.trigram_query("(foo|bar)baz") == [["baz", "foo", "oba", "oob"], ["arb", "bar", "baz", "rba"]] or len(secrets.trigram_query("(foo|bar)baz")) == 2
+    assert sorted(secrets.trigram_query("(foo|bar)baz")) == [["arb", "bar", "baz", "rba"], ["baz", "foo", "oba", "oob"]]
     assert secrets.trigram_query("[0-9a-f]{24,}") == []
+    assert secrets.trigram_query("foo([0-9])bar") == [["bar", "foo"]]
     assert ["aki", "kia"] in secrets.trigram_query("AKIA[A-Z0-9]+")
 
 
+def test_every_match_satisfies_its_trigram_query():
+    r = random.Random(9)
+
+    def pattern(depth):
+        kinds = [lambda: r.choice("abc"), lambda: "[ab]", lambda: ".", lambda: "abc"]
+        if depth:
+            kinds += [lambda: f"({pattern(depth - 1)})", lambda: f"({pattern(depth - 1)}|{pattern(depth - 1)})", lambda: f"(?:{pattern(depth - 1)})?", lambda: r.choice("abc") + r.choice(["+", "*", "{2}", "{1,2}"]), lambda: f"(?:{pattern(depth - 1)})" + r.choice(["+", "*", "{2}"])]
+        return "".join(r.choice(kinds)() for _ in range(r.randrange(1, 5)))
+
+    tried = 0
+    for _ in range(1500):
+        p = pattern(2)
+        query = secrets.trigram_query(p)
+        for _ in range(20):
+            m = re.search(p, "".join(r.choice("abcd") for _ in range(14)))
+            if m and query:
+                tried += 1
+                assert any(all(g in m.string for g in q) for q in query), (p, m.string)
+    assert tried > 500
+
+
 @pytest.mark.parametrize("bits", [16, None])
 def test_repeated_words(docs, rows, nothing, bits):
     finder = repeats.RepeatedWindows(sketch=bits and repeats.CountMin(bits=bits))
@@ -196,6 +219,20 @@ def test_token_files_round_trip(spark, docs, rows, nothing, tmp_path):
     assert token_files.read_token_files(spark, f"{folder}-none").count() == 0
 
 
+def test_word_ids_equal_whole_text_ids():
+    import public_tokenizers as P
+
+    coder = token_files.WordCoder(P.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha() and not 0x3400 <= c < 0xD7A4 and not 0x20000 <= c]
+    texts = [x + mark for x in letters for mark in ".,"] + ["a" + x + "!" for x in letters] + ["tab\tx", "no\u00a0break.", "\u3000wide, Two\r\nlines", "a  b", " x ", "\n", "x.\n\ny"]
+    texts += [coder.tokenizer.id_to_token(i) + "." for i in (0, 1)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        want = [np.array(e.ids, coder.kind).tobytes() for e in coder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        bad = [t for t, x, y in zip(part, coder.encode(part), want, strict=True) if x != y]
+        assert not bad, bad[:20]
+
+
 def test_exact_top_k(spark):
     r = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in r.integers(-3, 4, 8) / 4]) for i in range(230)] + [(500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (50, [0.5] * 8)]

@@ -267,11 +267,12 @@ def survival_curve(df: DataFrame, grid_step: float, grid_max: float, n: int, sam
 def bh_adjust(df: DataFrame, p: str = "p", partition: Sequence[str] = (), name: str = "p_adjusted") -> DataFrame:
     """Benjamini-Hochberg within each partition: the least p * m / rank over this and higher ranks, at most 1."""
     by = list(partition)
-    w = Window.partitionBy(*by).orderBy(p)
-    m = Window.partitionBy(*by)
-    ranked = df.withColumn("_m", F.count(p).over(m)).withColumn("_r", F.when(F.col(p).isNotNull(), F.sum(F.col(p).isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    back = Window.partitionBy(*by).orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(back)))).drop("_m", "_r")
+    # ranks of ties count all of them, so rows of equal p agree; both frames end at the row's peers and only grow
+    up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = df.withColumn("_m", F.count(p).over(Window.partitionBy(*by))).withColumn("_r", F.count(p).over(up))
+    least = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down)
+    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_m", "_r")
 
 
 def avg_rank(df: DataFrame, col: str, partition: Sequence[str] = (), name: str = "rank") -> DataFrame:

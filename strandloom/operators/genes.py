@@ -12,15 +12,22 @@ from strandloom.operators.nearest import nearest
 from strandloom.operators.sites import exclude_region
 
 
+#: Study types that count as molecular evidence. Fixed values.
+MOLECULAR = ("eqtl", "pqtl", "sqtl", "tuqtl", "edqtl", "sceqtl", "scsqtl")
+
+
 def flatten_evidence(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(molecular rows: id, gene, kind, tissue, pip; association rows: id, study, confidence, gene, l2g) of nested records
-    (id, credibleSets.rows[...]). A null probability is kept null."""
-    rows = evidence.select("id", F.explode_outer("credibleSets.rows").alias("r")).where("r is not null")
-    pip = F.array_max(F.transform("r.locus.rows", lambda x: x["posteriorProbability"]))
-    kind = F.lower("r.studyType")
-    qtl = rows.where(kind != "gwas").select("id", F.coalesce("r.qtlGeneId", "r.study.target").alias("gene"), kind.alias("kind"), F.col("r.study.biosample").alias("tissue"), pip.alias("pip"))
-    gwas = rows.where(kind == "gwas").select("id", F.col("r.study.id").alias("study"), F.col("r.confidence").alias("confidence"), F.explode_outer("r.l2GPredictions.rows").alias("p"))
-    return qtl, gwas.select("id", "study", "confidence", F.col("p.target").alias("gene"), F.col("p.score").alias("l2g"))
+    (id, credibleSets.rows[...]). A gene goes by its symbol, a molecular one without symbol by its id; the probability is
+    the first locus row's, null if it has none; other study types give no rows."""
+    rows = evidence.select("id", F.explode_outer("credibleSets.rows").alias("r")).where("r is not null").withColumn("kind", F.lower("r.studyType"))
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    pip = F.get("r.locus.rows", F.lit(0))["posteriorProbability"]
+    tissue = F.coalesce(some("r.study.biosample.biosampleName"), F.lit("?"))
+    gene = F.coalesce(some("r.study.target.approvedSymbol"), some("r.qtlGeneId"))
+    qtl = rows.where(F.col("kind").isin(*MOLECULAR)).select("id", gene.alias("gene"), "kind", tissue.alias("tissue"), pip.alias("pip"))
+    gwas = rows.where("kind = 'gwas'").select("id", F.col("r.study.id").alias("study"), F.col("r.confidence").alias("confidence"), F.explode_outer("r.l2GPredictions.rows").alias("p"))
+    return qtl, gwas.select("id", "study", "confidence", some("p.target.approvedSymbol").alias("gene"), F.col("p.score").alias("l2g"))
 
 
 def best_evidence(qtl: DataFrame, gwas: DataFrame) -> DataFrame:

@@ -109,8 +109,10 @@ def read_gtf_transcripts(spark: SparkSession, path: str, gene_type: str = "prote
 
 EVIDENCE_DDL = (
     "id string, rsIds array<string>, mostSevereConsequence struct<label:string>, credibleSets struct<count:int, rows:array<struct<"
-    "studyType:string, qtlGeneId:string, confidence:string, study:struct<id:string,target:string,biosample:string>,"
-    "locus:struct<rows:array<struct<posteriorProbability:double>>>, l2GPredictions:struct<rows:array<struct<score:double,target:string>>>>>>"
+    "studyType:string, qtlGeneId:string, confidence:string, study:struct<id:string,"
+    "target:struct<id:string,approvedSymbol:string>,biosample:struct<biosampleName:string>>,"
+    "locus:struct<rows:array<struct<posteriorProbability:double>>>, l2GPredictions:struct<rows:array<struct<"
+    "score:double,target:struct<id:string,approvedSymbol:string>>>>>>>"
 )
 
 

@@ -1,5 +1,6 @@
 """Filters, joins, genotype counts, coordinates and readers on small hand-made frames."""
 
+import json
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -157,3 +158,16 @@ def test_pruning_does_not_depend_on_blocks(spark):
     assert 0 < len(uncut) < 330
     assert sorted(r["pos"] for r in GT.ld_prune(df, 20, 5, 0.3, 60).collect()) == uncut
     assert sorted(r["pos"] for r in GT.ld_prune(df, 20, 5, 0.3, 60, "out").collect()) == sorted(set(range(0, 3300, 10)) - set(uncut))
+
+
+def test_nested_evidence(spark, tmp_path):
+    from strandloom.sources import text as T
+
+    row = {"studyType": "eQTL", "qtlGeneId": "ENSG1", "confidence": "high", "study": {"id": "s1", "target": {"id": "ENSG1", "approvedSymbol": "AB"}, "biosample": {"biosampleName": "blood"}}, "locus": {"rows": [{"posteriorProbability": 0.2}, {"posteriorProbability": 0.9}]}}
+    bare = {"studyType": "pqtl", "qtlGeneId": "ENSG9", "study": {"id": "s2", "target": None, "biosample": None}, "locus": None}
+    gwas = {"studyType": "gwas", "confidence": "low", "study": {"id": "s3"}, "l2GPredictions": {"rows": [{"score": 0.7, "target": {"id": "ENSG2", "approvedSymbol": "CD"}}]}}
+    other = {"studyType": "unknownqtl", "qtlGeneId": "ENSG5"}
+    (tmp_path / "e.json").write_text(json.dumps({"id": "v1", "credibleSets": {"count": 4, "rows": [row, bare, gwas, other]}}) + "\n" + json.dumps({"id": "v2", "credibleSets": None}) + "\n")
+    qtl, found = G.flatten_evidence(T.read_evidence(spark, str(tmp_path / "e.json")))
+    assert sorted(map(tuple, qtl.collect())) == [("v1", "AB", "eqtl", "blood", 0.2), ("v1", "ENSG9", "pqtl", "?", None)]
+    assert [tuple(r) for r in found.collect()] == [("v1", "s3", "low", "CD", 0.7)]

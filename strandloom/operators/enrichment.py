@@ -12,10 +12,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from strandloom.functions.tails import hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
-from strandloom.llm._shared import settled
 from strandloom.operators.bins import avg_rank, bh_adjust
 from strandloom.operators.carry import previous
 from strandloom.operators.islands import merge
+from strandloom.storage import settled
 
 
 def _rng(seed: int, *key: int) -> np.random.Generator:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandloom.llm._shared import settled
+from strandloom.storage import settled
 from strandloom.operators.carry import running
 
 

@@ -1,68 +1,20 @@
-"""Small helpers that every corpus operator uses: table access, shared storage."""
+"""Small helpers that every corpus operator uses: table access, shared storage, keyed texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Whether Spark removes an action's shuffle files when the action ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from strandloom.storage import discard, fresh_path, settled, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Where the session names none, a local session (tests on one machine) gets a temporary folder, and a cluster an error:
-    a folder of the driver's machine is not seen by executors.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="strandloom-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives a lost executor. The write's own
-    shuffle files go when it ends, as the written table replaces them."""
-    spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove settled tables that nothing will read again."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, text): ``text_key`` tells rows that share an id but not a text apart; null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+__all__ = ["discard", "fresh_path", "keyed_text", "settled", "shared_dir", "table"]

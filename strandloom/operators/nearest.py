@@ -15,6 +15,8 @@ def nearest(a: DataFrame, b: DataFrame, ties: str = "all", max_distance: int | N
     the one that starts first (then ends first). Rows without any row of ``b`` on their chromosome drop out, as do those
     beyond ``max_distance``.
     """
+    if ties == "first":
+        return _nearest_first(a, b, max_distance, block)
     keys = a.select("chrom", "start", "end").distinct()
     right = b.select("chrom", "start", "end").distinct()
     over = _pairs(keys, right, width).select("chrom", "start", "end", "b_start", "b_end", F.lit(0).cast("long").alias("distance"))
@@ -42,12 +44,42 @@ def nearest(a: DataFrame, b: DataFrame, ties: str = "all", max_distance: int | N
     others = [c for c in b.columns if c not in ("chrom", "start", "end")]
     named = b.select("chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"), *[F.col(c).alias(f"b_{c}") for c in others])
     full = found.join(named, ["chrom", "b_start", "b_end"])
-    if ties == "first":
-        w = Window.partitionBy("chrom", "start", "end").orderBy("b_start", "b_end", *[f"b_{c}" for c in others])
-        full = full.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return a.join(full, ["chrom", "start", "end"]).select(*a.columns, "b_start", "b_end", *[f"b_{c}" for c in others], "distance")
 
 
+
+def _nearest_first(a: DataFrame, b: DataFrame, max_distance: int | None, block: int) -> DataFrame:
+    """One row of ``b`` for each row of ``a``, however many overlap it: three carries over distinct intervals, no pairs.
+
+    In order of start and end, the first row of ``b`` that ends behind an ask's start is the first to raise the greatest end
+    so far above it; such rows have growing ends, and the ask meets one exactly if it starts before the ask ends."""
+    others = [c for c in b.columns if c not in ("chrom", "start", "end")]
+    keys = a.select("chrom", "start", "end").distinct()
+    rows = b.select("chrom", F.struct("start", "end", *others).alias("row"))
+    right = rows.groupBy("chrom", F.col("row.start").alias("start"), F.col("row.end").alias("end")).agg(F.min("row").alias("row"))
+    ahead = running(right, ["chrom"], "start", ["start", "end"], {"top": ("max", F.col("end"))}, inclusive=False, block=block)
+    raising = ahead.where("top is null or end > top").select("chrom", (-F.col("end")).alias("at"), "row")
+    by_end = right.groupBy("chrom", F.col("end").alias("at")).agg(F.min("row").alias("row"))
+    by_start = right.groupBy("chrom", (-F.col("start")).alias("at")).agg(F.min("row").alias("row"))
+
+    def last(found: DataFrame, at, inclusive: bool) -> DataFrame:
+        """For each ask the row of ``found`` with the greatest ``at`` up to (or, unless ``inclusive``, before) its own."""
+        asks = keys.select("chrom", at.alias("at"), F.lit(1 if inclusive else 0).alias("kind"), F.struct("start", "end").alias("ask"))
+        held = found.select("chrom", "at", F.lit(0 if inclusive else 1).alias("kind"), F.struct("at", "row").alias("hit"))
+        both = asks.unionByName(held, allowMissingColumns=True)
+        near = running(both, ["chrom"], "at", ["at", "kind"], {"near": ("max", F.col("hit"))}, block=block)
+        return near.where("ask is not null and near is not null").select("chrom", "ask.start", "ask.end", "near.row")
+
+    over = last(raising, -F.col("start"), False).where("row.start < end").select("*", F.lit(0).cast("long").alias("distance"))
+    before = last(by_end, F.col("start"), True).select("*", (F.col("start") - F.col("row.end") + 1).alias("distance"))
+    after = last(by_start, -F.col("end"), True).select("*", (F.col("row.start") - F.col("end") + 1).alias("distance"))
+    best = over.unionByName(before).unionByName(after).groupBy("chrom", "start", "end").agg(F.min(F.struct("distance", "row")).alias("best"))
+    if max_distance is not None:
+        best = best.where(F.col("best.distance") <= max_distance)
+    taken = [F.col(f"best.row.{c}").alias(f"b_{c}") for c in ("start", "end", *others)]
+    return a.join(best, ["chrom", "start", "end"]).select(*a.columns, *taken, "best.distance")
+
+
 def nearest_k(anchors: DataFrame, pool: DataFrame, k: str = "k", key: str = "anchor", block: int = BLOCK) -> DataFrame:
     """The ``k`` positions of ``pool`` closest to each anchor (a column of ``anchors``: key, chrom, pos, k); fewer if the
     chromosome holds fewer. Ties go to the lower position.

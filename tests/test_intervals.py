@@ -87,6 +87,11 @@ def test_nearest_matches_brute_force(spark):
         want |= {(i, j, d) for d, j in found if d == min(found)[0]}
     got = N.nearest(frame(spark, a), frame(spark, b), width=16, block=64)
     assert {(r["id"], r["b_id"], r["distance"]) for r in got.collect()} == want
+    first = N.nearest(frame(spark, a), frame(spark, b), "first", width=16, block=64)
+    least = {i: min((b[j][1], b[j][2], j) for k, j, _ in want if k == i)[2] for i in {w[0] for w in want}}
+    assert sorted((r["id"], r["b_id"]) for r in first.collect()) == sorted((i, j) for i, j in least.items())
+    near = N.nearest(frame(spark, a), frame(spark, b), "first", 5, block=64)
+    assert {(r["id"], r["b_id"], r["distance"]) for r in near.collect()} == {w for w in want if w[2] <= 5 and least[w[0]] == w[1]}
     touching = N.nearest(frame(spark, [("1", 0, 10)]), frame(spark, [("1", 10, 20)])).first()
     assert touching["distance"] == 1
 

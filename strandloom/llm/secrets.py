@@ -42,6 +42,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
+#: Matches in a stretch of the span walk.
+STRETCH = 64
 
 
 def literal_runs(pattern: str) -> list[list[str]]:
@@ -98,6 +100,32 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return [q for q in query if not any(set(p) < set(q) for p in query)]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def walk(lengths: Column, kind: str) -> Column:
+    """array<struct<kind,start,end>> from the lengths (p before a match, m of it) along a text. Appending copies what there is,
+    so spans are made in stretches of ``STRETCH`` matches, each from 0 on, and moved by the stretches' running total."""
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["p"]
+        return F.struct((start + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
+
+    def stretches(ls: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ls) - 1) / STRETCH).cast("int")))
+        return F.transform(numbers, lambda i: F.aggregate(F.slice(ls, i * STRETCH + 1, STRETCH), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step))
+
+    def moved(parts: Column) -> Column:
+        bases = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + part["at"])))
+        based = F.zip_with(parts, F.slice(bases, F.lit(1), F.size(parts)), lambda part, base: F.struct(part["out"].alias("out"), base.alias("base")))
+        return F.flatten(F.transform(based, lambda b: F.transform(b["out"], lambda s: F.struct(F.lit(kind).alias("kind"), (s["start"] + b["base"]).alias("start"), (s["end"] + b["base"]).alias("end")))))
+
+    return let(lengths, lambda ls: let(stretches(ls), moved))
+
+
 def matches(text: Column, rule: Rule) -> Column:
     """array<struct<kind,start,end>> of a rule's kept matches, by lengths of matches and of the pieces between them."""
     found = F.regexp_extract_all(text, F.lit(f"({rule.pattern})"), F.lit(0))
@@ -105,15 +133,7 @@ def matches(text: Column, rule: Rule) -> Column:
     pieces = F.split(text, rule.pattern, -1)
     size = F.when(F.lit(rule.group == 0), F.transform(found, F.length)).otherwise(F.transform(kept, F.length))
     lengths = F.zip_with(F.transform(F.slice(pieces, 1, F.size(found)), F.length), F.transform(found, F.length), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(rule.kind).alias("kind"), (acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end")))).alias("out"),
-        ),
-    )["out"]
+    walked = walk(lengths, rule.kind)
     long_enough = F.filter(F.arrays_zip(walked.alias("span"), size.alias("size")), lambda z: z["size"] >= rule.least)
     return F.transform(long_enough, lambda z: z["span"]) if rule.least else walked
 

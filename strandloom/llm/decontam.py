@@ -8,19 +8,20 @@ Patterns travel to the tasks in blocks of a fixed number of windows, so what is
 benchmark holds; a document meets the blocks one after another.
 
 Cases: null text has no words, on either side; an item without words has no window and is never counted; an item of
-fewer words than a window is one window; repeated items count each; rows of documents that repeat are reported each;
+fewer words than a window is one window; items that share an id count once, all items without an id as one (which has no
+place in the list of ids as text); rows of documents that repeat are reported each;
 empty tables: no documents give an empty result, no items give zero hits; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm._shared import fresh_path, table
+from strandloom.llm._shared import discard, settled, table
 
 #: A-Z to a-z; digits, a-z and every byte above 127 stay; all other bytes part words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -69,7 +70,7 @@ def windows_of(items: DataFrame, window: int, id_col: str, text_col: str) -> Dat
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = words_of(t)
-                if i is not None and w:
+                if w:
                     size = min(window, len(w))
                     rows += [(size, b" ".join(p), i) for p in {tuple(w[j : j + size]) for j in range(len(w) - size + 1)}]
             c = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -83,87 +84,89 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """doc_id, n_words, n_hit, item_ids (sorted), hit spans in words; one row for each row of ``docs``.
 
     ``block_size``: most windows that are sent to the tasks at once."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "windows")
-    windows_of(benchmark, window, item_col, item_text_col).write.parquet(path)
-    windows = spark.read.parquet(path)
-    blocks = max(1, -(-windows.count() // block_size))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = []
-    for b in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b) if blocks > 1 else windows
-        sent.append(spark.sparkContext.broadcast([(r["size"], bytes(r["pattern"]), r["item_id"]) for r in part.toLocalIterator()]))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[WuManber]] = {}
-
-        def tables(b: int) -> list[WuManber]:
-            if b not in held:
-                if blocks > 4:
-                    held.clear()
-                by: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-                for size, pattern, item in sent[b].value:
-                    by.setdefault(size, {}).setdefault(tuple(pattern.split(b" ")), []).append(item)
-                held[b] = [WuManber(p) for p in by.values()]
-            return held[b]
+    held = texts.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("hits"))
+    schema, names = "doc_id long, text string, n_words long, item_ids array<long>, hits array<struct<start:long,end:long>>", held.columns
 
-        for batch in batches:
-            texts = [words_of(t.as_py()) for t in batch.column(1)]
-            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[int]] = [set() for _ in texts]
-            for b in range(blocks):
-                for searcher in tables(b):
-                    for i, w in enumerate(texts):
-                        for at, found in searcher.search(w):
-                            hits[i].append((at, at + searcher.length))
-                            items[i].update(found)
-            n_hit, spans = [], []
-            for h in hits:
-                merged: list[list[int]] = []
-                for start, end in sorted(h):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([start, end])
-                spans.append([{"start": s, "end": e} for s, e in merged])
-                n_hit.append(sum(e - s for s, e in merged))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(w) for w in texts], pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=["doc_id", "n_words", "n_hit", "item_ids", "hits"],
-            )
-
-    return texts.mapInArrow(scan, "doc_id long, n_words long, n_hit long, item_ids array<long>, hits array<struct<start:long,end:long>>")
+    def step(sent) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searchers = tables(sent.value)
+            for batch in batches:
+                n_words, items, hits = [], [], []
+                for text, had, spans in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                    w, found = words_of(text.as_py()), [(s["start"], s["end"]) for s in spans]
+                    ids = set(had)
+                    for searcher in searchers:
+                        for at, of in searcher.search(w):
+                            found.append((at, at + searcher.length))
+                            ids.update(of)
+                    n_words.append(len(w))
+                    items.append(sorted(ids, key=lambda i: (i is not None, i)))
+                    hits.append([{"start": s, "end": e} for s, e in merged(found)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=names,
+                )
+
+        return scan
+
+    held = in_blocks(held, windows_of(benchmark, window, item_col, item_text_col), block_size, step, schema)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return held.select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids", "hits")
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The union of half-open spans, those that touch joined."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def tables(windows: list[tuple[int, bytes, int | None]]) -> list[WuManber]:
+    """One searcher for each length of the windows (size, pattern, item_id)."""
+    by: dict[int, dict[tuple[bytes, ...], list]] = {}
+    for size, pattern, item in windows:
+        by.setdefault(size, {}).setdefault(tuple(pattern.split(b" ")), []).append(item)
+    return [WuManber(p) for p in by.values()]
+
+
+def in_blocks(held: DataFrame, windows: DataFrame, block_size: int, step: Callable, schema) -> DataFrame:
+    """``held`` mapped by ``step(block)`` for every block of about ``block_size`` windows. Driver and tasks hold one block at a time: what
+    a block leaves is written before the next one is sent. Windows are dealt by their pattern and item, so that a passage
+    of many items is dealt as well."""
+    spark = held.sparkSession
+    written = settled(windows.distinct(), "windows")
+    blocks = max(1, -(-written.count() // block_size))
+    for b in range(blocks):
+        part = written.where(F.pmod(F.xxhash64("pattern", "item_id"), F.lit(blocks)) == b)
+        sent = spark.sparkContext.broadcast([(r["size"], bytes(r["pattern"]), r["item_id"]) for r in part.toLocalIterator()])
+        before, held = held, held.mapInArrow(step(sent), schema)
+        if b < blocks - 1:
+            held = settled(held, "scanned")
+            sent.unpersist()
+            if b:
+                discard(before)
+    return held
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_size: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which any benchmark window occurs; all columns stay. Works in the scan itself."""
-    place, schema, spark = docs.columns.index(text_col), docs.schema, docs.sparkSession
-    path = fresh_path(spark, "windows")
-    windows_of(benchmark, window, "item_id", "text").write.parquet(path)
-    windows = spark.read.parquet(path)
-    blocks = max(1, -(-windows.count() // block_size))
-    held = docs
-    for b in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b) if blocks > 1 else windows
-        sent = spark.sparkContext.broadcast([(r["size"], bytes(r["pattern"])) for r in part.toLocalIterator()])
-
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            by: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-            for size, pattern in sent.value:
-                by.setdefault(size, {})[tuple(pattern.split(b" "))] = []
-            searchers = [WuManber(p) for p in by.values()]
+    place = docs.columns.index(text_col)
+
+    def step(sent) -> Callable:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searchers = tables(sent.value)
             for batch in batches:
                 texts = [words_of(t.as_py()) for t in batch.column(place)]
                 yield batch.filter(pa.array([not any(True for s in searchers for _ in s.search(w)) for w in texts], pa.bool_()))
 
-        held = held.mapInArrow(keep, schema)
-    return held
+        return keep
+
+    return in_blocks(docs, windows_of(benchmark, window, "item_id", "text"), block_size, step, docs.schema)
 
 
 def query_op4(spark, sf_dir: str) -> DataFrame:

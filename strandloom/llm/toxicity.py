@@ -66,7 +66,10 @@ def telling(rows: list[np.ndarray], positive: np.ndarray, least_rows: int = 2) -
     n = [max(1, int((~positive).sum())), max(1, int(positive.sum()))]
     apart = [np.unique(r) for r in rows]
     sizes = np.array([len(r) for r in apart])
-    names, inverse = np.unique(np.concatenate(apart), return_inverse=True)
+    flat = np.concatenate(apart)
+    names = np.unique(flat)
+    inverse = np.searchsorted(names, flat)
+    del flat, apart
     held = [np.bincount(inverse[np.repeat(positive == c, sizes)], minlength=len(names)) for c in (False, True)]
     return names[(held[0] + held[1] >= least_rows) & (held[1] * n[0] > held[0] * n[1])]
 
@@ -87,6 +90,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, l2: float = 1e-3, l1: float
     at = np.searchsorted(places, flat).clip(max=d - 1)
     keep = places[at] == flat
     row, col = np.repeat(np.arange(n), sizes)[keep], at[keep]
+    del flat, at, keep  # the steps below need the memory
     weight = np.full(n, 1 / n) if not balance else 1 / (len(set(grades.tolist())) * np.bincount(grades, minlength=top + 1)[grades])
 
     def slopes(w: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +170,10 @@ def severity(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Grades of a sample: 0 for clean rows; toxic rows by how many of their features three or more toxic rows and no clean
     row hold: 1 up to the median of toxic rows, 2 above it."""
     sizes = np.array([len(r) for r in rows])
-    names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    flat = np.concatenate(rows)
+    names = np.unique(flat)
+    inverse = np.searchsorted(names, flat)  # in less memory than by the sort's own inverse
+    del flat
     y = np.repeat(toxic == 1, sizes)
     marked = (np.bincount(inverse[y], minlength=len(names)) >= 3) & (np.bincount(inverse[~y], minlength=len(names)) == 0)
     many = np.bincount(np.repeat(np.arange(len(rows)), sizes), marked[inverse], len(rows))

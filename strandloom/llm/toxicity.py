@@ -2,15 +2,16 @@
 
 P(severity <= k) = sigmoid(threshold_k - x.w): one weight vector shared by all ordered thresholds. Features are a text's
 distinct lower-case words and their first four and five letters, hashed to 63 bits; places of a single row and places
-no more frequent in toxic rows than in others are left out, the penalties choose among the rest. The model is fitted on a bounded sample of labelled rows (``max_per_class`` of each label, chosen by a hash of the id);
-its weights, at most 2^20, are broadcast and every text is scored whole.
+no more frequent in toxic rows than in others are left out, the penalties choose among the rest. The model is fitted in
+one task on a bounded sample of labelled rows (``max_per_class`` of each label, chosen by a hash of the id); its weights
+are broadcast and every text is scored whole.
 
 The label table says toxic or not. Severity grades for toxic rows come from the sample: the number of features that
 only toxic rows have decides between grade 1 (up to the median) and grade 2 (above it). ``fit`` itself takes any grades.
 
 Cases: null or empty text has no features; labels without a text or with a null label are left out of the sample; without
-rows of both classes, or without a telling feature, nothing is rejected; repeated rows are scored each; an empty table gives an empty result; other columns
-pass through ``drop_toxic`` and are ignored by ``score_toxicity``.
+rows of both classes, or without a telling feature, nothing is rejected; repeated rows are scored each; an empty table
+gives an empty result; other columns pass through ``drop_toxic`` and are ignored by ``score_toxicity``.
 """
 
 from __future__ import annotations
@@ -159,11 +160,17 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000,
             kept = [x[known[i] == x] if len(known) else x[:0] for x, i in zip(every, at, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in kept], pa.binary())], names=["s_id", "s_label", "every"])
 
-    got = sample.mapInArrow(narrow, "s_id long, s_label int, every binary").toArrow().sort_by("s_id")
+    def train(got: pa.Table) -> pa.Table:
+        got = got.sort_by("s_id")
+        every = [np.frombuffer(x.as_buffer(), "<i8") for x in got.column("every")]
+        model = fit(every, severity(every, np.asarray(got.column("s_label")).astype(np.int64)))
+        return pa.table({c: pa.array([getattr(model, c).tolist()], pa.list_(t)) for c, t in (("places", pa.int64()), ("weights", pa.float64()), ("thresholds", pa.float64()))})
+
+    # the sample is bounded, so one task fits; the driver gets the model alone
+    told = sample.mapInArrow(narrow, "s_id long, s_label int, every binary").groupBy(F.lit(0).alias("whole"))
+    row = told.applyInArrow(train, "places array<long>, weights array<double>, thresholds array<double>").first()
     discard(sample)
-    every = [np.frombuffer(x.as_buffer(), "<i8") for x in got.column("every")]
-    toxic = np.asarray(got.column("s_label")).astype(np.int64)
-    return fit(every, severity(every, toxic))
+    return Model(np.array(row["places"], np.int64), np.array(row["weights"], np.float64), np.array(row["thresholds"], np.float64))
 
 
 def severity(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:

@@ -6,9 +6,9 @@ starts at the bins whose residual is just enough and goes on to the next larger
 whose bitmaps are clear: the tightest compatible bin. If there is none, a bin is opened.
 
 Bins of equal residual are kept by their source bitmap, so a source that holds a third of all rows is passed over one
-bitmap at a time and not bin by bin. Work is dealt into shards by a hash of the document's id; a shard holds about
-``shard_units`` units, so the number of shards follows the corpus, every source and cluster is spread over all shards, and
-a shard fits one task. Shards depend on ids alone, not on how the input is partitioned.
+bitmap at a time and not bin by bin. Work is dealt into shards by a hash of the document's id, source and cluster; a shard
+holds about ``shard_units`` units, so the number of shards follows the corpus, every source and cluster is spread over all
+shards, rows without an id too, and a shard fits one task. Shards depend on the rows alone, not on how the input is partitioned.
 
 A document longer than a sequence is cut into full sequences and a rest. Cases: null or empty text is one piece of length
 zero and is left out of bins (bin null); a null source or cluster conflicts with nothing; repeated rows are packed each, and
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, length: str, source: str | None, cluster: str | None,
     )
     total = total_units if total_units is not None else rows.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_units))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster"), F.lit(shards)).cast("int"))
 
     def place(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("length", "ascending"), ("source", "ascending"), ("cluster", "ascending")])

@@ -1,8 +1,9 @@
 """Operator 9: exact top-k search by tiled matrix products.
 
 Candidates lie in tiles of at most ``tile`` vectors, queries in blocks of at most ``block``. Each tile meets each block
-once: one matrix product, of which every query keeps its k best (partial selection). The lists of a query are merged in
-two levels, by groups of tiles and then whole, so no task gathers more than k rows from each of its tiles.
+once, in a cell of a grid of tile buckets and block groups: one matrix product, of which every query keeps its k best
+(partial selection). The lists of a query are merged in two levels, by groups of tiles and then whole, so no task gathers
+more than k rows from each of its tiles.
 
 Components become floor(256 * x), x as double; scores are integer inner products, computed in doubles while every
 partial sum is below 2^53, else in Python integers. Ties go to the smaller vec_id.
@@ -14,6 +15,7 @@ than k give them all; an empty table, or one without queries, gives an empty res
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +82,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[i
     return [(int(ids[i]), int(scores[i])) for i in at]
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = 8192, block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each row of ``queries``."""
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int = 8192, block: int = 512, cells: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each row of ``queries``.
+
+    ``cells``: how many cells the grid of tiles and blocks has at least, as far as there are so many; none holds more than
+    about 64 tiles and 64 blocks."""
     inside = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * 256).cast("double"))
     usable = F.col(vector_col).isNotNull() & ~F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col(id_col).isNotNull()
 
@@ -100,7 +105,13 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tile: int =
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     first = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.spark_partition_id())
     blocks = packed.withColumn("block", (first + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))).cast("int")).select("block", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dim").alias("q_dim"))
-    meets = tiles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).join(blocks, "block")
+    # a grid of cells: a group of blocks meets a bucket of tiles, so keys are many, and tiles are copied once a group and blocks once a bucket
+    many = -(-vectors.count() // tile) or 1
+    side = min(64, max(1, math.ceil(math.sqrt(many * total / cells))))
+    groups, buckets = -(-total // side), -(-many // side)
+    asked = blocks.withColumn("group", F.floor(F.col("block") / side).cast("int")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    dealt = tiles.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    meets = dealt.join(asked, ["group", "bucket"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontam, jaccard, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
+from strandloom.llm import decontam, jaccard, manifest, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query_op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_files": token_files.query_op8,
     "op9_exact_top_k": topk.query_op9,
     "op10_ngram_jaccard_join": jaccard.query_op10,
+    "op11_merkle_manifest": manifest.query_op11,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontam.SQL_OP4,
     "op9_exact_top_k": topk.SQL_OP9,
+    "op11_merkle_manifest": manifest.SQL_OP11,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontam, jaccard, manifest, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
+from strandloom.llm import decontam, jaccard, lm, manifest, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query_op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_top_k": topk.query_op9,
     "op10_ngram_jaccard_join": jaccard.query_op10,
     "op11_merkle_manifest": manifest.query_op11,
+    "op12_lm_scores": lm.query_op12,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontam, jaccard, lm, manifest, packing, pii, repeats, secrets, suffixes, token_files, topk, toxicity
+from strandloom.llm import decontam, jaccard, lm, manifest, packing, pii, ranked, repeats, secrets, suffixes, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query_op1,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.query_op10,
     "op11_merkle_manifest": manifest.query_op11,
     "op12_lm_scores": lm.query_op12,
+    "op13_ranked_search": ranked.query_op13,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontam.SQL_OP4,
     "op9_exact_top_k": topk.SQL_OP9,
     "op11_merkle_manifest": manifest.SQL_OP11,
+    "op13_ranked_search": ranked.SQL_OP13,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASES = (0x1E3779B97F4A7C15, 0x11342543DE82EF95)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _LOW_BITS = 24
 #: Texts are hashed in slices of about this many bytes, so that a task's memory does not follow the batch size.
@@ -28,33 +28,92 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=U))
 
 
+#: Stretches are hashed in the field of this prime, 2^61 - 1: two unlike ones of n symbols meet with a chance of n / 2^61. Modulo
+#: 2^64 there are long words (Thue-Morse) and their complements that meet for every odd base.
+_PRIME = U((1 << 61) - 1)
+_30, _31, _61 = U(30), U(31), U(61)
+_STRETCH = 1 << 13
+_LOW30, _LOW31 = U((1 << 30) - 1), U((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> _61)
+    return np.minimum(x, x - _PRIME)  # x - prime wraps to a larger number where x is below it
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2^31 in the field, short of the last reduction, for x below 2^62."""
+    return (x >> _30) + ((x & _LOW30) << _31)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    return _reduced(((a1 * b1) << U(1)) + _shifted(a1 * b0 + a0 * b1) + a0 * b0)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product in the field, by stretches that stay in the processor's cache."""
+    if len(a) <= _STRETCH:
+        return _product(a, b)
+    out = np.empty(len(a), U)
+    for at in range(0, len(a), _STRETCH):
+        out[at : at + _STRETCH] = _product(a[at : at + _STRETCH], b[at : at + _STRETCH] if len(b) > 1 else b)
+    return out
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, U)
+    done, prime = 1, int(_PRIME)
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = times(out[:more], np.full(1, pow(base, done, prime), U))
+        done += more
+    return out
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     got = _POWERS.get(base)
     if got is None or len(got[0]) < n:
         size = max(n, 2 * SLICE_BYTES)
-        up = np.full(size, base, U)
-        down = np.full(size, pow(base, -1, 1 << 64), U)
-        up[0] = down[0] = 1
-        got = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+        got = _powers_of(base, size), _powers_of(pow(base, -1, int(_PRIME)), size)
         if n <= 4 * SLICE_BYTES:
             _POWERS[base] = got
     return got
 
 
 class Rolling:
-    """Hashes of any stretch of a symbol sequence from one prefix sum: sum of symbol * base^position, modulo 2^64."""
+    """Hashes of any stretch of a symbol sequence from one prefix sum: sum of symbol * base^position in the field. The sums are
+    kept as sums of the terms' high and low halves, which do not overflow below 2^32 symbols."""
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
         up, self.down = _powers(_BASES[which], len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, U)
-        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
+        n = len(symbols)
+        self.high, self.low = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        for at in range(0, n, _STRETCH):
+            to = min(n, at + _STRETCH)
+            terms = _product(_reduced(symbols[at:to]), up[at:to])
+            self.high[at + 1 : to + 1] = terms >> _31
+            self.low[at + 1 : to + 1] = terms & _LOW31
+        np.cumsum(self.high, out=self.high)
+        np.cumsum(self.low, out=self.low)
+
+    def _between(self, starts, ends) -> np.ndarray:
+        high, low = self.high[ends] - self.high[starts], self.low[ends] - self.low[starts]
+        return _product(_reduced(_shifted(high) + low), self.down[starts])
 
     def windows(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U)
+        out = np.zeros(max(0, len(self.high) - width), U)
+        for at in range(0, len(out), _STRETCH):
+            to = min(len(out), at + _STRETCH)
+            out[at:to] = mix(self._between(slice(at, to), slice(at + width, to + width)))
+        return out
 
     def stretches(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(((self.sums[ends] - self.sums[starts]) * self.down[starts]) ^ ((ends - starts).astype(U) * U(0xA24BAED4963EE407)))
+        out = np.zeros(len(starts), U)
+        for at in range(0, len(out), _STRETCH):
+            s, e = starts[at : at + _STRETCH], ends[at : at + _STRETCH]
+            out[at : at + _STRETCH] = mix(self._between(s, e) ^ ((e - s).astype(U) * U(0xA24BAED4963EE407)))
+        return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -38,7 +38,7 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Stands for the end of a text; no word holds a blank.
 END = " "
 #: Tokens after which a block closes: what one task holds at a time.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 STRENGTH = 30.0
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.storage import settled
+
 #: Positions in a block. At a row a position and chromosome-sized groups a block's rows sort in one task.
 BLOCK = 5_000_000
 
@@ -43,3 +45,14 @@ def previous(df: DataFrame, by: Sequence[str], pos: str, order: Sequence[str | C
     for new in columns:
         out = out.withColumn(new, both[new])
     return out.drop("_blk", "_prev", "_carry")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number", label: str = "numbered") -> DataFrame:
+    """Add the row's place, from 0, in the order of ``order`` over the whole table (which should tell rows apart). Rows are dealt
+    by ranges, sorted and written; a row's place is that in its range and the sizes of the ranges before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = settled(ranged, label).withColumn("_range", F.shiftright("_at", 33))
+    sizes = at.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return at.join(F.broadcast(before), "_range").select(*df.columns, place.alias(name))

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from strandloom.functions.draws import permuted
 from strandloom.functions.tails import hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
 from strandloom.operators.bins import avg_rank, bh_adjust
-from strandloom.operators.carry import previous
+from strandloom.operators.carry import numbered, previous
 from strandloom.operators.islands import merge
+from strandloom.operators.locus_null import check_matching, matched_locus_null, null_locus_sites, sample_null_loci  # noqa: F401  also named here
 from strandloom.storage import settled
 
 
@@ -58,41 +60,22 @@ def permutation_enrichment(test: DataFrame, background: DataFrame, sets: DataFra
     """Segments (seg, gene) against as many background segments drawn without replacement: distinct genes in each category,
     p = (1 + #null >= observed) / (1 + n_perm).
 
-    Each replicate draws row numbers 0..N-1 in a task; numbers meet the background by an equi-join."""
+    The background's segments are numbered in their order. The i-th draw of a replicate is the place of i under a permutation
+    that seed and replicate choose, so a draw is one row of a range and no task holds the numbers of a replicate."""
     spark = test.sparkSession
-    nseg = test.select("seg").distinct().count()
-    segments = background.select("seg").distinct()
+    segments = settled(numbered(background.select("seg").distinct(), ["seg"], label="segments"), "segments")
     total = segments.count()
-    numbered = background.join(dense_numbers(segments, "seg"), "seg")
-    draws = _draws(spark, n_perm, nseg, total, seed)
-    hits = draws.join(numbered, "number").select("replicate", "gene").distinct().join(sets.select(*keep, "gene").distinct(), "gene")
+    size = min(test.select("seg").distinct().count(), total)
+    genes = background.select("seg", "gene").distinct().join(segments, "seg").select("number", "gene")
+    ids = spark.range(n_perm * size)
+    draws = ids.select(F.floor(F.col("id") / size).alias("replicate"), (F.col("id") % size).alias("_i")).withColumn("number", permuted(F.col("_i"), total, seed, F.col("replicate")))
+    hits = draws.select("replicate", "number").join(genes, "number").select("replicate", "gene").distinct().join(sets.select(*keep, "gene").distinct(), "gene")
     null = hits.groupBy(*keep, "replicate").agg(F.count(F.lit(1)).alias("null_k"))
     observed = test.select("gene").distinct().join(sets.select(*keep, "gene").distinct(), "gene").groupBy(*keep).agg(F.count(F.lit(1)).alias("k"))
     joined = observed.join(null, list(keep), "left").groupBy(*keep, "k").agg(F.count_if(F.col("null_k") >= F.col("k")).alias("ge"), F.coalesce(F.sum("null_k"), F.lit(0)).alias("s"))
     return joined.select(*keep, "k", (F.col("s") / n_perm).alias("null_mean"), ((F.col("ge") + 1) / (n_perm + 1)).alias("p"))
 
 
-def dense_numbers(keys: DataFrame, key: str, name: str = "number", slices: int = 256) -> DataFrame:
-    """Distinct keys numbered 0.. in the order of a hash: a row number inside each slice plus the sizes of earlier slices."""
-    sliced = keys.select(key).distinct().withColumn("_h", F.xxhash64(key)).withColumn("_s", F.pmod("_h", F.lit(slices)))
-    sizes = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_b"))  # one row a slice
-    own = F.row_number().over(Window.partitionBy("_s").orderBy("_h", key)) - 1
-    return sliced.withColumn("_o", own).join(F.broadcast(base), "_s").select(key, (F.col("_o") + F.col("_b")).cast("long").alias(name))
-
-
-def _draws(spark, n_perm: int, size: int, total: int, seed: int) -> DataFrame:
-    """(replicate, number): ``size`` distinct numbers below ``total`` for every replicate."""
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf["id"]:
-                got = _rng(seed, int(r)).choice(total, min(size, total), replace=False)
-                yield pd.DataFrame({"replicate": np.int64(r), "number": got.astype(np.int64)})
-
-    return spark.range(n_perm).mapInPandas(draw, "replicate long, number long")
-
-
 def subsample_null(spark, pool_size: int, pool_hits: int, n: int, observed: int, n_perm: int, seed: int) -> DataFrame:
     """Overlap count of ``n`` sites drawn without replacement from a pool of which ``pool_hits`` overlap: the count has the
     hypergeometric law, so a replicate is one draw. Mean, deviation (ddof 0), fold and p = (1 + #>=) / (1 + n_perm)."""
@@ -132,76 +115,6 @@ def matched_enrichment(fg: DataFrame, nulls: DataFrame, sets: DataFrame, min_k:
     )
 
 
-def matched_locus_null(loci: DataFrame, background: DataFrame, n_perm: int, seed: int, tries: int = 80) -> DataFrame:
-    """For every locus (locus, span, quartile) and replicate: a random contiguous stretch of background rows (run, idx, start, end,
-    score, quartile edges joined as ``q``, gene, distance) at least as long whose weighted score falls in the same quartile,
-    redrawn up to ``tries`` times; its closest gene. Runs are dealt to tasks with the replicates; a task holds one quartile's runs.
-
-    ``background``: run, start, end, score, gene, distance; ``loci``: locus, span, quartile, low, high (score bounds)."""
-
-    def draw(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            right = right.sort_values(["run", "start"])
-            start, end = right["start"].to_numpy(), right["end"].to_numpy()
-            size = (end - start).astype(float)
-            score = right["score"].to_numpy(float)
-            weight = np.concatenate([[0.0], np.cumsum(size)])
-            total = np.concatenate([[0.0], np.cumsum(size * np.nan_to_num(score))])
-            run = right["run"].to_numpy()
-            last = np.searchsorted(run, run, "right") - 1
-            gene, far = right["gene"].to_numpy(object), right["distance"].to_numpy(float)
-            for r, locus, span, low, high in zip(left["replicate"], left["locus"], left["span"], left["low"], left["high"], strict=True):
-                rng = _rng(seed, int(r), int(locus))
-                for _ in range(tries):
-                    i = int(rng.integers(len(start)))
-                    j = int(np.searchsorted(end, start[i] + span)) if last[i] == len(start) - 1 else i + int(np.searchsorted(end[i : last[i] + 1], start[i] + span))
-                    if j > last[i]:
-                        continue
-                    mean = (total[j + 1] - total[i]) / (weight[j + 1] - weight[i])
-                    if not low <= mean <= high:
-                        continue
-                    at = i + int(np.nanargmin(far[i : j + 1])) if np.isfinite(far[i : j + 1]).any() else -1
-                    if at >= 0 and gene[at] is not None:
-                        out.append((int(r), int(locus), gene[at], float(mean)))
-                        break
-        return pd.DataFrame(out, columns=["replicate", "locus", "gene", "mean_score"])
-
-    replicas = loci.select("locus", "span", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("replicate")).withColumn("shard", F.pmod(F.xxhash64("replicate", "locus"), F.lit(8)))
-    runs = background.select("run", "start", "end", "score", "gene", "distance", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("shard"))
-    return replicas.groupBy("shard").cogroup(runs.groupBy("shard")).applyInPandas(draw, "replicate long, locus long, gene string, mean_score double")
-
-
-def sample_null_loci(loci: DataFrame, pool: DataFrame, n_rep: int, seed: int, tolerance: float = 20.0, fallback: int = 100_000) -> DataFrame:
-    """For each locus (locus, score, k) and replicate an anchor of the pool (chrom, pos, score) within ``tolerance`` of its
-    score, drawn with replacement by a hash, so that every replicate holds every locus; loci without one draw among the
-    ``fallback`` closest. ``locus`` is unique. Returns replicate, locus, chrom, pos, k, score."""
-    binned = pool.withColumn("_b", F.floor(F.col("score") / tolerance).cast("long"))
-    asks = loci.withColumn("_b", F.explode(F.array(*[(F.floor(F.col("score") / tolerance) + d).cast("long") for d in (-1, 0, 1)])))
-    near = asks.join(binned.select("_b", "chrom", "pos", F.col("score").alias("s")), "_b").where(F.abs(F.col("s") - F.col("score")) <= tolerance).select("locus", "k", "score", "chrom", "pos", "s")
-    lost = loci.join(near.select("locus").distinct(), "locus", "left_anti")
-    if lost.take(1):
-        ends = pool.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-        spread = F.sequence(F.floor(F.col("lo") / tolerance).cast("long"), F.floor(F.col("hi") / tolerance).cast("long"))
-        wide = lost.crossJoin(F.broadcast(ends)).withColumn("_b", F.explode(spread))
-        cand = wide.join(binned.select("_b", "chrom", "pos", F.col("score").alias("s")), "_b").select("locus", "k", "score", "chrom", "pos", "s")
-        w = Window.partitionBy("locus").orderBy(F.abs(F.col("s") - F.col("score")), "chrom", "pos")
-        near = near.unionByName(cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= fallback).drop("_n"))
-    w = Window.partitionBy("locus").orderBy("chrom", "pos", "s")
-    numbered = near.withColumn("_i", F.row_number().over(w) - 1).select(F.col("locus").alias("_l"), "_i", "chrom", "pos", F.col("s").alias("score"))
-    counts = near.groupBy("locus", "k").agg(F.count(F.lit(1)).alias("_c"))
-    draws = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_draw", F.pmod(F.xxhash64(F.lit(seed), "locus", "replicate"), F.col("_c")))
-    return draws.join(numbered, (F.col("locus") == F.col("_l")) & (F.col("_draw") == F.col("_i"))).select("replicate", "locus", "chrom", "pos", "k", "score")
-
-
-def check_matching(loci: DataFrame, null: DataFrame, value: str = "score") -> DataFrame:
-    """Percentiles of the two score distributions and the share of null rows more than twice the foreground's upper quartile."""
-    q = [0.05, 0.25, 0.5, 0.75, 0.95]
-    a = loci.agg(F.percentile(value, q).alias("foreground"), F.percentile(value, 0.75).alias("_u"))
-    b = null.crossJoin(F.broadcast(a.select("_u"))).agg(F.percentile(value, q).alias("null"), F.avg((F.col(value) > 2 * F.col("_u")).cast("int")).alias("share_wide"))
-    return a.drop("_u").crossJoin(b)
-
-
 def shuffle_intervals(df: DataFrame, sizes: DataFrame, replicates: int, seed: int, excluded: DataFrame | None = None) -> DataFrame:
     """Every interval placed in every replicate at a random start of its chromosome, each start that keeps it off ``excluded``
     being equally likely (the law of redrawing until it fits). Start and end are null where no start fits. The draw is a hash of

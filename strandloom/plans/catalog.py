@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strandloom.functions import scalars as S
+from strandloom.functions import draws as D, scalars as S
 from strandloom.operators import bins as B, enrichment as E, genes as G, genotypes as GT, intervals as I, islands as M, nearest as N, remap as R, sites as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,7 +528,9 @@ def set_overlap(spark, d):
     return out
 
 
-@query()
+@query(f"""WITH {_SETS}, u AS (SELECT DISTINCT gene FROM sets), f AS (SELECT gene FROM fg JOIN u USING (gene)), c AS (SELECT category, count(f.gene) AS k, count(*) AS s, (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM u) AS t FROM sets LEFT JOIN f ON sets.gene = f.gene GROUP BY category HAVING count(f.gene) >= 1),
+h AS (SELECT category, k, (k / n) / (s / t) AS fold, least(1, (SELECT sum(exp(lgamma(s + 1) - lgamma(x + 1) - lgamma(s - x + 1) + lgamma(t - s + 1) - lgamma(n - x + 1) - lgamma(t - s - n + x + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1))) FROM (SELECT unnest(range(k, least(s, n) + 1)) AS x) WHERE t - s - n + x >= 0)) AS p FROM c)
+SELECT category, k, round(p, 6) AS p, round(fold, 6) AS fold, round(least(1, (SELECT min(y.p * (SELECT count(*) FROM h) / (SELECT count(*) FROM h z WHERE z.p <= y.p)) FROM h y WHERE y.p >= h.p)), 6) AS p_adjusted FROM h""")
 def hypergeometric(spark, d):
     sets = _sets(spark, d)
     out = E.set_overlap(_foreground(spark, d), sets, sets.select("gene").distinct(), 1)
@@ -602,7 +604,12 @@ def shuffled_placements(spark, d):
     return null.groupBy("observed").agg(F.avg("fraction").alias("null_mean"), F.avg((F.col("fraction") >= F.col("observed")).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {_SETS}, seg AS (SELECT DISTINCT l_orderkey AS seg, l_suppkey::VARCHAR AS gene FROM lineitem), num AS (SELECT seg, row_number() OVER (ORDER BY seg) - 1 AS number FROM (SELECT DISTINCT seg FROM seg)),
+test AS (SELECT * FROM seg WHERE seg IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.1)), z AS (SELECT (SELECT count(DISTINCT seg) FROM test) AS size, (SELECT count(*) FROM num) AS n),
+dr AS (SELECT r.range AS replicate, {D.sql_permuted('i.range', 'n', 3, 'r.range')} AS number FROM z, range(1000) r, range((SELECT size FROM z)) i),
+hits AS (SELECT DISTINCT replicate, gene FROM dr JOIN num USING (number) JOIN seg USING (seg)), nul AS (SELECT category, replicate, count(*) AS nk FROM hits JOIN sets USING (gene) GROUP BY ALL),
+o AS (SELECT category, count(*) AS k FROM (SELECT DISTINCT gene FROM test) JOIN sets USING (gene) GROUP BY ALL)
+SELECT category, k, round(coalesce(sum(nk), 0) / 1000, 6) AS null_mean, round((count(*) FILTER (nk >= k) + 1) / 1001, 6) AS p FROM o LEFT JOIN nul USING (category) GROUP BY category, k""")
 def permutation_enrichment(spark, d):
     li = _t(spark, d, "lineitem")
     seg = li.select(F.col("l_orderkey").alias("seg"), F.col("l_suppkey").cast("string").alias("gene")).distinct()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -36,18 +37,68 @@ def clean_genealogy(nodes: DataFrame, edges: DataFrame, least: float = 1e-4) ->
 
 
 class Tree:
-    """One local tree: parent and children by node, node times, and the species of the leaves as a bitmask going up."""
-
-    def __init__(self, time: dict[int, float], pairs: Sequence[tuple[int, int]], species: dict[int, int]):
-        self.time, self.parent, self.children = time, dict((c, p) for p, c in pairs), {}
+    """One local tree, changed edge by edge. For every node: parent, children, how many leaves of each species hang below; and the
+    nodes of the tree, and its inner ones, by age. Inserting or removing an edge walks up from it once."""
+
+    def __init__(self, time: dict[int, float], pairs: Iterable[tuple[int, int]], species: dict[int, int]):
+        """``species``: of a leaf, as a bit (1, 2, 4, ...). A node of ``species`` counts as a leaf while it has no children."""
+        self.time, self.species = time, species
+        self.parent: dict[int, int] = {}
+        self.children: dict[int, list[int]] = {}
+        self.below: dict[int, dict[int, int]] = {}
+        self.degree: dict[int, int] = {}
+        self.ages: list[float] = []
+        self.inner: list[tuple[float, int]] = []
         for p, c in pairs:
-            self.children.setdefault(p, []).append(c)
-        self.species: dict[int, int] = {}
-        inside = set(self.parent) | set(self.children)
-        for n in sorted(inside, key=lambda x: time.get(x, 0.0)):
-            self.species[n] = species.get(n, 0) if n not in self.children else 0
-            for c in self.children.get(n, ()):
-                self.species[n] |= self.species.get(c, 0)
+            self.insert(p, c)
+
+    def _climb(self, n: int, counts: Iterable[tuple[int, int]], sign: int) -> None:
+        counts = list(counts)
+        while counts:
+            own = self.below.setdefault(n, {})
+            for bit, many in counts:
+                left = own.get(bit, 0) + sign * many
+                if left:
+                    own[bit] = left
+                else:
+                    own.pop(bit, None)
+            if n not in self.parent:
+                return
+            n = self.parent[n]
+
+    def _count(self, n: int, change: int) -> None:
+        was = self.degree.get(n, 0)
+        self.degree[n] = was + change
+        if not was:
+            insort(self.ages, self.time[n])
+            if n in self.species and n not in self.children:
+                self.below[n] = {self.species[n]: 1}
+        elif not was + change:
+            self.ages.pop(bisect_left(self.ages, self.time[n]))
+
+    def insert(self, p: int, c: int) -> None:
+        for n in (p, c):
+            self._count(n, 1)
+        if p not in self.children:
+            self.children[p] = []
+            insort(self.inner, (self.time[p], p))
+            if p in self.species:
+                self._climb(p, [(self.species[p], 1)], -1)
+        self.children[p].append(c)
+        self.parent[c] = p
+        self._climb(p, self.below.get(c, {}).items(), 1)
+
+    def remove(self, p: int, c: int) -> None:
+        self._climb(p, self.below.get(c, {}).items(), -1)
+        del self.parent[c]
+        self.children[p].remove(c)
+        if not self.children[p]:
+            del self.children[p]
+            self.inner.pop(bisect_left(self.inner, (self.time[p], p)))
+            if p in self.species:
+                self._climb(p, [(self.species[p], 1)], 1)
+        for n in (p, c):
+            self._count(n, -1)
 
     def nonroot(self, n: int) -> bool:
         return n in self.parent
@@ -56,8 +107,7 @@ class Tree:
         """At most ``most`` nodes are older than the middle of the branch above ``n``."""
         if n not in self.parent:
             return False
-        middle = (self.time[n] + self.time[self.parent[n]]) / 2
-        return sum(self.time[x] > middle for x in self.species) <= most
+        return len(self.ages) - bisect_right(self.ages, (self.time[n] + self.time[self.parent[n]]) / 2) <= most
 
     def splits_species(self, n: int) -> bool:
         """The first split at or below ``n`` parts it into two clades of one species each, and not the same one."""
@@ -66,13 +116,45 @@ class Tree:
         pair = self.children.get(n, ())
         if len(pair) != 2:
             return False
-        a, b = (self.species[c] for c in pair)
-        return a != b and a.bit_count() == 1 and b.bit_count() == 1
+        a, b = (list(self.below.get(c, ())) for c in pair)
+        return len(a) == len(b) == 1 and a != b
 
     def passes(self, n: int) -> bool:
         return self.nonroot(n) and self.few_lineages(n) and self.splits_species(n)
 
 
+class Sweep:
+    """The local trees of one genealogy at rising positions: edges enter at their left end and leave at their right one."""
+
+    def __init__(self, time: dict[int, float], left: np.ndarray, right: np.ndarray, parent: np.ndarray, child: np.ndarray, species: dict[int, int]):
+        self.pairs = list(zip(parent.tolist(), child.tolist(), strict=True))
+        self.enter, self.leave = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+        self.left, self.right = left[self.enter].tolist(), right[self.leave].tolist()
+        self.enter, self.leave = self.enter.tolist(), self.leave.tolist()
+        self.tree, self.entered, self.left_behind = Tree(time, (), species), 0, 0
+        self.spans = list(zip(left.tolist(), right.tolist(), strict=True))
+        self.inside: set[int] = set()
+
+    def at(self, pos: float) -> Tree:
+        """The tree at ``pos``, not below the position before. All edges that have ended go before any comes in."""
+        here = []
+        while self.entered < len(self.left) and self.left[self.entered] <= pos:
+            edge = self.enter[self.entered]
+            if self.spans[edge][1] > pos:  # what ends before the next site never comes in
+                here.append(edge)
+            self.entered += 1
+        while self.left_behind < len(self.right) and self.right[self.left_behind] <= pos:
+            edge = self.leave[self.left_behind]
+            if edge in self.inside:
+                self.inside.discard(edge)
+                self.tree.remove(*self.pairs[edge])
+            self.left_behind += 1
+        for edge in here:
+            self.inside.add(edge)
+            self.tree.insert(*self.pairs[edge])
+        return self.tree
+
+
 def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, sites: DataFrame, leaves: DataFrame) -> DataFrame:
     """For each (run, region, sample_idx) and site (region, chrom, pos): the local tree's verdicts.
 
@@ -80,8 +162,11 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
     node is oldest; n_fwd counts mutations of its state, n_rev the others. ``first``: it is off the root, few lineages are older,
     and it splits the species; if it is on the root the second oldest is tested (``second``; false where there is none).
     ``yellow``: the second-oldest inner node parts two clades of one species each. ``node_age`` and ``branch_midpoint`` of the
-    tested mutation are both given. Each sample is scored on its own. The three tables meet in one group a sample."""
-    species = {r["node_id"]: r["species"] for r in leaves.select("node_id", "species").collect()}  # one row a haplotype
+    tested mutation are both given. Each sample is scored on its own. The three tables meet in one group a sample, where the tree
+    is swept along the sites: the work is that of the edges times the tree's depth, and of the sites.
+
+    Edges and mutations on a node that ``nodes`` lacks have no age and are left out; a site without a mutation left has no row."""
+    species = {r["node_id"]: 1 << r["species"] for r in leaves.select("node_id", "species").collect()}  # one row a haplotype
     tagged = (
         nodes.select(*KEY, F.lit(0).alias("t"), F.col("node_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("time").cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("string").alias("s"))
         .unionByName(clean_edges(edges).select(*KEY, F.lit(1).alias("t"), F.col("parent").cast("long").alias("a"), F.col("child").cast("long").alias("b"), F.col("left").cast("double").alias("x"), F.col("right").cast("double").alias("y"), F.lit(None).cast("string").alias("s")))
@@ -95,17 +180,18 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
         n = n.sort_values("a")
         time = dict(zip(n["a"].astype(int).tolist(), strict_times(n["x"].to_numpy()).tolist(), strict=True))
         e, m, want = (pdf[pdf["t"] == i] for i in (1, 2, 3))
-        left, right, parent, child = (e[c].to_numpy() for c in ("x", "y", "a", "b"))
-        by_pos = {float(p): g for p, g in m.groupby("x")}
+        e, m = e[e["a"].isin(time.keys()) & e["b"].isin(time.keys())], m[m["a"].isin(time.keys())].sort_values("x", kind="stable")
+        sweep = Sweep(time, *(e[c].to_numpy() for c in ("x", "y")), *(e[c].to_numpy(np.int64) for c in ("a", "b")), species)
+        want = want.sort_values("a", kind="stable")
+        sites, places, on, states = want["a"].to_numpy(np.int64), m["x"].to_numpy(float), m["a"].to_numpy(np.int64).tolist(), m["s"].tolist()
+        low, high = (np.searchsorted(places, sites, side).tolist() for side in ("left", "right"))
         run, region, sample = pdf["run"].iloc[0], pdf["region"].iloc[0], pdf["sample_idx"].iloc[0]
         out = []
-        for pos, chrom in zip(want["a"].astype(int), want["s"], strict=True):
-            muts = by_pos.get(float(pos))
-            if muts is None:
+        for pos, chrom, begin, end in zip(sites.tolist(), want["s"], low, high, strict=True):
+            if begin == end:
                 continue
-            at = (left <= pos) & (pos < right)
-            tree = Tree(time, list(zip(parent[at].astype(int).tolist(), child[at].astype(int).tolist(), strict=True)), species)
-            rows = sorted(((time[int(a)], int(a), s) for a, s in zip(muts["a"], muts["s"], strict=True)), key=lambda r: (-r[0], r[1]))
+            tree = sweep.at(pos)
+            rows = sorted(((time[on[i]], on[i], states[i]) for i in range(begin, end)), key=lambda r: (-r[0], r[1]))
             age, node, state = rows[0]
             fwd = sum(r[2] == state for r in rows)
             nonroot = tree.nonroot(node)
@@ -114,8 +200,7 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
             if not nonroot and len(rows) > 1:
                 tested = rows[1][1]
                 second = tree.passes(tested)
-            inner = sorted(tree.children, key=lambda x: -time[x])
-            yellow = len(inner) > 1 and tree.splits_species(inner[1])
+            yellow = len(tree.inner) > 1 and tree.splits_species(tree.inner[-2][1])
             mid = (time[tested] + time[tree.parent[tested]]) / 2 if tested in tree.parent else None
             out.append((run, region, sample, chrom, pos, len(rows), fwd, len(rows) - fwd, age, tree.splits_species(tested), tree.few_lineages(tested), nonroot, first, second, yellow, time[tested], mid))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _METRICS.split(", ")])

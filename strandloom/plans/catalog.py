@@ -21,7 +21,8 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             body = sql.strip()
-            ORACLES[f.__name__] = f"WITH pts AS ({PTS}), iv AS ({IV})" + (f", {body[4:]}" if body.startswith("WITH") else f" {body}")
+            head, rest = ("WITH RECURSIVE", body[14:]) if body.startswith("WITH RECURSIVE") else ("WITH", body[4:] if body.startswith("WITH") else None)
+            ORACLES[f.__name__] = f"{head} pts AS ({PTS}), iv AS ({IV})" + (f" {body}" if rest is None else f", {rest}")
         return f
 
     return add

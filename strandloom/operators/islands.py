@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.operators.carry import BLOCK, previous, running
+from strandloom.storage import settled
 
 _ORDER = ["start", "end"]
 
@@ -104,22 +106,90 @@ def callable_between(sites: DataFrame, masks: Sequence[DataFrame], block: int =
     return inside.join(lagged.select("chrom", "pos", (F.col("callable") - F.coalesce("_before", F.lit(0))).alias("callable_bp")), ["chrom", "pos"])
 
 
-def thin_markers(df: DataFrame, protected: str = "protected", tail: int = 10_000, gap: int = 20) -> DataFrame:
-    """Drop unprotected markers beyond the last protected one + ``tail``; of the rest keep those at least ``gap`` past the last
-    kept one (a greedy scan in order of position); protected markers always stay. One scan a chromosome, in its task."""
-    last = df.where(protected).groupBy("chrom").agg(F.max("pos").alias("_last"))
-    near = df.join(last, "chrom").where(F.col(protected) | (F.col("pos") <= F.col("_last") + tail)).drop("_last")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        keep, kept = [], None
-        for pos, fixed in zip(pdf["pos"], pdf[protected], strict=True):
-            stay = bool(fixed) or kept is None or pos - kept >= gap
-            keep.append(stay)
-            kept = pos if stay else kept
-        return pdf[keep]
-
-    return near.groupBy("chrom").applyInPandas(scan, near.schema)
+def _next_kept(pos: np.ndarray, fixed: np.ndarray, gap: int) -> np.ndarray:
+    """For each of rising positions the one that a scan keeps after it, were it kept itself; len(pos) for none."""
+    n = len(pos)
+    after = np.append(np.where(fixed, np.arange(n), n), n)
+    after = np.minimum.accumulate(after[::-1])[::-1]
+    return np.minimum(np.searchsorted(pos, pos + max(gap, 1)), after[1:])
+
+
+def _orbit(jump: np.ndarray, first: int) -> np.ndarray:
+    """What is reached from ``first`` by pointers, taken one, two, four, ... steps at a time."""
+    n = len(jump)
+    jump, seen = np.append(jump, n), np.zeros(n + 1, bool)
+    seen[first] = True
+    while jump[first] < n:
+        seen[jump[seen]] = True
+        jump = jump[jump]
+    return seen[:n]
+
+
+def _ends(jump: np.ndarray) -> np.ndarray:
+    """The last position on every orbit, by the same doubling."""
+    own = np.arange(len(jump))
+    jump = np.where(jump == len(jump), own, jump)
+    while not np.array_equal(ahead := jump[jump], jump):
+        jump = ahead
+    return jump
+
+
+def _first_kept(pos: np.ndarray, fixed: np.ndarray, gap: int, last: int | None) -> int:
+    """The first position kept after ``last`` (None: nothing kept before)."""
+    if last is None:
+        return 0
+    free = int(np.searchsorted(pos, last + gap))
+    held = np.flatnonzero(fixed[:free])
+    return int(held[0]) if len(held) else free
+
+
+def thin_markers(df: DataFrame, protected: str = "protected", tail: int = 10_000, gap: int = 20, block: int = BLOCK) -> DataFrame:
+    """Drop unprotected markers beyond the chromosome's last protected one + ``tail`` (beyond ``tail`` where none is protected); of
+    the rest keep those at least ``gap`` past the last kept one, a greedy scan in order of position. A position with a protected
+    marker always stays, with all its markers; of another the first marker by the other columns. Rows without place go.
+
+    The scan is a walk over "next kept" pointers. Blocks of positions first tell where each possible entry leaves them: an entry is
+    among the first ``gap`` positions, so a block has few. Those rows are composed along the chromosome, and every block then
+    walks from its own entry. A task holds the distinct positions of a block."""
+    fixed = F.coalesce(F.col(protected), F.lit(False))
+    placed = df.where("chrom is not null and pos is not null")
+    ends = placed.groupBy("chrom").agg((F.coalesce(F.max(F.when(fixed, F.col("pos"))), F.lit(0)) + tail).alias("_end"))
+    near = placed.join(F.broadcast(ends), "chrom").where(fixed | (F.col("pos") <= F.col("_end"))).drop("_end")  # one row a chromosome
+    spots = near.groupBy("chrom", F.col("pos").cast("long").alias("pos")).agg(F.bool_or(fixed).alias("fixed")).withColumn("_blk", F.floor(F.col("pos") / block))
+    spots = settled(spots, "markers")
+
+    def leave(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, held = pdf["pos"].to_numpy(), pdf["fixed"].to_numpy()
+        many = min(len(pos), int(np.searchsorted(pos, pos[0] + gap)) + 1)
+        stop = np.flatnonzero(held[:many])
+        entries = range(min(many, int(stop[0]) + 1 if len(stop) else many))
+        exits = pos[_ends(_next_kept(pos, held, gap))][: len(entries)]
+        return pd.DataFrame({"chrom": key[0], "_blk": key[1], "entries": [pos[: len(exits)].tolist()], "held": [held[: len(exits)].tolist()], "exits": [exits.tolist()]})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, out = pdf.sort_values("_blk"), None, []
+        for entries, held, exits in zip(pdf["entries"], pdf["held"], pdf["exits"], strict=True):
+            out.append(last)
+            at = _first_kept(np.asarray(entries), np.asarray(held), gap, last)
+            last = int(exits[at]) if at < len(exits) else last
+        return pd.DataFrame({"chrom": pdf["chrom"], "_blk": pdf["_blk"], "last": pd.array(out, dtype="Int64")})
+
+    def walk(pdf: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos, held = pdf["pos"].to_numpy(), pdf["fixed"].to_numpy()
+        last = carried["last"].iloc[0]
+        at = _first_kept(pos, held, gap, None if pd.isna(last) else int(last))
+        kept = _orbit(_next_kept(pos, held, gap), at) if at < len(pos) else np.zeros(len(pos), bool)
+        return pd.DataFrame({"chrom": pdf["chrom"][kept], "pos": pos[kept], "fixed": held[kept]})
+
+    summary = spots.groupBy("chrom", "_blk").applyInPandas(leave, "chrom string, _blk long, entries array<long>, held array<boolean>, exits array<long>")
+    carried = summary.groupBy("chrom").applyInPandas(compose, "chrom string, _blk long, last long")  # one row a block
+    kept = spots.groupBy("chrom", "_blk").cogroup(carried.groupBy("chrom", "_blk")).applyInPandas(walk, "chrom string, pos long, fixed boolean")
+    stay = near.join(kept.withColumnRenamed("fixed", "_fixed"), ["chrom", "pos"])
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    one = stay.where("not _fixed").groupBy("chrom", "pos").agg(F.min(whole).alias("_row")).select("_row.*")
+    return stay.where("_fixed").select(*df.columns).unionByName(one.select(*df.columns))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -484,6 +484,21 @@ def site_filters(spark, d):
     return J.maf_filter(J.exclude_region(p, "3", 1704500000, 1705500000), 0.05).select("event_id", "chrom", "pos")
 
 
+_MARKERS = "mk AS (SELECT event_id, chrom, pos - 1704067200 AS pos, event_type = 'signup' AND chrom <> '3' AS protected FROM pts)"
+
+
+@query(f"""WITH RECURSIVE {_MARKERS}, la AS (SELECT chrom, coalesce(max(pos) FILTER (protected), 0) + 50000 AS stop FROM mk GROUP BY chrom),
+sp AS (SELECT chrom, pos, bool_or(protected) AS held, min(event_id) AS event_id FROM mk JOIN la USING (chrom) WHERE protected OR pos <= stop GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.chrom, a.pos, min(b.pos) AS ahead FROM sp a LEFT JOIN sp b ON a.chrom = b.chrom AND b.pos > a.pos AND (b.held OR b.pos >= a.pos + 900) GROUP BY ALL),
+wk(chrom, pos) AS (SELECT chrom, min(pos) FROM sp GROUP BY chrom UNION ALL SELECT wk.chrom, ahead FROM wk JOIN nx ON nx.chrom = wk.chrom AND nx.pos = wk.pos WHERE ahead IS NOT NULL)
+SELECT mk.* FROM mk JOIN sp ON mk.chrom = sp.chrom AND mk.pos = sp.pos JOIN wk ON wk.chrom = sp.chrom AND wk.pos = sp.pos WHERE sp.held OR mk.event_id = sp.event_id""")
+def thin_markers(spark, d):
+    """Markers at least 900 seconds apart up to 50000 past the last protected one; a chromosome has no protected marker."""
+    held = (F.col("event_type") == "signup") & (F.col("chrom") != "3")
+    rows = points(spark, d).select("event_id", "chrom", (F.col("pos") - 1704067200).alias("pos"), held.alias("protected"))
+    return M.thin_markers(rows, tail=50_000, gap=900, block=BLOCK)
+
+
 # -- genotypes ---------------------------------------------------------------------------------------------------------
 def _dosages(spark, d):
     e = _t(spark, d, "embeddings")

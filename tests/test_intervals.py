@@ -130,6 +130,25 @@ def test_thinning_keeps_protected(spark):
     assert sorted(r["pos"] for r in M.thin_markers(df).select("pos").collect()) == [0, 25, 100, 110, 131]
 
 
+@pytest.mark.parametrize(("seed", "block", "gap"), [(0, 7, 20), (1, 31, 20), (2, 5, 3), (3, 1000, 9), (4, 60, 1)])
+def test_thinning_by_blocks_equals_the_scan(spark, seed, block, gap):
+    r = random.Random(seed)
+    rows = [(r.choice(["1", "2", "none"]), r.randrange(400), i) for i in range(300)] + [("1", None, 900), (None, 3, 901), ("4", 20_000, 902), ("5", 10_000, 903)]
+    rows = [(c, p, i, r.choice([True, False, False, None]) if c in ("1", "2") and r.random() < 0.2 else False) for c, p, i in rows]
+    want, tail = [], 30
+    for chrom in {c for c, *_ in rows if c}:
+        own = sorted((p, i, bool(f)) for c, p, i, f in rows if c == chrom and p is not None)
+        held = {p for p, _, f in own if f}
+        end, kept = max(held, default=0) + tail, None
+        for p, i, _ in own:
+            if p in held or (p <= end and (kept is None or p - kept >= gap)):
+                want.append(i)
+                kept = p
+    df = spark.createDataFrame(rows, "chrom string, pos long, id long, protected boolean").repartition(3)
+    got = M.thin_markers(df.select("chrom", "pos", "id", "protected"), tail=tail, gap=gap, block=block)
+    assert got.columns == ["chrom", "pos", "id", "protected"] and sorted(x["id"] for x in got.collect()) == sorted(want)
+
+
 def test_callable_between(spark):
     sites = spark.createDataFrame([("1", 6), ("1", 9), ("1", 25), ("1", 40)], "chrom string, pos long")
     mask = spark.createDataFrame([("1", 0, 10), ("1", 20, 30)], "chrom string, start long, end long")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.storage import settled
-from strandloom.operators.carry import running
+from strandloom.operators.carry import numbered, running
 
 
 # -- per-site counts over an array of (sample, a0, a1) ---------------------------------------------------------------
@@ -67,24 +67,84 @@ def genotype_dosage(gt: DataFrame) -> DataFrame:
 
 
 # -- linkage ---------------------------------------------------------------------------------------------------------
-def pairwise_r2(gt: DataFrame, by: Sequence[str] = ("region", "set")) -> DataFrame:
-    """Squared correlation of dosages for every pair of sites in a region and sample set (long: by, pos, sample, dosage).
-
-    Meant for sites already cut to regions; a pair's samples meet by an equi-join on (region, set, sample)."""
-    other = gt.select(*by, "sample", F.col("pos").alias("pos_b"), F.col("dosage").alias("dosage_b"))
-    pairs = gt.join(other, [*by, "sample"]).where("pos < pos_b")
-    return _r2(pairs.groupBy(*by, F.col("pos").alias("pos_a"), "pos_b"), "dosage", "dosage_b")
-
-
-def _r2(grouped, a: str, b: str) -> DataFrame:
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    n = F.count_if(both)
-    s = lambda e: F.sum(F.when(both, e))
-    sums = grouped.agg(n.alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("sxy"), s(x * x).alias("sxx"), s(y * y).alias("syy"))
-    cov = F.col("sxy") * F.col("n") - F.col("sx") * F.col("sy")
-    var = (F.col("sxx") * F.col("n") - F.col("sx") * F.col("sx")) * (F.col("syy") * F.col("n") - F.col("sy") * F.col("sy"))
-    return sums.withColumn("r2", F.try_divide(cov * cov, var)).drop("sx", "sy", "sxy", "sxx", "syy")
+#: Sites of a block, and cells (sites times samples) of one at most.
+SITES, CELLS = 256, 1 << 22
+
+
+def bit_blocks(gt: DataFrame, by: Sequence[str], samples: DataFrame, total: int, width: int) -> DataFrame:
+    """Dosages (by, pos, sample, dosage: 0, 1, 2 or null) as blocks of ``width`` sites in order of position: by, block, positions and
+    three planes of bits, a row a site and a bit a sample: known, one copy or more, two copies. ``samples``: sample and its number.
+    Of repeated calls the larger dosage counts."""
+    sites = gt.select(*by, "pos").distinct()
+    at = settled(numbered(sites, [*by, "pos"], "_g", "sites"), "sites")
+    first = at.groupBy(*by).agg(F.min("_g").alias("_base"))
+    placed = at.join(first, list(by)).select(*by, "pos", F.floor((F.col("_g") - F.col("_base")) / width).alias("block"))
+    rows = gt.select(*by, "pos", "sample", "dosage").join(placed, [*by, "pos"]).join(samples, "sample")
+    schema = ", ".join(f"{c} {gt.schema[c].dataType.simpleString()}" for c in by)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        positions, row = np.unique(pdf["pos"].to_numpy(np.int64), return_inverse=True)
+        x = np.full((len(positions), total), -1, np.int8)
+        np.maximum.at(x, (row, pdf["number"].to_numpy(np.int64)), pdf["dosage"].fillna(-1).to_numpy(np.int8))
+        planes = np.packbits(np.stack([x >= k for k in range(3)]), axis=2)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "block": [pdf["block"].iloc[0]], "positions": [positions.tolist()], "planes": [planes.tobytes()]})
+
+    return settled(rows.groupBy(*by, "block").applyInPandas(pack, f"{schema}, block long, positions array<long>, planes binary"), "planes")
+
+
+def _block_r2(a: pd.DataFrame, b: pd.DataFrame, total: int, triangle: bool) -> tuple[np.ndarray, ...]:
+    """pos_a, pos_b, n and r2 of every pair of sites of two blocks, from the bits that both share."""
+    unpack = lambda row: np.unpackbits(np.frombuffer(row["planes"], np.uint8).reshape(3, len(row["positions"]), -1), axis=2, count=total).astype(np.float32)
+    a, b = a.iloc[0], b.iloc[0]
+    (pa, oa, ta), (pb, ob, tb) = unpack(a), unpack(b)
+    shared = lambda x, y: (x @ y.T).astype(float)  # noqa: E731  whole numbers below 2^24
+    n, xa, xb = shared(pa, pb), oa + ta, ob + tb
+    sx, sy, sxy = shared(xa, pb), shared(pa, xb), shared(xa, xb)
+    sxx, syy = sx + 2 * shared(ta, pb), sy + 2 * shared(pa, tb)
+    cov, var = sxy * n - sx * sy, (sxx * n - sx * sx) * (syy * n - sy * sy)
+    r2 = np.divide(cov * cov, var, out=np.full(cov.shape, np.nan), where=var > 0)
+    left, right = np.meshgrid(np.asarray(a["positions"]), np.asarray(b["positions"]), indexing="ij")
+    keep = left < right if triangle else np.ones(left.shape, bool)
+    return left[keep], right[keep], n[keep].astype(np.int64), r2[keep]
+
+
+def _pairs_of_blocks(a: DataFrame, b: DataFrame, by: Sequence[str], total: int, triangle: bool) -> DataFrame:
+    """r2 of the pairs of sites of ``a`` and ``b`` (blocks). A pair of blocks is a group of its own, so a region is as many tasks as it
+    has pairs; a block is copied once a partner."""
+    many = b.groupBy(*by).agg((F.max("block") + 1).alias("_m")).join(a.groupBy(*by).agg((F.max("block") + 1).alias("_k")), list(by))
+    begin = F.col("block") if triangle else F.lit(0).cast("long")
+    left = a.join(many, list(by)).withColumn("_j", F.explode(F.sequence(begin, F.col("_m") - 1))).withColumnRenamed("block", "_i").drop("_m", "_k")
+    stop = F.col("block") if triangle else F.col("_k") - 1
+    right = b.join(many, list(by)).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), stop))).withColumnRenamed("block", "_j").drop("_m", "_k")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, as both may be one table
+    schema = ", ".join(f"{c} {a.schema[c].dataType.simpleString()}" for c in by)
+
+    def measure(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in (*by, "pos_a", "pos_b", "n", "r2")})
+        pos_a, pos_b, n, r2 = _block_r2(x, y, total, triangle)
+        return pd.DataFrame({**{c: np.full(len(n), x[c].iloc[0], object) for c in by}, "pos_a": pos_a, "pos_b": pos_b, "n": n, "r2": r2})
+
+    keys = [*by, "_i", "_j"]
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(measure, f"{schema}, pos_a long, pos_b long, n long, r2 double")
+    return out.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
+
+
+def _samples(gt: DataFrame, sites: int) -> tuple[DataFrame, int, int]:
+    """(samples with numbers, how many, sites of a block)."""
+    named = settled(numbered(gt.select("sample").where("sample is not null").distinct(), ["sample"], label="samples"), "samples")
+    total = named.count()
+    return named, total, max(1, min(sites, CELLS // max(1, total)))
+
+
+def pairwise_r2(gt: DataFrame, by: Sequence[str] = ("region", "set"), sites: int = SITES) -> DataFrame:
+    """Squared correlation of dosages for every pair of sites in a region and sample set (long: by, pos, sample, dosage): by, pos_a <
+    pos_b, n (samples known at both) and r2 (null where a site does not vary among them).
+
+    Genotypes become planes of bits; pairs are made of blocks of about ``sites`` sites, and no row stands for a pair's sample."""
+    named, total, width = _samples(gt, sites)
+    blocks = bit_blocks(gt, by, named, total, width)
+    return _pairs_of_blocks(blocks, blocks, by, total, True)
 
 
 def region_ld(r2: DataFrame, sites: DataFrame, by: Sequence[str] = ("region", "set"), high: float = 0.8) -> DataFrame:
@@ -95,9 +155,9 @@ def region_ld(r2: DataFrame, sites: DataFrame, by: Sequence[str] = ("region", "s
 
 def cross_ld(gt: DataFrame, set_a: DataFrame, set_b: DataFrame, by: Sequence[str] = ("set",)) -> tuple[DataFrame, DataFrame]:
     """(r2 of every site of ``set_a`` with every site of ``set_b``, per set the maximum and median)."""
-    a = gt.join(set_a.select("pos"), "pos", "left_semi")
-    b = gt.join(set_b.select("pos"), "pos", "left_semi").select(*by, "sample", F.col("pos").alias("pos_b"), F.col("dosage").alias("dosage_b"))
-    r2 = _r2(a.join(b, [*by, "sample"]).groupBy(*by, F.col("pos").alias("pos_a"), "pos_b"), "dosage", "dosage_b")
+    named, total, width = _samples(gt, SITES)
+    a, b = (bit_blocks(gt.join(x.select("pos").distinct(), "pos", "left_semi"), by, named, total, width) for x in (set_a, set_b))
+    r2 = _pairs_of_blocks(a, b, by, total, False)
     return r2, r2.groupBy(*by).agg(F.max("r2").alias("max_r2"), F.percentile("r2", 0.5).alias("median_r2"))
 
 

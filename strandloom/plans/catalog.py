@@ -516,6 +516,15 @@ def region_ld(spark, d):
     return r2.where("r2 is not null").groupBy("region").agg(F.round(F.min("r2"), 5).alias("min_r2"), F.round(F.avg("r2"), 5).alias("mean_r2"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_DOS}, r AS (SELECT a.pos AS pos_a, b.pos AS pos_b, corr(a.dosage, b.dosage) AS r, count(*) AS n FROM g a JOIN g b USING (sample) WHERE a.pos % 20 = 3 AND b.pos % 15 = 8 GROUP BY ALL)
+SELECT pos_a, pos_b, n, CASE WHEN NOT isnan(r) THEN round(r * r, 5) END AS r2 FROM r""")
+def cross_ld(spark, d):
+    """Every site of one set with every site of another, over all samples."""
+    gt = _dosages(spark, d).withColumn("region", F.lit("all"))
+    a, b = gt.where("pos % 20 = 3").select("pos"), gt.where("pos % 15 = 8").select("pos")
+    return GT.cross_ld(gt, a, b, ("region",))[0].select("pos_a", "pos_b", "n", F.round("r2", 5).alias("r2"))
+
+
 @query(f"""WITH {_DOS} SELECT pos, sum(dosage)::INTEGER AS ac, 128 AS an, round(sum(dosage) / 128, 6) AS af FROM g GROUP BY pos""")
 def allele_counts(spark, d):
     calls = F.transform("embedding", lambda v: F.struct((v >= -0.3).cast("int").alias("a0"), (v >= 0.3).cast("int").alias("a1")))

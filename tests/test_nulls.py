@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import draws as D
-from strandloom.operators import carry, enrichment as E, locus_null as L
+from strandloom.operators import carry, enrichment as E, genotypes as GT, locus_null as L
 
 
 def test_draws_are_the_same_in_all_engines(spark):
@@ -114,3 +114,39 @@ def test_segment_draws_have_no_repeats(spark):
     sets = spark.createDataFrame([("l", "all", f"g{i}") for i in range(50)], "library string, category string, gene string")
     row = E.permutation_enrichment(seg.where("seg < 20"), seg, sets, 30, 5).first()
     assert (row["k"], row["null_mean"], row["p"]) == (20, 20.0, 1.0)
+
+
+# -- linkage by planes of bits ---------------------------------------------------------------------------------------
+def plain_r2(gt, pairs):
+    out = {}
+    for a, b in pairs:
+        both = [(gt[a][s], gt[b][s]) for s in gt[a].keys() & gt[b].keys() if gt[a][s] is not None and gt[b][s] is not None]
+        x, y = np.array(both, float).reshape(-1, 2).T
+        flat = len(x) == 0 or x.std() == 0 or y.std() == 0
+        out[a, b] = (len(x), None if flat else pytest.approx(np.corrcoef(x, y)[0, 1] ** 2))
+    return out
+
+
+@pytest.mark.parametrize("sites", [1, 3, 256])
+def test_r2_by_blocks_of_bits(spark, sites):
+    r = np.random.default_rng(sites)
+    rows, gt = [], {}
+    for region in ("a", "b"):
+        for pos in r.choice(1000, 10, replace=False).tolist():
+            for s in range(13):
+                if r.random() < 0.9:
+                    d = None if r.random() < 0.1 else int(r.integers(0, 3)) if pos % 5 else 1
+                    rows.append((region, pos, f"s{s}", d))
+                    gt.setdefault((region, pos), {})[f"s{s}"] = d
+    rows += [x for x in rows[:9]]
+    df = spark.createDataFrame(rows, "region string, pos long, sample string, dosage int").repartition(3)
+    got = {((x["region"], x["pos_a"]), (x["region"], x["pos_b"])): (x["n"], x["r2"]) for x in GT.pairwise_r2(df, ("region",), sites).collect()}
+    assert got == plain_r2(gt, [(a, b) for a in gt for b in gt if a[0] == b[0] and a[1] < b[1]])
+    own = sorted(p for g, p in gt if g == "a")
+    first, second = own[:4], own[2:]
+    cut = lambda ps: spark.createDataFrame([(p,) for p in ps], "pos long")
+    r2, summary = GT.cross_ld(df.where("region = 'a'"), cut(first), cut(second), ("region",))
+    want = plain_r2(gt, [(("a", a), ("a", b)) for a in first for b in second])
+    assert {(("a", x["pos_a"]), ("a", x["pos_b"])): (x["n"], x["r2"]) for x in r2.collect()} == want
+    assert summary.first()["max_r2"] == pytest.approx(1.0)
+    assert GT.pairwise_r2(df.where("pos < 0"), ("region",)).count() == 0

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.storage import settled
+
 
 # -- windows of posterior probability ------------------------------------------------------------------------------
 def inverse_cumulative(posterior: Column, index: int) -> Column:
@@ -264,36 +266,68 @@ def survival_curve(df: DataFrame, grid_step: float, grid_max: float, n: int, sam
     )
 
 
+def _ranges(counts: DataFrame, by: Sequence[str], value: str, label: str) -> DataFrame:
+    """Rows, one for each (by, value), dealt by Spark's own ranges of (by, value) and written with the range's number: a large group
+    is many ranges, and small groups share one."""
+    return settled(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), label)
+
+
+def _along(ranged: DataFrame, by: Sequence[str], value: str, name: str, how: str, column: Column, up: bool = True) -> DataFrame:
+    """Add the fold (sum, min) of ``column`` over the group's rows up to this one in order of ``value`` (down from the top if not
+    ``up``): inside each range, and carried over one row a group and range."""
+    fold = {"sum": F.sum, "min": F.min}[how]
+    turn = (lambda c: F.col(c).asc()) if up else (lambda c: F.col(c).desc())
+    valued = ranged.withColumn("_v", column)
+    inside = Window.partitionBy(*by, "_range").orderBy(turn(value)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = valued.groupBy(*by, "_range").agg(fold("_v").alias("_t"))
+    carried = carried.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_range"])], fold("_t").over(before).alias("_c"))
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_range"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    local, carry = F.col("_l"), F.col("_c")
+    both = F.least(local, carry) if how == "min" else local + F.coalesce(carry, F.lit(0))
+    return valued.withColumn("_l", fold("_v").over(inside)).join(carried, same).withColumn(name, both).select(*ranged.columns, name)
+
+
+def _back(df: DataFrame, found: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``df`` with the columns ``names`` of ``found`` (one row a key); null keys meet null keys."""
+    right = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *names)
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & df[c].eqNullSafe(right[f"_k{i}"])
+    return df.join(right, same, "left").select(*df.columns, *names)
+
+
 def bh_adjust(df: DataFrame, p: str = "p", partition: Sequence[str] = (), name: str = "p_adjusted") -> DataFrame:
-    """Benjamini-Hochberg within each partition: the least p * m / rank over this and higher ranks, at most 1."""
+    """Benjamini-Hochberg within each partition: the least p * m / rank over this and higher ranks, at most 1. Ranks of ties count all
+    of them; null p-values stay null and do not count."""
     by = list(partition)
-    # ranks of ties count all of them, so rows of equal p agree; both frames end at the row's peers and only grow
-    up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.withColumn("_m", F.count(p).over(Window.partitionBy(*by))).withColumn("_r", F.count(p).over(up))
-    least = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down)
-    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_m", "_r")
+    counts = _ranges(df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n")), by, p, "p-values")
+    ranked = _along(counts, by, p, "_r", "sum", F.col("_n"))
+    many = ranked.groupBy(*by).agg(F.max("_r").alias("_m"))
+    sized = _back(ranked, many, by, ["_m"]) if by else ranked.crossJoin(F.broadcast(many))  # one row
+    least = _along(sized, by, p, "_least", "min", F.col(p) * F.col("_m") / F.col("_r"), up=False)
+    return _back(df, least.withColumn(name, F.least(F.lit(1.0), F.col("_least"))), [*by, p], [name])
 
 
 def avg_rank(df: DataFrame, col: str, partition: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Average ranks with ties, from counts of distinct values."""
     by = list(partition)
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.withColumn("_below", F.sum("_n").over(w))
-    else:
-        ranks = cumulate(counts, col, {"_below": F.col("_n")})
-    ranks = ranks.withColumn(name, F.col("_below") - (F.col("_n") - 1) / 2).drop("_n", "_below")
-    return df.join(ranks, [*by, col], "left")
+    if not by:
+        ranks = cumulate(counts, col, {"_below": F.col("_n")}).withColumn(name, F.col("_below") - (F.col("_n") - 1) / 2).drop("_n", "_below")
+        return df.join(ranks, [col], "left")
+    ranks = _along(_ranges(counts, by, col, "ranks"), by, col, "_below", "sum", F.col("_n"))
+    return _back(df, ranks.withColumn(name, F.col("_below") - (F.col("_n") - 1) / 2), [*by, col], [name])
 
 
 def ecdf(df: DataFrame, by: str, value: str) -> DataFrame:
     """Distinct values of each set with the share of rows at or below them."""
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(by, value, (F.sum("n").over(run) / F.sum("n").over(w)).alias("share"))
+    run = _along(_ranges(counts, [by], value, "values"), [by], value, "_below", "sum", F.col("n"))
+    sized = _back(run, run.groupBy(by).agg(F.max("_below").alias("_m")), [by], ["_m"])
+    return sized.select(by, value, (F.col("_below") / F.col("_m")).alias("share"))
 
 
 def natural_order(df: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:

@@ -17,7 +17,7 @@ from strandloom.operators.bins import avg_rank, bh_adjust
 from strandloom.operators.carry import numbered, previous
 from strandloom.operators.islands import merge
 from strandloom.operators.locus_null import check_matching, matched_locus_null, null_locus_sites, sample_null_loci  # noqa: F401  also named here
-from strandloom.storage import settled
+from strandloom.storage import discard, settled
 
 
 def _rng(seed: int, *key: int) -> np.random.Generator:
@@ -187,19 +187,42 @@ def bootstrap_ratio(num: DataFrame, den: DataFrame, replicates: int, seed: int,
             return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "low": q[:1], "high": q[1:]})
 
         return table.groupBy("bin").applyInPandas(resample, "bin int, low double, high double")
-    hist = num.select("bin", "value", F.lit(0).alias("t")).unionByName(den.select("bin", "value", F.lit(1).alias("t"))).groupBy("bin", "t", "value").agg(F.count(F.lit(1)).alias("n"))
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = []
-        for t in (0, 1):
-            part = pdf[pdf["t"] == t].sort_values("value")
-            n, v = part["n"].to_numpy(), part["value"].to_numpy(float)
-            total = int(n.sum())
-            sums.append(np.array([_rng(seed, r, t, int(pdf["bin"].iloc[0])).multinomial(total, n / total) @ v if total else 0.0 for r in range(replicates)]))
-        q = np.nanpercentile(np.where(sums[1] > 0, sums[0] / np.where(sums[1] > 0, sums[1], 1), np.nan), [2.5, 97.5])
-        return pd.DataFrame({"bin": pdf["bin"].iloc[:1], "low": q[:1], "high": q[1:]})
-
-    return hist.groupBy("bin").applyInPandas(resample, "bin int, low double, high double")
+    sums = bootstrap_sums(num.select("bin", "value", F.lit(0).alias("t")).unionByName(den.select("bin", "value", F.lit(1).alias("t"))), replicates, seed)
+    both = sums.groupBy("bin", "replicate").agg(F.coalesce(F.sum(F.when(F.col("t") == 0, F.col("total"))), F.lit(0.0)).alias("top"), F.sum(F.when(F.col("t") == 1, F.col("total"))).alias("low"))
+    ratio = both.where("low > 0").groupBy("bin").agg(F.percentile(F.col("top") / F.col("low"), [0.025, 0.975]).alias("q"))
+    return den.select("bin").distinct().join(ratio, "bin", "left").select(F.col("bin").cast("int"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def bootstrap_sums(rows: DataFrame, replicates: int, seed: int, slice_size: int = 1 << 14) -> DataFrame:
+    """(bin, t, replicate, total): the sum of as many values (bin, t, value) as the bin has, drawn with replacement.
+
+    A bin's histogram of distinct values is cut into slices of about ``slice_size`` by a hash. How many draws fall to each slice is
+    drawn first, over one row a slice; each slice then deals its own draws over its values, so that the numbers of a replicate add
+    up to the bin's exactly, whatever the slices. Sums travel as one array a slice and are added by replicate."""
+    hist = settled(rows.where("value is not null").groupBy("bin", "t", "value").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    sizes = hist.groupBy("bin", "t").agg(F.ceil(F.count(F.lit(1)) / slice_size).alias("_slices"))
+    sliced = hist.join(F.broadcast(sizes), ["bin", "t"]).withColumn("slice", F.pmod(F.xxhash64("value"), "_slices")).drop("_slices")  # one row a bin
+    totals = sliced.groupBy("bin", "t", "slice").agg(F.sum("n").alias("n"))
+    kind = hist.schema["bin"].dataType.simpleString()
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slice")
+        n = pdf["n"].to_numpy()
+        key = (int(pdf["bin"].iloc[0]), int(pdf["t"].iloc[0]))
+        counts = np.array([_rng(seed, r, *key).multinomial(int(n.sum()), n / n.sum()) for r in range(replicates)])
+        return pdf[["bin", "t", "slice"]].assign(counts=list(counts.T))
+
+    def draw_values(pdf: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        n, v = pdf["n"].to_numpy(), pdf["value"].to_numpy(float)
+        key = tuple(int(pdf[c].iloc[0]) for c in ("bin", "t", "slice"))
+        sums = [float(_rng(seed, r, *key).multinomial(int(c), n / n.sum()) @ v) for r, c in enumerate(dealt["counts"].iloc[0])]
+        return pdf[["bin", "t"]].iloc[:1].assign(sums=[sums])
+
+    dealt = totals.groupBy("bin", "t").applyInPandas(deal, f"bin {kind}, t int, slice long, counts array<long>")  # one row a slice
+    keys = ["bin", "t", "slice"]
+    sums = sliced.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(draw_values, f"bin {kind}, t int, sums array<double>")
+    return sums.select("bin", "t", F.posexplode("sums").alias("replicate", "s")).groupBy("bin", "t", "replicate").agg(F.sum("s").alias("total"))
 
 
 def tiebreak_enrichment(loci: DataFrame, sets: DataFrame, universe: DataFrame, resolutions: int, seed: int, alpha: float = 0.05) -> DataFrame:
@@ -267,19 +290,34 @@ def cluster_table(clusters: DataFrame, results: DataFrame, sets: DataFrame) -> D
     )
 
 
+def cover_rounds(sets: DataFrame) -> DataFrame:
+    """(category, n, round): the categories that a greedy cover of all genes takes, each with the genes it adds.
+
+    Each step takes the category with most genes not yet covered, ties by name. A category that beats every other one that shares
+    a gene left with it is taken whatever happens elsewhere, so a round takes all of those at once: a gene names the best of its
+    categories, and whoever is named by all its genes is taken. What a round covers leaves the table; only the rest is read again.
+    Greedy steps are in order of falling n and, of equals, rising name."""
+    left, taken, number = settled(sets.select("category", "gene").where("category is not null and gene is not null").distinct(), "cover"), None, 0
+    while left.take(1):
+        counts = left.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+        sized = left.join(counts, "category")
+        best = sized.groupBy("gene").agg(F.min(F.struct((-F.col("n")).alias("m"), "category")).alias("b")).select("gene", F.col("b.category").alias("category"))
+        named = best.groupBy("category").agg(F.count(F.lit(1)).alias("named"))
+        picked = settled(counts.join(named, "category").where("n = named").select("category", "n", F.lit(number).alias("round")), "taken")
+        covered = left.join(picked.select("category"), "category", "left_semi").select("gene")
+        rest = settled(left.join(covered, "gene", "left_anti").select("category", "gene"), "cover")
+        discard(left)
+        left, number = rest, number + 1
+        taken = picked if taken is None else taken.unionByName(picked)
+    return taken if taken is not None else left.select("category", F.lit(0).cast("long").alias("n"), F.lit(0).alias("round"))
+
+
 def greedy_cover(sets: DataFrame, limit: int | None = None) -> list[tuple[str, int]]:
-    """Categories that cover all genes, each step the one with most genes not yet covered (ties by name). One grouped count a
-    step; the loop ends when nothing is left, which takes no more steps than there are categories chosen. With a ``limit`` it
-    raises if that many categories leave genes uncovered."""
-    left, out = settled(sets.select("category", "gene").distinct(), "cover"), []
-    while True:
-        top = left.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").first()
-        if top is None:
-            return out
-        if limit is not None and len(out) >= limit:
-            raise RuntimeError(f"{limit} categories leave genes uncovered")
-        out.append((top["category"], top["n"]))
-        left = settled(left.join(left.where(F.col("category") == top["category"]).select("gene"), "gene", "left_anti").select("category", "gene"), "cover")
+    """The categories of :func:`cover_rounds` in greedy order. With a ``limit`` it raises if that many leave genes uncovered."""
+    out = [(r["category"], r["n"]) for r in cover_rounds(sets).orderBy(F.desc("n"), "category").select("category", "n").collect()]
+    if limit is not None and len(out) > limit:
+        raise RuntimeError(f"{limit} categories leave genes uncovered")
+    return out
 
 
 # -- rank tests ------------------------------------------------------------------------------------------------------

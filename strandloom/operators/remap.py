@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from strandloom.functions.scalars import complement
-from strandloom.operators.carry import BLOCK, running
+from strandloom.operators.carry import BLOCK, previous, running
 from strandloom.operators.intervals import WIDTH, _pairs
 
 
@@ -60,11 +60,38 @@ def lift_intervals(df: DataFrame, blocks: DataFrame, min_match: float = 0.95, wi
     return lifted, joined.where(~ok).select(*df.columns, reason.alias("reason"))
 
 
-def roundtrip_consistent(df: DataFrame, forward: DataFrame, backward: DataFrame, mode: str = "exact") -> DataFrame:
-    """Sites of ``df`` (with ``id`` chrom_pos...) that come back to where they were after lifting there and back; ``substring``
-    asks only that the returned position's digits occur in the id."""
-    there, _ = lift_points(df, forward)
-    back, _ = lift_points(there.drop("src_chrom", "src_pos").withColumn("_c", F.col("chrom")).withColumn("_p", F.col("pos")), backward)
+def single_blocks(blocks: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """The blocks cut to where no other block of the source lies: what lifting a site moves."""
+    edge = blocks.select("chrom", F.col("start").alias("at"), F.lit(1).alias("step")).unionByName(blocks.select("chrom", F.col("end").alias("at"), F.lit(-1).alias("step")))
+    steps = edge.groupBy("chrom", "at").agg(F.sum("step").alias("step"))
+    depth = running(steps, ["chrom"], "at", ["at"], {"depth": ("sum", F.col("step"))}, block=block)
+    cuts = previous(depth, ["chrom"], "at", ["at"], {"_from": "at", "_depth": "depth"}, block).where("_depth = 1").select("chrom", F.col("_from").alias("start"), F.col("at").alias("end"))
+    hits = _pairs(cuts, blocks, width)
+    left, right = F.col("start") - F.col("b_start"), F.col("b_end") - F.col("end")
+    turned = F.col("b_strand") == "-"
+    begin, end = F.when(turned, F.col("b_t_start") + right).otherwise(F.col("b_t_start") + left), F.when(turned, F.col("b_t_end") - left).otherwise(F.col("b_t_end") - right)
+    return hits.select("chrom", "start", "end", F.col("b_t_chrom").alias("t_chrom"), begin.alias("t_start"), end.alias("t_end"), F.col("b_strand").alias("strand"))
+
+
+def compose_blocks(first: DataFrame, second: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """One block table for ``first`` and then ``second`` (chrom, start, end, t_chrom, t_start, t_end, strand): it moves exactly the
+    sites that both move one after the other, as each is cut to its single blocks before. The two meet by one range join."""
+    a, b = single_blocks(first, width, block), single_blocks(second, width, block)
+    middle = a.select(F.col("t_chrom").alias("chrom"), F.col("t_start").alias("start"), F.col("t_end").alias("end"), F.col("chrom").alias("s_chrom"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("strand").alias("s_strand"))
+    hits = _pairs(middle, b, width).withColumn("lo", F.greatest("start", "b_start")).withColumn("hi", F.least("end", "b_end"))
+    size = F.col("hi") - F.col("lo")
+    source = F.when(F.col("s_strand") == "-", F.col("s_end") - (F.col("hi") - F.col("start"))).otherwise(F.col("s_start") + F.col("lo") - F.col("start"))
+    target = F.when(F.col("b_strand") == "-", F.col("b_t_end") - (F.col("hi") - F.col("b_start"))).otherwise(F.col("b_t_start") + F.col("lo") - F.col("b_start"))
+    strand = F.when(F.col("s_strand") == F.col("b_strand"), "+").otherwise("-")
+    return hits.select(F.col("s_chrom").alias("chrom"), source.alias("start"), (source + size).alias("end"), F.col("b_t_chrom").alias("t_chrom"), target.alias("t_start"), (target + size).alias("t_end"), strand.alias("strand"))
+
+
+def roundtrip_consistent(df: DataFrame, forward: DataFrame, backward: DataFrame, mode: str = "exact", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """Sites of ``df`` (with ``id`` chrom_pos...) that come back to where they were after lifting there and back, by one lift over
+    the composed blocks; ``substring`` asks only that the returned position's digits occur in the id. Sites that share an id stay
+    if one of them comes back."""
+    sites = df.select("chrom", "pos", "id", F.lit("N").alias("ref"), F.lit("N").alias("alt"))
+    back, _ = lift_points(sites, compose_blocks(forward, backward, width, block), width=width)
     parts = F.split("id", "_")
     same = F.contains(F.col("id"), F.col("pos").cast("string")) if mode == "substring" else (F.col("chrom") == parts[0]) & (F.col("pos") == F.get(parts, F.lit(1)).try_cast("long"))
     return df.join(back.where(same).select("id").distinct(), "id", "left_semi")
@@ -99,7 +126,7 @@ def genetic_span(regions: DataFrame, maps: dict[str, DataFrame], sub_blocks: Dat
     return regions.join(out, "region", "left")
 
 
-def compose_blocks(blocks: DataFrame, names: Sequence[str] = ("chrom", "start", "end", "t_chrom", "t_start", "t_end")) -> DataFrame:
+def reverse_blocks(blocks: DataFrame, names: Sequence[str] = ("chrom", "start", "end", "t_chrom", "t_start", "t_end")) -> DataFrame:
     """The reverse blocks: source and target change places."""
     a, b, c, d, e, f = names
     return blocks.select(F.col(d).alias(a), F.col(e).alias(b), F.col(f).alias(c), F.col(a).alias(d), F.col(b).alias(e), F.col(c).alias(f), "strand")

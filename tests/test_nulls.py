@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import draws as D
-from strandloom.operators import carry, enrichment as E, genotypes as GT, locus_null as L
+from strandloom.operators import bins as B, carry, enrichment as E, genotypes as GT, locus_null as L, remap as R
 
 
 def test_draws_are_the_same_in_all_engines(spark):
@@ -150,3 +150,73 @@ def test_r2_by_blocks_of_bits(spark, sites):
     assert {(("a", x["pos_a"]), ("a", x["pos_b"])): (x["n"], x["r2"]) for x in r2.collect()} == want
     assert summary.first()["max_r2"] == pytest.approx(1.0)
     assert GT.pairwise_r2(df.where("pos < 0"), ("region",)).count() == 0
+
+
+# -- slices of groups, bootstrap, covers, composed maps ----------------------------------------------------------------
+def test_ranks_within_groups_equal_one_pass(spark):
+    r = np.random.default_rng(2)
+    rows = [(g, i, None if r.random() < 0.1 else float(r.integers(40)) / 40) for i, g in enumerate(r.choice(["big"] * 30 + ["b", "c", None], 600).tolist())]
+    df = spark.createDataFrame(rows, "g string, i long, p double").repartition(5)
+    adjusted = {x["i"]: x["p_adjusted"] for x in B.bh_adjust(df, "p", ["g"]).collect()}
+    ranks = {x["i"]: x["rank"] for x in B.avg_rank(df, "p", ["g"]).collect()}
+    shares = {(x["g"], x["p"]): x["share"] for x in B.ecdf(df, "g", "p").collect()}
+    assert len(adjusted) == len(ranks) == len(rows)
+    for g, i, p in rows:
+        own = sorted(x[2] for x in rows if x[0] == g and x[2] is not None)
+        if p is None:
+            assert adjusted[i] is None and ranks[i] is None
+            continue
+        upto = lambda v, own=own: sum(x <= v for x in own)
+        assert adjusted[i] == pytest.approx(min(1.0, min(x * len(own) / upto(x) for x in own if x >= p)))
+        assert ranks[i] == upto(p) - (own.count(p) - 1) / 2 and shares[g, p] == pytest.approx(upto(p) / len(own))
+    whole = {x["i"]: x["p_adjusted"] for x in B.bh_adjust(df, "p").collect()}
+    own = sorted(x[2] for x in rows if x[2] is not None)
+    assert all(whole[i] is None if p is None else whole[i] == pytest.approx(min(1.0, min(x * len(own) / sum(y <= x for y in own) for x in own if x >= p))) for _, i, p in rows)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 14])
+def test_bootstrap_draws_add_up(spark, size):
+    rows = spark.createDataFrame([(b, t, float(i % 50)) for b in (1, 2) for t in (0, 1) for i in range(100 * b)], "bin int, t int, value double")
+    ones = rows.withColumn("value", F.col("value") * 0 + 1 + F.col("value") * 0)
+    assert {(r["bin"], r["total"]) for r in E.bootstrap_sums(ones, 20, 3, size).collect()} == {(1, 100.0), (2, 200.0)}
+    got = E.bootstrap_sums(rows, 300, 3, size).where("bin = 2 and t = 0").agg(F.avg("total").alias("m"), F.stddev("total").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    values = np.array([i % 50 for i in range(200)], float)
+    assert got["n"] == 300 and got["m"] == pytest.approx(values.sum(), rel=0.02) and got["s"] == pytest.approx(values.std() * 200**0.5, rel=0.2)
+
+
+def test_cover_rounds_equal_the_greedy_steps(spark):
+    r = np.random.default_rng(5)
+    for trial in range(3):
+        sets = {f"c{c:02d}": set(r.integers(0, 60, int(r.integers(1, 15))).tolist()) for c in range(30)}
+        left, want = set().union(*sets.values()), []
+        while left:
+            name = min(sets, key=lambda c: (-len(sets[c] & left), c))
+            want.append((name, len(sets[name] & left)))
+            left -= sets[name]
+        df = spark.createDataFrame([(c, f"g{g}") for c, gs in sets.items() for g in gs], "category string, gene string")
+        assert E.greedy_cover(df) == want
+    many = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("category"), F.explode(F.sequence(F.col("id") * 3, F.col("id") * 3 + F.col("id") % 4)).alias("gene"))
+    assert E.cover_rounds(many).agg(F.count(F.lit(1)).alias("k"), F.max("round").alias("r")).first()["k"] > 10_000
+
+
+def test_composed_blocks_equal_lifting_twice(spark):
+    r = np.random.default_rng(8)
+    schema = "chrom string, start long, end long, t_chrom string, t_start long, t_end long, strand string"
+
+    def blocks(n):
+        out = []
+        for _ in range(n):
+            s, t, size = (int(x) for x in r.integers(0, 300, 3))
+            out.append((str(r.integers(2)), s, s + size % 60 + 1, str(r.integers(2)), t, t + size % 60 + 1, str(r.choice(["+", "-"]))))
+        return out
+
+    first, second = (spark.createDataFrame(blocks(n), schema) for n in (8, 9))
+    sites = spark.createDataFrame([(str(c), p, f"{c}_{p}", "A", "C") for c in range(2) for p in range(1, 380)], "chrom string, pos long, id string, ref string, alt string")
+    there, _ = R.lift_points(sites, first, width=50)
+    back, _ = R.lift_points(there.drop("src_chrom", "src_pos"), second, width=50)
+    once, _ = R.lift_points(sites, R.compose_blocks(first, second, 50, 40), width=50)
+    rows = lambda df: sorted((x["id"], x["chrom"], x["pos"], x["ref"], x["alt"]) for x in df.collect())
+    assert rows(once) == rows(back) and len(rows(once)) > 20
+    kept = {x["id"] for x in R.roundtrip_consistent(sites, first, R.reverse_blocks(first), width=50, block=40).collect()}
+    home, _ = R.lift_points(there.drop("src_chrom", "src_pos"), R.reverse_blocks(first), width=50)
+    assert kept == {x["id"] for x in home.collect() if x["id"] == f"{x['chrom']}_{x['pos']}"} and kept

@@ -37,7 +37,8 @@ from strandloom.llm._shared import discard, keyed_text, settled, table
 from strandloom.llm.components import components
 
 U = np.uint64
-_BITS = ["bits0", "bits1", "bits2", "bits3"]
+#: A member's bitmap: 512 bits, by 64. Sets of up to some 1100 shingles fill them so little that unlike ones stay apart.
+_BITS = [f"bits{i}" for i in range(8)]
 _SIGN = "doc_id long, text_key long, n_shingles long, set_key long, " + ", ".join(f"{b} long" for b in _BITS) + ", wide binary, code long, seen long"
 _PAIR = "region long, a long, b long"
 
@@ -85,8 +86,8 @@ class JaccardJoin:
 
     @staticmethod
     def parity(s: np.ndarray) -> np.ndarray:
-        """A set's bitmap as bytes: two bits or more a shingle, 256 to 16384 in all. A longer one folds to a shorter one."""
-        size = 1 << min(14, max(8, int(2 * len(s) - 1).bit_length()))
+        """A set's bitmap as bytes: two bits or more a shingle, 512 to 16384 in all. A longer one folds to a shorter one."""
+        size = 1 << min(14, max(9, int(2 * len(s) - 1).bit_length()))
         return np.packbits(np.bincount((s & U(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little")
 
     def signs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,18 +103,18 @@ class JaccardJoin:
             seen = np.diff(np.append(begin, len(codes)))
             often = seen >= self.frequent
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 8 + [pa.nulls(len(none), pa.binary()), _longs(codes[begin][often]), pa.array(seen[often])], names=names)
+            return pa.RecordBatch.from_arrays([none] * (4 + len(_BITS)) + [pa.nulls(len(none), pa.binary()), _longs(codes[begin][often]), pa.array(seen[often])], names=names)
 
         for batch in batches:
             ids, keys, text = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key", "text"))
             n, key = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-            bits, wide = np.zeros((len(text), 32), np.uint8), [None] * len(text)
+            bits, wide = np.zeros((len(text), 8 * len(_BITS)), np.uint8), [None] * len(text)
             for row, s in self.sets(text):
                 n[row] = len(s)
                 if len(s):
                     key[row] = self.set_key(s)
                     full = self.parity(s)
-                    wide[row], bits[row] = full.tobytes(), np.bitwise_xor.reduce(full.reshape(-1, 32))
+                    wide[row], bits[row] = full.tobytes(), np.bitwise_xor.reduce(full.reshape(-1, 8 * len(_BITS)))
                     held.append(s)
                     size += len(s)
                 if size >= self.chunk:
@@ -205,7 +206,7 @@ class JaccardJoin:
         need = self.common(n, m)
         most = np.minimum(n - x["place"][i], m - x["place"][j])  # if this is the first shingle that they share
         ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent) & (most >= need) & (x["label"][i] != x["label"][j])
-        far = sum(np.bitwise_count(x["bits"][i, c] ^ x["bits"][j, c]).astype(np.int64) for c in range(4))
+        far = sum(np.bitwise_count(x["bits"][i, c] ^ x["bits"][j, c]).astype(np.int64) for c in range(len(_BITS)))
         return ok & (far <= n + m - 2 * need), far
 
     def by_pairs(self, x: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ class JaccardJoin:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def distances(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(x["bits"][i, c][:, None] ^ x["bits"][j, c][None, :]).astype(np.int32) for c in range(4))
+        return sum(np.bitwise_count(x["bits"][i, c][:, None] ^ x["bits"][j, c][None, :]).astype(np.int32) for c in range(len(_BITS)))
 
     def by_pivots(self, x: dict[str, np.ndarray], members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each member with its nearest pivot among as many as the root of their number."""

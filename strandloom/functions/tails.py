@@ -25,6 +25,13 @@ def hypergeom_sf(k: int, N: int, K: int, n: int) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
+def hypergeom_cdf(N: int, K: int, n: int) -> tuple[int, np.ndarray]:
+    """(least count, P(X <= count) of it and all after it) for n draws without replacement from N of which K count."""
+    low = max(0, n - (N - K))
+    x = np.arange(low, min(K, n) + 1, dtype=float)
+    return low, np.cumsum(np.exp(_log_choose(K, x) + _log_choose(N - K, n - x) - _log_choose(N, np.array([float(n)]))[0]))
+
+
 def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from strandloom.functions.draws import permuted
-from strandloom.functions.tails import hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
+from strandloom.functions.draws import draw, permuted
+from strandloom.functions.tails import hypergeom_cdf, hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
 from strandloom.operators.bins import avg_rank, bh_adjust
 from strandloom.operators.carry import numbered, previous
 from strandloom.operators.islands import merge
@@ -78,13 +78,15 @@ def permutation_enrichment(test: DataFrame, background: DataFrame, sets: DataFra
 
 def subsample_null(spark, pool_size: int, pool_hits: int, n: int, observed: int, n_perm: int, seed: int) -> DataFrame:
     """Overlap count of ``n`` sites drawn without replacement from a pool of which ``pool_hits`` overlap: the count has the
-    hypergeometric law, so a replicate is one draw. Mean, deviation (ddof 0), fold and p = (1 + #>=) / (1 + n_perm)."""
+    hypergeometric law, so a replicate is the law's quantile at one even draw. Mean, deviation (ddof 0), fold and
+    p = (1 + #>=) / (1 + n_perm)."""
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def quantile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, upto = hypergeom_cdf(pool_size, pool_hits, n)
         for pdf in frames:
-            yield pd.DataFrame({"null": [int(_rng(seed, int(r)).hypergeometric(pool_hits, pool_size - pool_hits, n)) for r in pdf["id"]]})
+            yield pd.DataFrame({"null": low + np.minimum(np.searchsorted(upto, pdf["u"].to_numpy() / (1 << 40), "right"), len(upto) - 1)})
 
-    null = spark.range(n_perm).mapInPandas(draw, "null long")
+    null = spark.range(n_perm).select(draw(1 << 40, seed, F.col("id")).alias("u")).mapInPandas(quantile, "null long")
     out = null.agg(F.avg("null").alias("mean"), F.stddev_pop("null").alias("sd"), F.count_if(F.col("null") >= observed).alias("ge"))
     return out.select(F.lit(observed).alias("observed"), "mean", "sd", F.try_divide(F.lit(float(observed)), F.col("mean")).alias("fold"), ((F.col("ge") + 1) / (n_perm + 1)).alias("p"))
 

@@ -599,16 +599,6 @@ def spearman(spark, d):
     return E.spearman(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(r6("rho", "rho"), "n")
 
 
-@query()
-def overlap_subsample_null(spark, d):
-    """Observed overlaps of one set of events against draws from all: the pool is flagged once, replicates are draws."""
-    pool = intervals(spark, d)
-    against = intervals(spark, d, "purchase")
-    counts = I.count_overlapping(pool.where("event_type <> 'purchase'"), against, 4096).first()
-    own = I.count_overlapping(intervals(spark, d, "view"), against, 4096).first()
-    return E.subsample_null(spark, counts["n"], counts["n_overlapping"], own["n"], own["n_overlapping"], 1000, 7)
-
-
 @query()
 def shuffled_placements(spark, d):
     """Share of the nearest genes of error intervals that are in a set, against 1000 placements that avoid signup intervals.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandloom.functions import draws as D
-from strandloom.operators import locus_null as L
-from strandloom.plans.catalog import BLOCK, _t, points, query, r6
+from strandloom.operators import enrichment as E, intervals as I, locus_null as L, remap as R
+from strandloom.plans.catalog import BLOCK, _t, intervals, points, query, r6
 
 
 # -- stretches of user days ----------------------------------------------------------------------------------------------
@@ -35,7 +35,7 @@ dr AS (SELECT locus, span, low, high, r.range AS replicate, a.range AS attempt,
 st AS (SELECT dr.*, b.run, e.number AS last, (e.w1 - b.w1 + b.score) / (e.d1 - b.d1 + 1) AS mean FROM dr JOIN bg b USING (number) JOIN bg e ON e.run = b.run AND e.start < b.start + span AND b.start + span <= e.stop),
 nr AS (SELECT replicate, locus, attempt, mean, arg_min(gene, m.distance * 1000000000 + m.number) AS gene, min(m.distance) AS distance FROM st JOIN bg m ON m.run = st.run AND m.number BETWEEN st.number AND st.last WHERE (low IS NULL OR mean > low) AND (high IS NULL OR mean <= high) GROUP BY replicate, locus, attempt, mean HAVING min(m.distance) <= 4000),
 f AS (SELECT replicate, locus, min(attempt) AS attempt, arg_min(gene, attempt) AS gene, arg_min(distance, attempt) AS distance, arg_min(mean, attempt) AS mean FROM nr GROUP BY ALL)
-SELECT r.range AS replicate, locus, gene, distance::DOUBLE AS distance, round(mean, 6) AS mean_score, attempt::INT AS attempt FROM loci CROSS JOIN range(20) r LEFT JOIN (SELECT replicate AS range, * EXCLUDE replicate FROM f) USING (range, locus)""")
+SELECT r.range::INT AS replicate, locus, gene, distance::DOUBLE AS distance, round(mean, 6) AS mean_score, attempt::INT AS attempt FROM loci CROSS JOIN range(20) r LEFT JOIN (SELECT replicate AS range, * EXCLUDE replicate FROM f) USING (range, locus)""")
 def matched_loci(spark, d):
     """Stretches of user days matched to every user by length and quartile of the score, the closest gene within a cap."""
     bg = _days(spark, d)
@@ -67,7 +67,7 @@ sites AS (SELECT * FROM (SELECT replicate, locus, an.chrom, anchor, pos, score,
 """
 
 
-@query(f"WITH {_SITES} SELECT replicate, locus, chrom, anchor, pos, score FROM sites")
+@query(f"WITH {_SITES} SELECT replicate::INT AS replicate, locus, chrom, anchor, pos, score FROM sites")
 def null_locus_sites(spark, d):
     return _null_sites(spark, d)[2]
 
@@ -81,3 +81,66 @@ def matching_check(spark, d):
     loci, _, sites = _null_sites(spark, d)
     out = L.check_matching(loci, sites)
     return out.select(F.col("foreground")[2].alias("foreground_25"), F.col("null")[2].alias("null_25"), r6("foreground_mean", "foreground_mean"), r6("null_mean", "null_mean"), r6("d", "d"), "span", "realised", r6("share_wide", "share_wide"))
+
+
+# -- counts by their law ---------------------------------------------------------------------------------------------
+_LAW = """
+po AS (SELECT event_id, event_type, chrom, start, "end" FROM iv), hit AS (SELECT DISTINCT a.event_id FROM po a JOIN po b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" WHERE a.event_type <> 'purchase' AND b.event_type = 'purchase'),
+z AS (SELECT (SELECT count(*) FROM po WHERE event_type <> 'purchase') AS t, (SELECT count(*) FROM hit) AS k, (SELECT count(*) FROM po WHERE event_type = 'view') AS n, (SELECT count(*) FROM hit JOIN po USING (event_id) WHERE event_type = 'view') AS o),
+pm AS (SELECT x, exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(t - k + 1) - lgamma(n - x + 1) - lgamma(t - k - n + x + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1)) AS w FROM z, LATERAL (SELECT unnest(range(greatest(0, n - (t - k)), least(k, n) + 1)) AS x)),
+cd AS (SELECT x, sum(w) OVER (ORDER BY x) AS upto FROM pm),
+"""
+
+
+@query(f"""WITH {_LAW} dr AS (SELECT range, {D.sql_draw(1 << 40, 7, 'range')} / {1 << 40} AS u FROM range(1000)), nu AS (SELECT range, (SELECT min(x) FROM cd WHERE upto > u) AS nul FROM dr)
+SELECT o AS observed, round(avg(nul), 6) AS mean, round(stddev_pop(nul), 6) AS sd, round(o / avg(nul), 6) AS fold, round((count(*) FILTER (nul >= o) + 1) / 1001, 6) AS p FROM nu, z GROUP BY o""")
+def overlap_subsample_null(spark, d):
+    """Observed overlaps of one set of events against draws from all: the pool is flagged once, replicates are draws."""
+    pool, against = intervals(spark, d), intervals(spark, d, "purchase")
+    counts = I.count_overlapping(pool.where("event_type <> 'purchase'"), against, 4096).first()
+    own = I.count_overlapping(intervals(spark, d, "view"), against, 4096).first()
+    out = E.subsample_null(spark, counts["n"], counts["n_overlapping"], own["n"], own["n_overlapping"], 1000, 7)
+    return out.select("observed", *[r6(c, c) for c in ("mean", "sd", "fold", "p")])
+
+
+@query(f"""WITH fg AS (SELECT DISTINCT user_id AS gene FROM events WHERE event_type = 'error'), z AS (SELECT (SELECT count(DISTINCT user_id) FROM events) AS t, (SELECT count(DISTINCT user_id) FROM events WHERE user_id % 3 = 0) AS k, (SELECT count(*) // 2 FROM fg) AS n, (SELECT count(*) FROM fg WHERE gene % 3 = 0) // 2 AS o),
+pm AS (SELECT x, exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(t - k + 1) - lgamma(n - x + 1) - lgamma(t - k - n + x + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1)) AS w FROM z, LATERAL (SELECT unnest(range(greatest(0, n - (t - k)), least(k, n) + 1)) AS x)),
+cd AS (SELECT x, sum(w) OVER (ORDER BY x) AS upto FROM pm), dr AS (SELECT range, {D.sql_draw(1 << 40, 3, 'range')} / {1 << 40} AS u FROM range(5000)), nu AS (SELECT (SELECT min(x) FROM cd WHERE upto > u) AS nul FROM dr)
+SELECT o AS observed, round(avg(nul), 6) AS mean, round((count(*) FILTER (nul >= o)) / 5000, 6) AS p FROM nu, z GROUP BY o""")
+def random_draw_null(spark, d):
+    """Share of random draws of genes that hold as many members of a set as half of the foreground."""
+    genes = _t(spark, d, "events").select("user_id", "event_type").distinct()
+    member = F.col("user_id") % 3 == 0
+    whole = genes.agg(F.countDistinct("user_id").alias("t"), F.countDistinct(F.when(member, F.col("user_id"))).alias("k")).first()
+    own = genes.where("event_type = 'error'").agg(F.count(F.lit(1)).alias("n"), F.count_if(member).alias("o")).first()
+    out = E.random_draw_null(spark, whole["t"], whole["k"], own["n"] // 2, own["o"] // 2, 5000, 3)
+    return out.select("observed", r6("mean", "mean"), r6("p", "p"))
+
+
+@query()
+def bootstrap_ratio(spark, d):
+    """Percentiles of resampled ratios of summed lengths; the draws are multinomial and have no SQL."""
+    rows = intervals(spark, d).select((F.col("event_id") % 4).cast("int").alias("bin"), (F.col("end") - F.col("start")).cast("double").alias("value"), "event_type")
+    return E.bootstrap_ratio(rows.where("event_type = 'view'"), rows, 200, 5).select("bin", r6("low", "low"), r6("high", "high"))
+
+
+# -- composed maps ---------------------------------------------------------------------------------------------------
+_MAPS = """
+fw AS (SELECT range AS i, (range % 20)::VARCHAR AS chrom, 1704067200 + range // 20 * 90000 AS s, 1704067200 + range // 20 * 90000 + 60000 AS e, ((range * 7 + range // 20) % 20)::VARCHAR AS tc, range // 20 * 70000 AS ts, CASE WHEN range % 3 = 0 THEN '-' ELSE '+' END AS st FROM range(700)),
+bw AS (SELECT tc AS chrom, ts + 5000 AS s, ts + 50000 AS e, chrom AS tc, CASE WHEN st = '-' THEN e - 50000 ELSE s + 5000 END + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS ts, st FROM fw)
+"""
+
+
+@query(f"""WITH {_MAPS}, x AS (SELECT event_id, p.chrom, pos, tc AS c2, CASE WHEN st = '-' THEN ts + 60000 - (pos - 1 - s) ELSE ts + pos - s END AS p2 FROM pts p JOIN fw ON p.chrom = fw.chrom AND pos - 1 < e AND s < pos QUALIFY count(*) OVER (PARTITION BY event_id) = 1),
+y AS (SELECT event_id, x.chrom, pos, tc, CASE WHEN st = '-' THEN ts + 45000 - (p2 - 1 - s) ELSE ts + p2 - s END AS p3 FROM x JOIN bw ON c2 = bw.chrom AND p2 - 1 < e AND s < p2 QUALIFY count(*) OVER (PARTITION BY event_id) = 1)
+SELECT event_id, chrom, pos FROM y WHERE tc = chrom AND p3 = pos""")
+def roundtrip_consistent(spark, d):
+    """Sites that come back to their place over two block tables; a fifth of the blocks comes back beside it."""
+    i = F.col("id")
+    start = 1704067200 + F.floor(i / 20) * 90_000
+    strand = F.when(i % 3 == 0, "-").otherwise("+")
+    forward = spark.range(700).select("id", (i % 20).cast("string").alias("chrom"), start.alias("start"), (start + 60_000).alias("end"), ((i * 7 + F.floor(i / 20)) % 20).cast("string").alias("t_chrom"), (F.floor(i / 20) * 70_000).alias("t_start"), (F.floor(i / 20) * 70_000 + 60_000).alias("t_end"), strand.alias("strand"))
+    home = F.when(F.col("strand") == "-", F.col("end") - 50_000).otherwise(F.col("start") + 5000) + F.when(i % 5 == 0, 1).otherwise(0)
+    backward = forward.select(F.col("t_chrom").alias("chrom"), (F.col("t_start") + 5000).alias("start"), (F.col("t_start") + 50_000).alias("end"), F.col("chrom").alias("t_chrom"), home.alias("t_start"), (home + 45_000).alias("t_end"), "strand")
+    sites = points(spark, d).select("event_id", "chrom", "pos", F.concat_ws("_", "chrom", F.col("pos").cast("string"), F.col("event_id").cast("string")).alias("id"))
+    return R.roundtrip_consistent(sites, forward.drop("id"), backward, width=50_000, block=BLOCK).select("event_id", "chrom", "pos")

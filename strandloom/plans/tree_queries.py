@@ -72,7 +72,7 @@ def clean_genealogy(spark, d):
     return Y.clean_genealogy(nodes, edges)[0].withColumn("time", r6("time"))
 
 
-@query(f"WITH {_TREES} SELECT user_id % 3 AS run, 'r' || user_id % 10 AS region, user_id AS sample_idx, q * 250.0::DOUBLE AS \"left\", parent, child FROM ed")
+@query(f"WITH {_TREES} SELECT user_id % 3 AS run, 'r' || user_id % 10 AS region, user_id AS sample_idx, q * 250.0::DOUBLE AS \"left\", parent::BIGINT AS parent, child FROM ed")
 def clean_edges(spark, d):
     return Y.clean_edges(genealogies(spark, d)[1]).drop("right")
 

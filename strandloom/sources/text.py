@@ -20,16 +20,17 @@ def read_vcf(spark: SparkSession, path: str, info_schema: Mapping[str, str], sam
     """Sites with typed INFO fields (name: type; ``boolean`` for flags), and with ``samples`` (all of the file, in its order) a
     ``genotypes`` array of (sample, a0, a1, phased, dp, pl). Header lines are skipped, ``.`` is null."""
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")))
-    f = F.split("value", "\t")
+    parts = F.split("value", "\t")
+    f = [F.get(parts, F.lit(i)) for i in range(9)]  # not [i]: filters that Spark infers may meet a header line first
     info = F.str_to_map(_null(f[7], "."), F.lit(";"), F.lit("="))
-    fields = [(F.map_contains_key(info, k) if t == "boolean" else _null(info[k], ".").try_cast(t)).alias(k) for k, t in info_schema.items()]
+    fields = [(F.coalesce(F.map_contains_key(info, k), F.lit(False)) if t == "boolean" else _null(info[k], ".").try_cast(t)).alias(k) for k, t in info_schema.items()]
     out = [f[0].alias("chrom"), f[1].cast("long").alias("pos"), _null(f[2], ".").alias("id"), f[3].alias("ref"), F.when(f[4] == ".", F.array().cast("array<string>")).otherwise(F.split(f[4], ",")).alias("alts"), f[5].try_cast("double").alias("qual"), _null(f[6], ".").alias("filter"), *fields]
     if samples:
         names = F.split(f[8], ":")
 
         def call(text: Column, name: Column) -> Column:
-            parts = F.split(text, ":")
-            value = lambda key: F.try_element_at(parts, F.array_position(names, key).cast("int"))
+            own = F.split(text, ":")
+            value = lambda key: F.try_element_at(own, F.array_position(names, key).cast("int"))
             held = lambda key: F.when(F.array_position(names, key) > 0, value(key))
             gt = held("GT")
             alleles = F.split(gt, r"[|/]")
@@ -39,7 +40,7 @@ def read_vcf(spark: SparkSession, path: str, info_schema: Mapping[str, str], sam
             )
 
         listed = F.array(*[F.lit(s) for s in samples])
-        out.append(F.zip_with(F.slice(f, 10, len(samples)), listed, call).alias("genotypes"))
+        out.append(F.zip_with(F.slice(parts, 10, len(samples)), listed, call).alias("genotypes"))
     return lines.select(*out)
 
 

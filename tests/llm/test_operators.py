@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -238,17 +239,27 @@ def test_exact_top_k(spark):
     vectors = [(i, [float(x) for x in r.integers(-3, 4, 8) / 4]) for i in range(230)] + [(500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (50, [0.5] * 8)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     good = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v in vectors if v and None not in v and not np.isnan(v).any()]
-    want = []
-    for q, x in good:
+    want = Counter()
+    for i, (q, x) in enumerate(good):
         if q % 50 == 0:
-            best = sorted(((-int(x @ y), v) for v, y in good if v != q))[:5]
-            want.append((q, [(v, -s) for s, v in best]))
-    got = {}
-    for row in topk.exact_top_k(df, df.where("vec_id % 50 = 0"), tile=16, block=3).collect():
-        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
-    for q in {q for q, _ in want if q != 50}:
-        assert [x[1:] for x in sorted(got[q])] == next(w for i, w in want if i == q)
-    assert topk.exact_top_k(df.where("false"), df.where("false")).count() == 0
+            best = sorted((-int(x @ y), v) for j, (v, y) in enumerate(good) if j != i)[:5]
+            want.update((q, r, v, -s) for r, (s, v) in enumerate(best, 1))
+    got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, tile=16, block=3).collect()
+    assert Counter(tuple(x) for x in got) == want and sum(x[0] == 50 for x in got) == 10
+    assert topk.exact_top_k(df, F.lit(False)).count() == 0 and topk.exact_top_k(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_top_k_of_equal_ids_and_large_scores(spark):
+    schema = "vec_id long, embedding array<double>"
+    equal = spark.createDataFrame([(50, [1.0]), (50, [1.0]), (1, [1.0]), (2, [0.5]), (3, [0.25, 0.0])], schema)
+    got = sorted(tuple(r) for r in topk.exact_top_k(equal, F.col("vec_id") % 50 == 0).collect())
+    one = [(50, 1, 1, 65536), (50, 2, 50, 65536), (50, 3, 2, 32768), (50, 4, 3, 16384)]
+    assert got == sorted(one + one)
+    large = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**6, -1.0]), (2, [1.0, 2.0**46])], schema)
+    got = {r["vec_id"]: r["score"] for r in topk.exact_top_k(large, F.col("vec_id") == 0).collect()}
+    assert got == {1: 2**62 - 2**16, 2: 2**56 + 2**62}
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1e17])], schema), F.col("vec_id") == 0).count()
 
 
 def greedy(lengths, sources, clusters, capacity):

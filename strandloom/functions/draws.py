@@ -36,6 +36,12 @@ def draw(n: Column | int, *keys: Column | int) -> Column:
     return wide[0] % (F.lit(n) if isinstance(n, int) else n).cast("long")
 
 
+def text_draw(n: Column | int, *keys: Column | int) -> Column:
+    """A number from 0 to n - 1 from keys of any type, by their MD5."""
+    joined = F.concat_ws(":", *[(F.lit(k) if isinstance(k, int) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long") % (F.lit(n) if isinstance(n, int) else n).cast("long")
+
+
 # -- numpy -----------------------------------------------------------------------------------------------------------
 def scrambled_array(x: np.ndarray) -> np.ndarray:
     for _ in range(2):
@@ -96,6 +102,11 @@ def sql_draw(n: str | int, *keys: str | int) -> str:
     return f"(list_transform([{sql_hashed(*keys)}], lambda h: h * {1 << 31} + ({_sql_scrambled(f'xor(h, {_SECOND})')} >> 1))[1] % ({n}))"
 
 
+def sql_text_draw(n: str | int, *keys: str | int) -> str:
+    joined = " || ':' || ".join(f"({k})::VARCHAR" for k in keys)
+    return f"(('0x' || substr(md5({joined}), 1, 15))::BIGINT % ({n}))"
+
+
 def sql_permuted(index: str, n: str, *keys: str | int) -> str:
     """``n`` must be short: it is repeated."""
     rounds = f"list_transform(range(1, {ROUNDS + 1}), lambda r: {_sql_scrambled('xor(b, r)')})"

@@ -36,10 +36,10 @@ SEVERITY = (
     "synonymous", "3_prime_UTR", "5_prime_UTR", "downstream_gene", "upstream_gene", "splice_region", "missense", "LOF",
 )
 
-#: Bracketed notes that name the study and not the trait. Fixed values.
+#: Bracketed notes that name the study and not the trait. A fixed value.
 TRAIT_NOTES = (
-    r"UKB data field[^)]*", r"PheCode[^)]*", "MTAG", "PGS-adjusted", "baseline", "2df test", "rank-based inverse normal transformation",
-    r"[A-Za-z0-9]{2,8},[^)]*(?:inv-norm|inverse normal)[^)]*", r"[^)]*inv-norm(?:al)? transformed", r"[A-Z][A-Za-z0-9]{1,6}",
+    r"UKB data field[^)]*|PheCode[^)]*|MTAG|PGS-adjusted|baseline|2df test|rank-based inverse normal transformation"
+    r"|[A-Za-z0-9]{2,8},[^)]*(?:inv-norm|inverse normal)[^)]*|[^)]*inv-norm(?:al)? transformed|[A-Z][A-Za-z0-9]{1,6}"
 )
 
 
@@ -139,9 +139,9 @@ def distinct_subfield(c: Column, index: int, outer: str = ";", inner: str = r"\|
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
 
 
-def normalise_trait(c: Column, notes: Sequence[str] = TRAIT_NOTES) -> Column:
+def normalise_trait(c: Column, notes: str = TRAIT_NOTES) -> Column:
     """A trait's name without notes about its study, white space squeezed and closing marks trimmed."""
-    plain = F.regexp_replace(c, r"(?i)\s*\((?:" + "|".join(notes) + r")\)", "")
+    plain = F.regexp_replace(c, r"(?i)\s*\((?:" + notes + r")\)", "")
     return F.regexp_replace(F.regexp_replace(plain, r"\s{2,}", " "), r"^[ ,;]+|[ ,;]+$", "")
 
 

@@ -38,8 +38,12 @@ def previous(df: DataFrame, by: Sequence[str], pos: str, order: Sequence[str | C
     keyed = df.withColumn("_blk", F.floor(F.col(pos) / block))
     w = Window.partitionBy(*by, "_blk").orderBy(*order)
     packed = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
-    last = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_blk").orderBy(*[c.desc() if isinstance(c, Column) else F.desc(c) for c in order]))).where("_n = 1")
-    tails = last.select(*by, "_blk", packed.alias("_tail")).withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_blk"))).drop("_tail")
+    if all(isinstance(c, str) for c in order):  # the block's last row by an aggregate: no second sort
+        last = keyed.groupBy(*by, "_blk").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+    else:
+        backward = Window.partitionBy(*by, "_blk").orderBy(*[c.desc() if isinstance(c, Column) else F.desc(c) for c in order])
+        last = keyed.withColumn("_n", F.row_number().over(backward)).where("_n = 1").select(*by, "_blk", packed.alias("_tail"))
+    tails = last.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_blk"))).drop("_tail")
     out = keyed.withColumn("_prev", F.lag(packed).over(w)).join(tails, [*by, "_blk"])
     both = F.coalesce("_prev", "_carry")
     for new in columns:

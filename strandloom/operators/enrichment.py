@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from strandloom.functions.draws import draw, permuted
+from strandloom.functions.draws import draw, permuted, text_draw
 from strandloom.functions.tails import hypergeom_cdf, hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
-from strandloom.operators.bins import avg_rank, bh_adjust
+from strandloom.operators.bins import bh_adjust, cumulate
 from strandloom.operators.carry import numbered, previous
 from strandloom.operators.islands import merge
 from strandloom.operators.locus_null import check_matching, matched_locus_null, null_locus_sites, sample_null_loci  # noqa: F401  also named here
@@ -231,7 +231,7 @@ def tiebreak_enrichment(loci: DataFrame, sets: DataFrame, universe: DataFrame, r
     """One random candidate gene for each locus (locus, genes array) in every resolution; enrichment of each; per category the
     medians, the share of resolutions tested and passing after adjustment, and robust = both at least 0.95."""
     picks = loci.withColumn("resolution", F.explode(F.sequence(F.lit(0), F.lit(resolutions - 1)))).where(F.size("genes") > 0)
-    picked = picks.select("resolution", F.element_at("genes", (F.pmod(F.xxhash64(F.lit(seed), "resolution", "locus"), F.size("genes")) + 1).cast("int")).alias("gene")).distinct()
+    picked = picks.select("resolution", F.element_at("genes", (text_draw(F.size("genes"), seed, F.col("resolution"), F.col("locus")) + 1).cast("int")).alias("gene")).distinct()
     inside = sets.select("library", "category", "gene").distinct().join(universe.select("gene").distinct(), "gene", "left_semi")
     sizes = inside.groupBy("library", "category").agg(F.count(F.lit(1)).alias("set_size"))
     n = picked.join(universe.select("gene").distinct(), "gene", "left_semi").groupBy("resolution").agg(F.count(F.lit(1)).alias("drawn"))
@@ -325,11 +325,14 @@ def greedy_cover(sets: DataFrame, limit: int | None = None) -> list[tuple[str, i
 # -- rank tests ------------------------------------------------------------------------------------------------------
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """Two-sided test with tie correction (normal approximation): U, z, p, P(a > b) + ties/2, Cliff's delta."""
-    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(group, value)
-    ranked = avg_rank(rows, value)
-    ties = rows.groupBy(value).agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     is_a = F.col(group) == a
-    sums = ranked.agg(F.count_if(is_a).alias("n1"), F.count_if(~is_a).alias("n2"), F.sum(F.when(is_a, F.col("rank"))).alias("r1")).crossJoin(ties)
+    counts = rows.groupBy(value).agg(F.count_if(is_a).alias("x"), F.count_if(~is_a).alias("y"))
+    t = F.col("x") + F.col("y")
+    run = cumulate(counts, value, {"_upto": t})  # a row a distinct value; ranks never go back to the rows
+    wide = t.cast("double")
+    rank = F.col("_upto") - (t - 1) / 2
+    sums = run.agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"), F.sum(F.col("x") * rank).alias("r1"), F.sum(wide * wide * wide - wide).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2
     n = n1 + n2
@@ -346,8 +349,6 @@ def two_sided(z: pd.Series) -> pd.Series:
 
 def ks_2samp(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """Largest difference of the two cumulative distributions, and its asymptotic p-value."""
-    from strandloom.operators.bins import cumulate
-
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     counts = rows.groupBy(value).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
     run = cumulate(counts, value, {"cx": F.col("x"), "cy": F.col("y")}).crossJoin(F.broadcast(counts.agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"))))
@@ -362,9 +363,17 @@ def ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks, and its two-sided p-value (t approximation)."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = avg_rank(avg_rank(rows, x, name="rx"), y, name="ry")
-    out = ranked.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
+    ranked = pairs
+    for column, name in ((x, "rx"), (y, "ry")):  # ranks by distinct value, weighted by the rows that a pair of values has
+        counts = pairs.groupBy(column).agg(F.sum("_w").alias("_n"))
+        ranks = cumulate(counts, column, {"_upto": F.col("_n")}).select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+        ranked = ranked.join(ranks, column)
+    w, rx, ry = F.col("_w").cast("double"), F.col("rx"), F.col("ry")
+    sums = ranked.agg(F.sum("_w").alias("n"), F.sum(w * rx).alias("a"), F.sum(w * ry).alias("b"), F.sum(w * rx * ry).alias("ab"), F.sum(w * rx * rx).alias("aa"), F.sum(w * ry * ry).alias("bb"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * F.col("aa") - F.col("a") * F.col("a")) * F.sqrt(n * F.col("bb") - F.col("b") * F.col("b"))
+    out = sums.select(F.try_divide(n * F.col("ab") - F.col("a") * F.col("b"), spread).alias("rho"), "n")
     return out.withColumn("p", t_two_sided("rho", "n"))
 
 

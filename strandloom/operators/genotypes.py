@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.storage import settled
+from strandloom.functions.draws import text_draw
 from strandloom.operators.carry import numbered, running
 
 
@@ -265,5 +266,5 @@ def stratified_downsample(samples: DataFrame, n: int, seed: int, stratum: str =
     first = F.row_number().over(Window.orderBy(F.desc("_c"), stratum))  # one row a stratum
     repaired = quota.withColumn("_first", first).crossJoin(F.broadcast(quota.agg((F.lit(n) - F.sum("_q")).alias("_off"))))
     repaired = repaired.select(stratum, F.when(F.col("_first") == 1, F.col("_q") + F.col("_off")).otherwise(F.col("_q")).alias("_q"))
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), "sample"), "sample")
+    w = Window.partitionBy(stratum).orderBy(text_draw(1 << 59, seed, F.col("sample")), "sample")
     return samples.withColumn("_n", F.row_number().over(w)).join(F.broadcast(repaired), stratum).where("_n <= _q").drop("_n", "_q")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.functions import scalars as S
+from strandloom.functions import draws as D, scalars as S
 from strandloom.operators import bins as B, enrichment as E, genes as G, genotypes as GT, intervals as I, islands as M, sites as J
 from strandloom.plans.catalog import BLOCK, _t, intervals, points, query, r6
 from strandloom.plans.reader_queries import VARIANTS, base, variants
@@ -367,6 +367,37 @@ def tag_gene_containment(spark, d):
     return I.tag_gene_containment(snps, spans, spark.range(30).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene")), width=4096)
 
 
+@query("""WITH n AS (SELECT event_id % 90 AS region, 'g' || user_id % 12 AS gene, count(*) AS n, min(event_id % 500) AS distance FROM events GROUP BY ALL) SELECT region, gene, n, distance FROM n QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, distance, gene) = 1""")
+def majority_nearest(spark, d):
+    rows = _t(spark, d, "events").select(_n(90).alias("region"), F.concat(F.lit("g"), (F.col("user_id") % 12).cast("string")).alias("gene"), _n(500).alias("distance"))
+    return G.majority_nearest(rows)
+
+
+@query(f"""WITH c AS (SELECT event_type AS stratum, count(*) AS c FROM events GROUP BY 1), q AS (SELECT stratum, round_even(c * 700 / (SELECT count(*) FROM events), 0)::BIGINT AS q, row_number() OVER (ORDER BY c DESC, stratum) AS k FROM c), r AS (SELECT stratum, q + CASE WHEN k = 1 THEN 700 - (SELECT sum(q) FROM q) ELSE 0 END AS q FROM q),
+s AS (SELECT 's' || event_id AS sample, event_type AS stratum, {D.sql_text_draw(1 << 59, 11, "'s' || event_id")} AS h FROM events) SELECT sample, stratum FROM s JOIN r USING (stratum) QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY h, sample) <= q""")
+def stratified_downsample(spark, d):
+    rows = _t(spark, d, "events").select(F.concat(F.lit("s"), e(N).cast("string")).alias("sample"), F.col("event_type").alias("stratum"))
+    return GT.stratified_downsample(rows, 700, 11, "stratum").select("sample", "stratum")
+
+
+_LOCI = "lo AS (SELECT 'L' || user_id AS locus, list_sort(list_distinct(list('g' || event_id % 300))) AS genes FROM events WHERE event_type = 'error' GROUP BY 1), se AS (SELECT DISTINCT 'lib' AS library, p_brand AS category, 'g' || p_partkey % 300 AS gene FROM part), un AS (SELECT DISTINCT 'g' || event_id % 300 AS gene FROM events)"
+
+
+@query(f"""WITH {_LOCI}, pk AS (SELECT DISTINCT r.range AS resolution, genes[{D.sql_text_draw('len(genes)', 5, 'r.range', 'locus')} + 1] AS gene FROM lo, range(25) r),
+ins AS (SELECT category, gene FROM se SEMI JOIN un USING (gene)), sz AS (SELECT category, count(*) AS s FROM ins GROUP BY 1), dn AS (SELECT resolution, count(*) AS n FROM pk SEMI JOIN un USING (gene) GROUP BY 1), kk AS (SELECT resolution, category, count(*) AS k FROM pk JOIN ins USING (gene) GROUP BY ALL), t AS (SELECT count(*) AS t FROM un),
+h AS (SELECT resolution, category, (k / n) / (s / t) AS fold, least(1, (SELECT sum(exp(lgamma(s + 1) - lgamma(x + 1) - lgamma(s - x + 1) + lgamma(t - s + 1) - lgamma(n - x + 1) - lgamma(t - s - n + x + 1) - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1))) FROM (SELECT unnest(range(k, least(s, n) + 1)) AS x) WHERE t - s - n + x >= 0)) AS p FROM kk JOIN dn USING (resolution) JOIN sz USING (category), t),
+m AS (SELECT *, count(*) OVER (PARTITION BY resolution) AS m, count(*) OVER (PARTITION BY resolution ORDER BY p) AS r FROM h), a AS (SELECT *, least(1, min(p * m / r) OVER (PARTITION BY resolution ORDER BY p DESC)) AS q FROM m)
+SELECT category, round(quantile_cont(fold, 0.5), 5) AS median_fold, round(quantile_cont(p, 0.5), 5) AS median_p, count(*) / 25 AS tested, count(*) FILTER (q < 0.9) / 25 AS passing FROM a GROUP BY category""")
+def tiebreak_enrichment(spark, d):
+    """One candidate gene a locus in each of 25 resolutions, tested in each."""
+    gene = lambda k: F.concat(F.lit("g"), (F.col(k) % 300).cast("string"))
+    ev = _t(spark, d, "events")
+    loci = ev.where("event_type = 'error'").groupBy(F.concat(F.lit("L"), F.col("user_id").cast("string")).alias("locus")).agg(F.array_sort(F.collect_set(gene(N))).alias("genes"))
+    sets = _t(spark, d, "part").select(F.lit("lib").alias("library"), F.col("p_brand").alias("category"), gene("p_partkey").alias("gene")).distinct()
+    out = E.tiebreak_enrichment(loci, sets, ev.select(gene(N).alias("gene")).distinct(), 25, 5, 0.9)
+    return out.select("category", F.round("median_fold", 5).alias("median_fold"), F.round("median_p", 5).alias("median_p"), "tested", "passing")
+
+
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT p_brand AS category, p_partkey % 300 AS gene FROM part WHERE p_size < 30),
 g(step, category, n, covered) AS (SELECT 0, NULL::VARCHAR, 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.step + 1, t.category, t.n, list_concat(g.covered, (SELECT list(gene) FROM s WHERE s.category = t.category)) FROM g, LATERAL (SELECT category, count(*) AS n FROM s WHERE NOT list_contains(g.covered, gene) GROUP BY category ORDER BY n DESC, category LIMIT 1) t)
 SELECT category, n FROM g WHERE step > 0""")

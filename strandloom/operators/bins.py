@@ -272,22 +272,23 @@ def _ranges(counts: DataFrame, by: Sequence[str], value: str, label: str) -> Dat
     return settled(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), label)
 
 
-def _along(ranged: DataFrame, by: Sequence[str], value: str, name: str, how: str, column: Column, up: bool = True) -> DataFrame:
+def _along(ranged: DataFrame, by: Sequence[str], value: str, name: str, how: str, column: Column, up: bool = True, whole: str | None = None) -> DataFrame:
     """Add the fold (sum, min) of ``column`` over the group's rows up to this one in order of ``value`` (down from the top if not
-    ``up``): inside each range, and carried over one row a group and range."""
+    ``up``): inside each range, and carried over one row a group and range; with ``whole`` also the fold over the whole group."""
     fold = {"sum": F.sum, "min": F.min}[how]
     turn = (lambda c: F.col(c).asc()) if up else (lambda c: F.col(c).desc())
     valued = ranged.withColumn("_v", column)
     inside = Window.partitionBy(*by, "_range").orderBy(turn(value)).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
     carried = valued.groupBy(*by, "_range").agg(fold("_v").alias("_t"))
-    carried = carried.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_range"])], fold("_t").over(before).alias("_c"))
+    carried = carried.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_range"])], fold("_t").over(before).alias("_c"), fold("_t").over(Window.partitionBy(*by)).alias("_w"))
     same = F.lit(True)
     for i, c in enumerate([*by, "_range"]):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     local, carry = F.col("_l"), F.col("_c")
     both = F.least(local, carry) if how == "min" else local + F.coalesce(carry, F.lit(0))
-    return valued.withColumn("_l", fold("_v").over(inside)).join(carried, same).withColumn(name, both).select(*ranged.columns, name)
+    out = valued.withColumn("_l", fold("_v").over(inside)).join(carried, same).withColumn(name, both)
+    return out.select(*ranged.columns, name, *([F.col("_w").alias(whole)] if whole else []))
 
 
 def _back(df: DataFrame, found: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -304,9 +305,7 @@ def bh_adjust(df: DataFrame, p: str = "p", partition: Sequence[str] = (), name:
     of them; null p-values stay null and do not count."""
     by = list(partition)
     counts = _ranges(df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n")), by, p, "p-values")
-    ranked = _along(counts, by, p, "_r", "sum", F.col("_n"))
-    many = ranked.groupBy(*by).agg(F.max("_r").alias("_m"))
-    sized = _back(ranked, many, by, ["_m"]) if by else ranked.crossJoin(F.broadcast(many))  # one row
+    sized = _along(counts, by, p, "_r", "sum", F.col("_n"), whole="_m")
     least = _along(sized, by, p, "_least", "min", F.col(p) * F.col("_m") / F.col("_r"), up=False)
     return _back(df, least.withColumn(name, F.least(F.lit(1.0), F.col("_least"))), [*by, p], [name])
 
@@ -325,9 +324,8 @@ def avg_rank(df: DataFrame, col: str, partition: Sequence[str] = (), name: str =
 def ecdf(df: DataFrame, by: str, value: str) -> DataFrame:
     """Distinct values of each set with the share of rows at or below them."""
     counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    run = _along(_ranges(counts, [by], value, "values"), [by], value, "_below", "sum", F.col("n"))
-    sized = _back(run, run.groupBy(by).agg(F.max("_below").alias("_m")), [by], ["_m"])
-    return sized.select(by, value, (F.col("_below") / F.col("_m")).alias("share"))
+    run = _along(_ranges(counts, [by], value, "values"), [by], value, "_below", "sum", F.col("n"), whole="_m")
+    return run.select(by, value, (F.col("_below") / F.col("_m")).alias("share"))
 
 
 def natural_order(df: DataFrame, chrom: str = "chrom", pos: str = "pos") -> DataFrame:

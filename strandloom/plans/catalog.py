@@ -496,7 +496,7 @@ def thin_markers(spark, d):
     """Markers at least 900 seconds apart up to 50000 past the last protected one; a chromosome has no protected marker."""
     held = (F.col("event_type") == "signup") & (F.col("chrom") != "3")
     rows = points(spark, d).select("event_id", "chrom", (F.col("pos") - 1704067200).alias("pos"), held.alias("protected"))
-    return M.thin_markers(rows, tail=50_000, gap=900, block=BLOCK)
+    return M.thin_markers(rows, tail=50_000, gap=900, block=8 * BLOCK)
 
 
 # -- genotypes ---------------------------------------------------------------------------------------------------------

@@ -206,7 +206,7 @@ class JaccardJoin:
         need = self.common(n, m)
         most = np.minimum(n - x["place"][i], m - x["place"][j])  # if this is the first shingle that they share
         ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent) & (most >= need) & (x["label"][i] != x["label"][j])
-        far = sum(np.bitwise_count(x["bits"][i, c] ^ x["bits"][j, c]).astype(np.int64) for c in range(len(_BITS)))
+        far = sum(np.bitwise_count(x["bits"][i, c] ^ x["bits"][j, c]).astype(np.int64) for c in range(x["bits"].shape[1]))
         return ok & (far <= n + m - 2 * need), far
 
     def by_pairs(self, x: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ class JaccardJoin:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def distances(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(x["bits"][i, c][:, None] ^ x["bits"][j, c][None, :]).astype(np.int32) for c in range(len(_BITS)))
+        return sum(np.bitwise_count(x["bits"][i, c][:, None] ^ x["bits"][j, c][None, :]).astype(np.int32) for c in range(x["bits"].shape[1]))
 
     def by_pivots(self, x: dict[str, np.ndarray], members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each member with its nearest pivot among as many as the root of their number."""

@@ -8,6 +8,9 @@ from strandloom.functions import draws as D, scalars as S
 from strandloom.operators import bins as B, enrichment as E, genes as G, genotypes as GT, intervals as I, islands as M, sites as J
 from strandloom.plans.catalog import BLOCK, _t, intervals, points, query, r6
 from strandloom.plans.reader_queries import VARIANTS, base, variants
+from strandloom.plans.site_queries import EVIDENCE, evidence
+from strandloom.sources import text as T
+from strandloom.storage import fresh_path
 
 e = F.col
 N = "event_id"
@@ -404,3 +407,35 @@ SELECT category, n FROM g WHERE step > 0""")
 def greedy_cover(spark, d):
     sets = _t(spark, d, "part").where("p_size < 30").select(F.col("p_brand").alias("category"), (F.col("p_partkey") % 300).alias("gene"))
     return E.cover_rounds(sets).select("category", "n")
+
+
+# -- nested evidence, components ---------------------------------------------------------------------------------------
+@query(f"""WITH e AS ({EVIDENCE}), q AS (SELECT id, gene, max(pip) AS pip, count(*) AS n_sets FROM e WHERE kind IN ('eqtl', 'sqtl') GROUP BY 1, 2), g AS (SELECT id, symbol AS gene, max(score) AS l2g FROM e WHERE kind = 'gwas' AND symbol IS NOT NULL GROUP BY 1, 2)
+SELECT coalesce(q.id, g.id)::VARCHAR AS id, coalesce(q.gene, g.gene) AS gene, pip, n_sets, l2g FROM q FULL JOIN g ON q.id = g.id AND q.gene = g.gene""")
+def read_evidence(spark, d):
+    """Nested records written as one JSON object a line and read back."""
+    path = fresh_path(spark, "evidence")
+    evidence(spark, d).withColumn("id", F.col("id").cast("string")).write.json(path)
+    return G.best_evidence(*G.flatten_evidence(T.read_evidence(spark, path))).select("id", "gene", "pip", "n_sets", "l2g")
+
+
+@query(f"""WITH e AS ({EVIDENCE}), q AS (SELECT id % 50 AS region, gene, count(DISTINCT tissue) AS t, count(DISTINCT kind) AS k, count(*) AS s FROM e WHERE kind IN ('eqtl', 'sqtl') GROUP BY 1, 2),
+g AS (SELECT id % 50 AS region, symbol AS gene, max(score) AS l2g FROM e WHERE kind = 'gwas' AND symbol IS NOT NULL AND id % 2 = 0 GROUP BY 1, 2 HAVING max(score) >= 0.5),
+q1 AS (SELECT region, gene FROM q QUALIFY row_number() OVER (PARTITION BY region ORDER BY t DESC, k DESC, s DESC, gene) = 1), g1 AS (SELECT region, gene FROM g QUALIFY row_number() OVER (PARTITION BY region ORDER BY l2g DESC, gene) = 1)
+SELECT (q1.region % 5)::INT AS replicate, coalesce(g1.gene, q1.gene) AS gene, CASE WHEN g1.gene IS NOT NULL THEN 'l2g' ELSE 'molqtl' END AS tier FROM q1 LEFT JOIN g1 USING (region)""")
+def reassign_null(spark, d):
+    """The gene rule over null loci of five replicates."""
+    qtl, gwas = G.flatten_evidence(evidence(spark, d))
+    k = F.col("id") % 50
+    variants = spark.range(500).select((k % 5).alias("replicate"), F.floor(k / 5).alias("locus"), "id", F.lit("1").alias("chrom"), (F.col("id") * 1000).alias("start"), (F.col("id") * 1000 + 1).alias("end"))
+    genes = _t(spark, d, "supplier").select(F.lit("1").alias("chrom"), (F.col("s_suppkey") * 700).alias("start"), (F.col("s_suppkey") * 700 + 90).alias("end"), F.col("s_name").alias("gene"))
+    return G.reassign_null(variants, qtl, gwas.where("id % 2 = 0"), genes)
+
+
+@query("""WITH g AS (SELECT vec_id, CASE WHEN embedding[i] < -0.3 THEN 0 WHEN embedding[i] < 0.3 THEN 1 ELSE 2 END AS x FROM embeddings, unnest(range(1, 65)) t(i)), p AS (SELECT vec_id, avg(x) / 2 AS p FROM g GROUP BY 1)
+SELECT 64 AS n, round(sum((x - 2 * p) * (x - 2 * p) / (2 * p * (1 - p))) / count(DISTINCT vec_id), 4) AS total FROM g JOIN p USING (vec_id) WHERE p > 0 AND p < 1""")
+def genotype_pca(spark, d):
+    """All components of the genotypes: how many, and the sum of their eigenvalues, which is the trace."""
+    x = F.transform("embedding", lambda v: F.when(v < -0.3, 0).when(v < 0.3, 1).otherwise(2))
+    values, _ = GT.genotype_pca(_t(spark, d, "embeddings").select(x.alias("dosages")), 64)
+    return spark.createDataFrame([(len(values), round(float(sum(values)), 4))], "n int, total double")

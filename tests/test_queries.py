@@ -16,7 +16,7 @@ NAMES = sorted(n for n, f in entry._parts()[0].items() if f.__module__ in {m.__n
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for name in ("customer", "events", "lineitem", "part"):
+    for name in ("customer", "embeddings", "events", "lineitem", "part", "supplier"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return con
 

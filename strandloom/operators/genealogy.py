@@ -159,7 +159,8 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
     """For each (run, region, sample_idx) and site (region, chrom, pos): the local tree's verdicts.
 
     ``mutations``: position, node, derived_state; ``leaves``: node_id, species (0, 1, ...). The oldest mutation is the one whose
-    node is oldest; n_fwd counts mutations of its state, n_rev the others. ``first``: it is off the root, few lineages are older,
+    node is oldest, of equals that of the lower node, then of the lesser state (null last); n_fwd counts mutations of its state
+    (none if that is null), n_rev the others. ``first``: it is off the root, few lineages are older,
     and it splits the species; if it is on the root the second oldest is tested (``second``; false where there is none).
     ``yellow``: the second-oldest inner node parts two clades of one species each. ``node_age`` and ``branch_midpoint`` of the
     tested mutation are both given. Each sample is scored on its own. The three tables meet in one group a sample, where the tree
@@ -191,9 +192,9 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
             if begin == end:
                 continue
             tree = sweep.at(pos)
-            rows = sorted(((time[on[i]], on[i], states[i]) for i in range(begin, end)), key=lambda r: (-r[0], r[1]))
+            rows = sorted(((time[on[i]], on[i], states[i]) for i in range(begin, end)), key=lambda r: (-r[0], r[1], r[2] is None, r[2] or ""))
             age, node, state = rows[0]
-            fwd = sum(r[2] == state for r in rows)
+            fwd = sum(r[2] == state for r in rows if state is not None)
             nonroot = tree.nonroot(node)
             first = tree.passes(node)
             second, tested = False, node

@@ -94,3 +94,13 @@ def test_every_verdict_occurs_in_the_query(spark):
     got = tree_queries.topology_metrics(spark, "/root/testdata/sf0.01")
     row = got.agg(*[F.count_if(c).alias(c) for c in ("coalesce_ok", "nodes_ok", "nonroot", "first", "second", "yellow")], F.count(F.lit(1)).alias("n")).first()
     assert all(0 < row[c] < row["n"] for c in ("coalesce_ok", "nodes_ok", "nonroot", "first", "second", "yellow"))
+
+
+@pytest.mark.parametrize("states", [("T", "A", "A"), ("A", "T", "A"), ("A", "A", "T"), (None, "A", "A")])
+def test_mutations_of_one_node_and_site_go_by_state(spark, states):
+    nodes = spark.createDataFrame([(0, "r", 0, i, t) for i, t in enumerate([0.0, 0.0, 3.0])], KEYS + "node_id long, time double")
+    edges = spark.createDataFrame([(0, "r", 0, 0.0, 9.0, 2, c) for c in (0, 1)], KEYS + "left double, right double, parent long, child long")
+    muts = spark.createDataFrame([(0, "r", 0, 1.0, 2, s) for s in states], KEYS + "position double, node long, derived_state string").coalesce(1)
+    sites = spark.createDataFrame([("r", "1", 1)], "region string, chrom string, pos long")
+    row = Y.topology_metrics(nodes, edges, muts, sites, spark.createDataFrame([(0, 0), (1, 1)], "node_id long, species int")).first()
+    assert (row["n_mut"], row["n_fwd"], row["n_rev"]) == (3, 2, 1)

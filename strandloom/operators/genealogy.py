@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 KEY = ("run", "region", "sample_idx")
 
@@ -26,14 +26,32 @@ def strict_times(times: np.ndarray, least: float = 1e-4) -> np.ndarray:
     return out
 
 
+def _parts(spark: SparkSession) -> int:
+    """Partitions of a step whose work is large for its bytes; a number given by hand, as Spark would merge them by their size."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def clean_genealogy(nodes: DataFrame, edges: DataFrame, least: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """(nodes with strictly rising times, edges with a parent)."""
+    """(nodes with strictly rising times, edges with a parent).
+
+    Genealogies are dealt by key and sorted; a task reads its rows in that order and carries the last time over its batches, so
+    that neither many small genealogies cost a call each nor a large one is held whole."""
 
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        return pdf.assign(time=strict_times(pdf["time"].to_numpy(), least))
+    def fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, last = None, 0.0
+        for pdf in frames:
+            rows = []
+            for run, region, sample, time in zip(*(pdf[c].tolist() for c in KEY), pdf["time"].astype(float).tolist(), strict=True):
+                key = tuple(None if k != k else k for k in (run, region, sample))
+                if key != before:
+                    before, last = key, 0.0
+                if time > 0:
+                    time = last = max(time, last + least)
+                rows.append(time)
+            yield pdf.assign(time=rows)
 
-    return nodes.groupBy(*KEY).applyInPandas(fix, nodes.schema), clean_edges(edges)
+    dealt = nodes.repartition(_parts(nodes.sparkSession), *KEY).sortWithinPartitions(*KEY, F.col("node_id").asc_nulls_last())
+    return dealt.mapInPandas(fix, nodes.schema), clean_edges(edges)
 
 
 class Tree:
@@ -206,7 +224,7 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
             out.append((run, region, sample, chrom, pos, len(rows), fwd, len(rows) - fwd, age, tree.splits_species(tested), tree.few_lineages(tested), nonroot, first, second, yellow, time[tested], mid))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _METRICS.split(", ")])
 
-    return tagged.unionByName(asked).groupBy(*KEY).applyInPandas(score, _METRICS)
+    return tagged.unionByName(asked).repartition(_parts(nodes.sparkSession), *KEY).groupBy(*KEY).applyInPandas(score, _METRICS)
 
 
 _METRICS = "run long, region string, sample_idx long, chrom string, pos long, n_mut long, n_fwd long, n_rev long, oldest_age double, coalesce_ok boolean, nodes_ok boolean, nonroot boolean, first boolean, second boolean, yellow boolean, node_age double, branch_midpoint double"

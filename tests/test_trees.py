@@ -104,3 +104,21 @@ def test_mutations_of_one_node_and_site_go_by_state(spark, states):
     sites = spark.createDataFrame([("r", "1", 1)], "region string, chrom string, pos long")
     row = Y.topology_metrics(nodes, edges, muts, sites, spark.createDataFrame([(0, 0), (1, 1)], "node_id long, species int")).first()
     assert (row["n_mut"], row["n_fwd"], row["n_rev"]) == (3, 2, 1)
+
+
+def test_times_of_many_and_of_large_genealogies_rise_without_a_call_each(spark):
+    r = np.random.default_rng(5)
+    rows = [(k % 2, "r" if k % 3 else None, k, i, float(r.integers(0, 4)) / 1e5) for k in range(30) for i in r.permutation(40).tolist()]
+    nodes = spark.createDataFrame(rows, KEYS + "node_id long, time double")
+    edges = spark.createDataFrame([], KEYS + "left double, right double, parent long, child long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out, _ = Y.clean_genealogy(nodes, edges)
+        got = {(x["sample_idx"], x["node_id"]): x["time"] for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for k in range(30):
+        mine = sorted((i, t) for *_, s, i, t in rows if s == k)
+        assert [got[k, i] for i, _ in mine] == Y.strict_times(np.array([t for _, t in mine])).tolist()
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()

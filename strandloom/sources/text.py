@@ -96,7 +96,9 @@ def read_gmt(spark: SparkSession, folder: str, strip_weight: bool = True) -> Dat
     f = F.split("value", "\t")
     token = F.trim(F.col("token"))
     gene = F.upper(F.split_part(token, F.lit(","), F.lit(1)) if strip_weight else token)
-    rows = spark.read.text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.gmt|\.txt)?$", 1).alias("library"), f[0].alias("category"), F.explode(F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0)))).alias("token"))
+    # a line is split once, before its tokens become rows: a column of the same step as explode is worked out anew for every token
+    lines = spark.read.text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.gmt|\.txt)?$", 1).alias("library"), F.substring_index("value", "\t", 1).alias("category"), F.slice(f, 3, F.greatest(F.size(f) - 2, F.lit(0))).alias("tokens"))
+    rows = lines.select("library", "category", F.explode("tokens").alias("token"))
     return rows.select("library", "category", gene.alias("gene")).where("gene <> ''").distinct()
 
 

@@ -171,3 +171,14 @@ def test_nested_evidence(spark, tmp_path):
     qtl, found = G.flatten_evidence(T.read_evidence(spark, str(tmp_path / "e.json")))
     assert sorted(map(tuple, qtl.collect())) == [("v1", "AB", "eqtl", "blood", 0.2), ("v1", "ENSG9", "pqtl", "?", None)]
     assert [tuple(r) for r in found.collect()] == [("v1", "s3", "low", "CD", 0.7)]
+
+
+def test_a_long_gene_set_is_read_in_one_pass(spark, tmp_path):
+    import time
+
+    from strandloom.sources import text as T
+
+    (tmp_path / "long.gmt").write_text("A\t\t" + "\t".join(f" g{i % 15000},1.0" for i in range(20_000)) + "\nB\nC\t\t\n\t\tg1\n")
+    began = time.time()
+    got = T.read_gmt(spark, str(tmp_path / "long.gmt")).groupBy("library", "category").count().collect()
+    assert {tuple(r) for r in got} == {("long", "A", 15_000), ("long", "", 1)} and time.time() - began < 20

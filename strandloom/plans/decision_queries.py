@@ -415,7 +415,7 @@ SELECT coalesce(q.id, g.id)::VARCHAR AS id, coalesce(q.gene, g.gene) AS gene, pi
 def read_evidence(spark, d):
     """Nested records written as one JSON object a line and read back."""
     path = fresh_path(spark, "evidence")
-    evidence(spark, d).withColumn("id", F.col("id").cast("string")).write.json(path)
+    evidence(spark, d).withColumn("id", F.col("id").cast("string")).write.json(path, compression="gzip")
     return G.best_evidence(*G.flatten_evidence(T.read_evidence(spark, path))).select("id", "gene", "pip", "n_sets", "l2g")
 
 

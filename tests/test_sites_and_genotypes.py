@@ -182,3 +182,12 @@ def test_a_long_gene_set_is_read_in_one_pass(spark, tmp_path):
     began = time.time()
     got = T.read_gmt(spark, str(tmp_path / "long.gmt")).groupBy("library", "category").count().collect()
     assert {tuple(r) for r in got} == {("long", "A", 15_000), ("long", "", 1)} and time.time() - began < 20
+
+
+def test_evidence_is_written_compressed(spark, tmp_path, monkeypatch):
+    from strandloom.plans import decision_queries as Q
+
+    monkeypatch.setattr(Q, "fresh_path", lambda spark, label: str(tmp_path / label))
+    assert Q.read_evidence(spark, "/root/testdata/sf0.001").count() > 0
+    parts = list((tmp_path / "evidence").glob("part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)

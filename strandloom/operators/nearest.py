@@ -17,35 +17,39 @@ def nearest(a: DataFrame, b: DataFrame, ties: str = "all", max_distance: int | N
     """
     if ties == "first":
         return _nearest_first(a, b, max_distance, block)
-    keys = a.select("chrom", "start", "end").distinct()
     right = b.select("chrom", "start", "end").distinct()
-    over = _pairs(keys, right, width).select("chrom", "start", "end", "b_start", "b_end", F.lit(0).cast("long").alias("distance"))
+    others = [c for c in b.columns if c not in ("chrom", "start", "end")]
+    columns = [*a.columns, "b_start", "b_end", *[f"b_{c}" for c in others], "distance"]
+    # pairs that overlap leave the range join as they are: they may be far more than the rows, and nothing shuffles them again
+    over = _pairs(a, b, width).withColumn("distance", F.lit(0).cast("long")).select(*columns)
+
+    # an ask overlaps a row exactly if the greatest end of the rows that start before it ends lies behind its start
+    nothing = F.lit(None).cast("long")
+    asks = a.select("chrom", "start", "end").distinct().select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), "start", "end", nothing.alias("hit"))
+    begun = right.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), nothing.alias("start"), nothing.alias("end"), F.col("end").alias("hit"))
+    reached = running(asks.unionByName(begun), ["chrom"], "at", ["at", "kind"], {"reach": ("max", F.col("hit"))}, block=block).where("kind = 0")
+    keys = reached.where("reach is null or reach <= start").select("chrom", "start", "end")
 
     # the greatest end at or before each start, and the least start at or after each end
-    asks = keys.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), "start", "end", F.lit(None).cast("long").alias("hit"))
-    ends = right.select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("end").alias("hit"))
+    asks = keys.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), "start", "end", nothing.alias("hit"))
+    ends = right.select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), nothing.alias("start"), nothing.alias("end"), F.col("end").alias("hit"))
     below = running(asks.unionByName(ends), ["chrom"], "at", ["at", "kind"], {"near": ("max", F.col("hit"))}, block=block).where("kind = 1 and near is not null")
     before = below.select("chrom", "start", "end", F.col("near").alias("b_key"), (F.col("start") - F.col("near") + 1).alias("distance"))
-    asks = keys.select("chrom", (-F.col("end")).alias("at"), F.lit(1).alias("kind"), "start", "end", F.lit(None).cast("long").alias("hit"))
-    starts = right.select("chrom", (-F.col("start")).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), (-F.col("start")).alias("hit"))
+    asks = keys.select("chrom", (-F.col("end")).alias("at"), F.lit(1).alias("kind"), "start", "end", nothing.alias("hit"))
+    starts = right.select("chrom", (-F.col("start")).alias("at"), F.lit(0).alias("kind"), nothing.alias("start"), nothing.alias("end"), (-F.col("start")).alias("hit"))
     above = running(asks.unionByName(starts), ["chrom"], "at", ["at", "kind"], {"near": ("max", F.col("hit"))}, block=block).where("kind = 1 and near is not null")
     after = above.select("chrom", "start", "end", (-F.col("near")).alias("b_key"), (-F.col("near") - F.col("end") + 1).alias("distance"))
 
     # asks that overlap nothing take the closer side; a side's key names all rows of b that end (or start) there
-    free = before.withColumn("side", F.lit("end")).unionByName(after.withColumn("side", F.lit("start"))).join(over.select("chrom", "start", "end").distinct(), ["chrom", "start", "end"], "left_anti")
-    least = free.groupBy("chrom", "start", "end").agg(F.min("distance").alias("distance"))
-    free = free.join(least, ["chrom", "start", "end", "distance"])
+    sides = before.withColumn("side", F.lit("end")).unionByName(after.withColumn("side", F.lit("start")))
+    free = sides.join(sides.groupBy("chrom", "start", "end").agg(F.min("distance").alias("distance")), ["chrom", "start", "end", "distance"])
     by_end = free.where("side = 'end'").join(right.select("chrom", F.col("end").alias("b_key"), F.col("start").alias("b_start"), F.col("end").alias("b_end")), ["chrom", "b_key"])
     by_start = free.where("side = 'start'").join(right.select("chrom", F.col("start").alias("b_key"), F.col("start").alias("b_start"), F.col("end").alias("b_end")), ["chrom", "b_key"])
-    columns = ["chrom", "start", "end", "b_start", "b_end", "distance"]
-    found = over.unionByName(by_end.select(*columns)).unionByName(by_start.select(*columns))
-    if max_distance is not None:
-        found = found.where(F.col("distance") <= max_distance)
-    others = [c for c in b.columns if c not in ("chrom", "start", "end")]
+    pair = ["chrom", "start", "end", "b_start", "b_end", "distance"]
+    found = by_end.select(*pair).unionByName(by_start.select(*pair)).distinct()
     named = b.select("chrom", F.col("start").alias("b_start"), F.col("end").alias("b_end"), *[F.col(c).alias(f"b_{c}") for c in others])
-    full = found.join(named, ["chrom", "b_start", "b_end"])
-    return a.join(full, ["chrom", "start", "end"]).select(*a.columns, "b_start", "b_end", *[f"b_{c}" for c in others], "distance")
-
+    full = a.join(found.join(named, ["chrom", "b_start", "b_end"]), ["chrom", "start", "end"]).select(*columns).unionByName(over)
+    return full if max_distance is None else full.where(F.col("distance") <= max_distance)
 
 
 def _nearest_first(a: DataFrame, b: DataFrame, max_distance: int | None, block: int) -> DataFrame:

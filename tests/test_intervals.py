@@ -154,3 +154,13 @@ def test_callable_between(spark):
     mask = spark.createDataFrame([("1", 0, 10), ("1", 20, 30)], "chrom string, start long, end long")
     got = {r["pos"]: r["callable_bp"] for r in M.callable_between(sites, [mask], block=12).collect()}
     assert got == {6: 6, 9: 3, 25: 6}
+
+
+def test_overlapping_pairs_of_nearest_are_not_shuffled(spark):
+    a, b = ([("1", i, i + 200) for i in range(0, 200, 2)] + [("1", 5000 + 10 * i, 5004 + 10 * i) for i in range(k)] for k in (5, 2))
+    got = N.nearest(frame(spark, a), frame(spark, b), width=64, block=256)
+    assert got.count() == 100 * 100 + 2 + 3 and got.where("distance = 0").count() == 100 * 100 + 2
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = max(i for i, x in enumerate(lines) if x.startswith("   +- "))
+    pairs = lines[last : next(i for i in range(last, len(lines)) if "Join" in lines[i])]
+    assert "Union" in lines[1] and not any("Exchange" in x for x in pairs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandloom.storage import settled
 
@@ -60,3 +60,9 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "number", label: s
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
     return at.join(F.broadcast(before), "_range").select(*df.columns, place.alias(name))
+
+
+def work_parts(spark: SparkSession, rows: int = 0) -> int:
+    """Partitions of a step whose work is large for its bytes: a few a core, and one a million rows. They are given by hand, as Spark
+    would merge small ones by their bytes into a single task."""
+    return max(3 * spark.sparkContext.defaultParallelism, rows >> 20)

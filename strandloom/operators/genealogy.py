@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from strandloom.operators.carry import work_parts
 
 KEY = ("run", "region", "sample_idx")
 
@@ -26,11 +28,6 @@ def strict_times(times: np.ndarray, least: float = 1e-4) -> np.ndarray:
     return out
 
 
-def _parts(spark: SparkSession) -> int:
-    """Partitions of a step whose work is large for its bytes; a number given by hand, as Spark would merge them by their size."""
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def clean_genealogy(nodes: DataFrame, edges: DataFrame, least: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(nodes with strictly rising times, edges with a parent).
 
@@ -50,7 +47,7 @@ def clean_genealogy(nodes: DataFrame, edges: DataFrame, least: float = 1e-4) ->
                 rows.append(time)
             yield pdf.assign(time=rows)
 
-    dealt = nodes.repartition(_parts(nodes.sparkSession), *KEY).sortWithinPartitions(*KEY, F.col("node_id").asc_nulls_last())
+    dealt = nodes.repartition(work_parts(nodes.sparkSession, nodes.count()), *KEY).sortWithinPartitions(*KEY, F.col("node_id").asc_nulls_last())
     return dealt.mapInPandas(fix, nodes.schema), clean_edges(edges)
 
 
@@ -224,7 +221,7 @@ def topology_metrics(nodes: DataFrame, edges: DataFrame, mutations: DataFrame, s
             out.append((run, region, sample, chrom, pos, len(rows), fwd, len(rows) - fwd, age, tree.splits_species(tested), tree.few_lineages(tested), nonroot, first, second, yellow, time[tested], mid))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _METRICS.split(", ")])
 
-    return tagged.unionByName(asked).repartition(_parts(nodes.sparkSession), *KEY).groupBy(*KEY).applyInPandas(score, _METRICS)
+    return tagged.unionByName(asked).repartition(work_parts(nodes.sparkSession, nodes.count()), *KEY).groupBy(*KEY).applyInPandas(score, _METRICS)
 
 
 _METRICS = "run long, region string, sample_idx long, chrom string, pos long, n_mut long, n_fwd long, n_rev long, oldest_age double, coalesce_ok boolean, nodes_ok boolean, nonroot boolean, first boolean, second boolean, yellow boolean, node_age double, branch_midpoint double"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions.draws import draw
 from strandloom.operators.bins import cumulate
-from strandloom.operators.carry import BLOCK, numbered, running
+from strandloom.operators.carry import BLOCK, numbered, running, work_parts
 from strandloom.storage import settled
 
 #: Rows under one node of the tree that answers "nearest gene between two rows".
@@ -86,12 +86,14 @@ def matched_locus_null(loci: DataFrame, background: DataFrame, n_perm: int, seed
     starts = index.select("number", F.col("run").alias("_run"), F.col("start").alias("_from"), F.col("d0").alias("_d0"), F.col("w0").alias("_w0"))
     bins = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
     ends = index.select(F.col("run").alias("_run"), F.explode(bins).alias("_bin"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("number").alias("last"), "d1", "w1")
+    parts = work_parts(loci.sparkSession, asked.count() * ATTEMPTS)
     found, left, attempt, many = None, asked, 0, ATTEMPTS
     while attempt < tries:
         many = min(many, tries - attempt)
-        drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + many - 1)))).withColumn("first", draw(size["n"], seed, F.col("replicate"), F.col("locus"), F.col("attempt")))
+        dealt = left.repartition(parts, "replicate", "locus")
+        drawn = dealt.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + many - 1)))).withColumn("first", draw(size["n"], seed, F.col("replicate"), F.col("locus"), F.col("attempt")))
         begun = drawn.join(starts.withColumnRenamed("number", "first"), "first").withColumn("_x", F.col("_from") + F.col("span")).withColumn("_bin", F.floor(F.col("_x") / width))
-        closed = begun.join(ends, ["_run", "_bin"]).where("_s < _x and _x <= _e")
+        closed = begun.repartition(parts, "_run", "_bin").join(ends.repartition(parts, "_run", "_bin"), ["_run", "_bin"]).where("_s < _x and _x <= _e")
         mean = F.try_divide(F.col("w1") - F.col("_w0"), (F.col("d1") - F.col("_d0")).cast("double"))
         fits = (F.col("low").isNull() | (F.col("mean_score") > F.col("low"))) & (F.col("high").isNull() | (F.col("mean_score") <= F.col("high")))
         scored = closed.withColumn("mean_score", mean).where(fits & F.col("mean_score").isNotNull()).select("replicate", "locus", "attempt", "first", "last", "mean_score")

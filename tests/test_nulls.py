@@ -220,3 +220,12 @@ def test_composed_blocks_equal_lifting_twice(spark):
     kept = {x["id"] for x in R.roundtrip_consistent(sites, first, R.reverse_blocks(first), width=50, block=40).collect()}
     home, _ = R.lift_points(there.drop("src_chrom", "src_pos"), R.reverse_blocks(first), width=50)
     assert kept == {x["id"] for x in home.collect() if x["id"] == f"{x['chrom']}_{x['pos']}"} and kept
+
+
+def test_draws_of_matched_loci_are_dealt_over_tasks(spark, monkeypatch):
+    plans, kept = [], L.settled
+    monkeypatch.setattr(L, "settled", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if label == "drawn" else None, kept(df, label))[1])
+    bg = spark.range(400).select(F.floor(F.col("id") / 40).alias("run"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"), (F.col("id") % 9).alias("score"), F.lit("g").alias("gene"), (F.col("id") % 50).alias("distance"))
+    loci = spark.range(6).select(F.col("id").alias("locus"), F.lit(20).alias("span"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    assert L.matched_locus_null(loci, bg, 3, 1).count() == 18
+    assert plans and all(p.count("REPARTITION_BY_NUM") >= 2 for p in plans)

@@ -69,8 +69,11 @@ def permutation_enrichment(test: DataFrame, background: DataFrame, sets: DataFra
     genes = background.select("seg", "gene").distinct().join(segments, "seg").select("number", "gene")
     ids = spark.range(n_perm * size)
     draws = ids.select(F.floor(F.col("id") / size).alias("replicate"), (F.col("id") % size).alias("_i")).withColumn("number", permuted(F.col("_i"), total, seed, F.col("replicate")))
-    hits = draws.select("replicate", "number").join(genes, "number").select("replicate", "gene").distinct().join(sets.select(*keep, "gene").distinct(), "gene")
-    null = hits.groupBy(*keep, "replicate").agg(F.count(F.lit(1)).alias("null_k"))
+    # a gene's replicates are bits of words, so that its hits are a row a word and not one a replicate; a category adds up its genes' bits
+    bit = F.expr("shiftleft(1L, int(replicate % 64))")
+    hits = draws.select("replicate", "number").join(genes, "number").groupBy("gene", F.floor(F.col("replicate") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    sums = hits.join(sets.select(*keep, "gene").distinct(), "gene").groupBy(*keep, "_word").agg(*[F.sum(F.shiftrightunsigned("_bits", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"_{i}") for i in range(64)])
+    null = sums.select(*keep, "_word", F.posexplode(F.array(*[f"_{i}" for i in range(64)])).alias("_at", "null_k")).where("null_k > 0").select(*keep, (F.col("_word") * 64 + F.col("_at")).alias("replicate"), "null_k")
     observed = test.select("gene").distinct().join(sets.select(*keep, "gene").distinct(), "gene").groupBy(*keep).agg(F.count(F.lit(1)).alias("k"))
     joined = observed.join(null, list(keep), "left").groupBy(*keep, "k").agg(F.count_if(F.col("null_k") >= F.col("k")).alias("ge"), F.coalesce(F.sum("null_k"), F.lit(0)).alias("s"))
     return joined.select(*keep, "k", (F.col("s") / n_perm).alias("null_mean"), ((F.col("ge") + 1) / (n_perm + 1)).alias("p"))

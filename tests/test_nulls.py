@@ -229,3 +229,14 @@ def test_draws_of_matched_loci_are_dealt_over_tasks(spark, monkeypatch):
     loci = spark.range(6).select(F.col("id").alias("locus"), F.lit(20).alias("span"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
     assert L.matched_locus_null(loci, bg, 3, 1).count() == 18
     assert plans and all(p.count("REPARTITION_BY_NUM") >= 2 for p in plans)
+
+
+def test_a_gene_hit_in_many_replicates_is_a_row_a_word(spark):
+    seg = spark.range(40).select(F.col("id").alias("seg"), (F.col("id") % 3).cast("string").alias("gene"))
+    sets = spark.createDataFrame([("l", "c", "0"), ("l", "c", "1"), ("l", "d", "2")], "library string, category string, gene string")
+    out = E.permutation_enrichment(seg.where("seg < 2"), seg, sets, 130, 7)
+    place = D.permuted_array(np.tile(np.arange(2), 130), np.full(260, 40), 7, np.repeat(np.arange(130), 2)).reshape(130, 2) % 3
+    k = np.array([len({g for g in row if g < 2}) for row in place.tolist()])
+    row = out.first()
+    assert (row["category"], row["k"]) == ("c", 2) and abs(row["null_mean"] - k.mean()) < 1e-12 and abs(row["p"] - ((k >= 2).sum() + 1) / 131) < 1e-12
+    assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -14,9 +14,9 @@ from pyspark.sql.types import DoubleType
 from strandloom.functions.draws import draw, permuted, text_draw
 from strandloom.functions.tails import hypergeom_cdf, hypergeom_sf, kolmogorov_sf, norm_sf, student_sf
 from strandloom.operators.bins import bh_adjust, cumulate
-from strandloom.operators.carry import numbered, previous
-from strandloom.operators.islands import merge
+from strandloom.operators.carry import numbered
 from strandloom.operators.locus_null import check_matching, matched_locus_null, null_locus_sites, sample_null_loci  # noqa: F401  also named here
+from strandloom.operators.placements import free_gaps, shuffle_intervals  # noqa: F401  also named here
 from strandloom.storage import discard, settled
 
 
@@ -120,54 +120,6 @@ def matched_enrichment(fg: DataFrame, nulls: DataFrame, sets: DataFrame, min_k:
     )
 
 
-def shuffle_intervals(df: DataFrame, sizes: DataFrame, replicates: int, seed: int, excluded: DataFrame | None = None) -> DataFrame:
-    """Every interval placed in every replicate at a random start of its chromosome, each start that keeps it off ``excluded``
-    being equally likely (the law of redrawing until it fits). Start and end are null where no start fits. The draw is a hash of
-    seed, replicate and interval; a task holds the gaps of one chromosome and its intervals of a few replicates."""
-    keyed = df.join(F.broadcast(sizes.select("chrom", F.col("length").cast("long").alias("_len"))), "chrom").withColumn("_size", (F.col("end") - F.col("start")).cast("long"))  # one row a chromosome
-    copies = Window.partitionBy("chrom", "start", "end").orderBy(*[c for c in df.columns if c not in ("chrom", "start", "end")] or ["_size"])
-    numbered = keyed.withColumn("_copy", F.row_number().over(copies)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    numbered = numbered.withColumn("_h", F.xxhash64(F.lit(seed), "replicate", F.lit(0), "_copy", "chrom", "start", "end"))
-    numbered = numbered.withColumn("src_start", F.col("start")).withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
-    if excluded is None:
-        at = F.when(F.col("_size") <= F.col("_len"), F.pmod("_h", F.col("_len") - F.col("_size") + 1))
-        return numbered.withColumn("start", at).withColumn("end", F.col("start") + F.col("_size")).drop("_len", "_size", "_copy", "_h")
-    shards = max(1, replicates // 8)
-    gaps = free_gaps(excluded, sizes).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    rows = numbered.withColumn("_shard", F.pmod(F.xxhash64("replicate", "start", "end"), F.lit(shards)).cast("int"))
-
-    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("start")
-        low, room = right["start"].to_numpy(np.int64), (right["end"] - right["start"]).to_numpy(np.int64)
-        size, h = left["_size"].to_numpy(np.int64), left["_h"].to_numpy(np.int64)
-        at = np.full(len(left), -1, np.int64)
-        order = np.argsort(size, kind="stable")
-        for these in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-            if not len(these):
-                continue
-            before = np.cumsum(np.maximum(room - size[these[0]] + 1, 0))  # legal starts up to each gap
-            if len(before) and before[-1]:
-                u = np.mod(h[these], before[-1])
-                g = np.searchsorted(before, u, "right")
-                at[these] = low[g] + u - np.where(g > 0, before[g - 1], 0)
-        start = pd.array(at, dtype="Int64")
-        start[at < 0] = pd.NA
-        return left.assign(start=start, end=start + size)
-
-    placed = rows.groupBy("chrom", "_shard").cogroup(gaps.groupBy("chrom", "_shard")).applyInPandas(place, rows.schema)
-    return placed.drop("_len", "_size", "_copy", "_h", "_shard")
-
-
-def free_gaps(excluded: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(chrom, start, end): the stretches of every chromosome (chrom, length) outside ``excluded``."""
-    lengths = sizes.select("chrom", F.col("length").cast("long").alias("_len"))
-    inside = merge(excluded.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).join(F.broadcast(lengths), "chrom").where("start < _len and end > 0")  # one row a chromosome
-    ends = lengths.select("chrom", F.col("_len").alias("start"), F.col("_len").alias("end"))
-    edges = inside.select("chrom", "start", F.least("end", "_len").alias("end")).unionByName(ends)
-    before = previous(edges, ["chrom"], "start", ["start", "end"], {"_before": "end"})
-    return before.select("chrom", F.coalesce("_before", F.lit(0).cast("long")).alias("start"), F.col("start").alias("end")).where("start < end")
-
-
 def shuffle_null(observed: float, fractions: DataFrame) -> DataFrame:
     """p = mean(null >= observed) over replicates (replicate, fraction)."""
     return fractions.agg(F.avg((F.col("fraction") >= observed).cast("double")).alias("p"), F.avg("fraction").alias("null_mean"), F.count(F.lit(1)).alias("n"))

@@ -606,16 +606,11 @@ def shuffled_placements(spark, d):
     first = intervals(spark, d).agg(F.min("start").alias("zero"))
     based = lambda kind=None: intervals(spark, d, kind).crossJoin(F.broadcast(first)).withColumn("start", F.col("start") - F.col("zero")).withColumn("end", F.col("end") - F.col("zero")).drop("zero")  # noqa: E731  # one row
     sizes = based().groupBy("chrom").agg(F.max("end").alias("length"))
-    genes = based("purchase").select("chrom", "start", "end", F.col("event_id").alias("gene"), F.pmod("event_id", F.lit(5)).alias("k"))
+    genes = based("purchase").select("chrom", "start", "end", F.col("event_id").alias("gene"), (F.pmod("event_id", F.lit(5)) == 0).alias("in_set"))
     rows = based("error").select("chrom", "start", "end", "event_id")
-    placed = E.settled(E.shuffle_intervals(rows, sizes, 1000, 11, based("signup")).where("start is not null"), "placed")
-
-    def fractions(df):
-        hit = N.nearest(df, genes, "first", width=4096, block=BLOCK).select("replicate", "b_gene", "b_k").distinct()
-        return hit.groupBy("replicate").agg(F.avg((F.col("b_k") == 0).cast("double")).alias("fraction"))
-
-    observed = fractions(rows.withColumn("replicate", F.lit(0))).select(F.col("fraction").alias("observed"))
-    null = fractions(placed).crossJoin(F.broadcast(observed))  # one row
+    fractions = E.shuffle_intervals(rows, sizes, 1000, 11, based("signup"), genes).withColumn("fraction", F.col("k") / F.col("n"))
+    observed = fractions.where("replicate = -1").agg(F.max("fraction").alias("observed"))
+    null = fractions.where("replicate >= 0").crossJoin(F.broadcast(observed))  # one row
     return null.groupBy("observed").agg(F.avg("fraction").alias("null_mean"), F.avg((F.col("fraction") >= F.col("observed")).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
 
 

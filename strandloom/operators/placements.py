@@ -173,7 +173,7 @@ def shuffle_intervals(df: DataFrame, sizes: DataFrame, replicates: int, seed: in
     placed = placed.select("row", (F.col("_lane") * LANE + F.col("_j")).alias("replicate"), F.when(F.col("_at") >= 0, F.col("_at")).alias("_at")).where(F.col("replicate") < replicates)
     size = (F.col("row.end") - F.col("row.start")).cast("long")
     own = {"start": F.col("_at").alias("start"), "end": (F.col("_at") + size).alias("end")}
-    return placed.select(*[own.get(c, F.col("row")[c].alias(c)) for c in df.columns], "replicate", F.col("row.start").alias("src_start"))
+    return placed.select(*[own.get(c, F.col("row")[c].alias(c)) for c in ["chrom", *[c for c in df.columns if c != "chrom"]]], "replicate", F.col("row.start").alias("src_start"))
 
 
 def _nearest_genes(df: DataFrame, sizes: DataFrame, replicates: int, seed: int, excluded: DataFrame | None, genes: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Running totals along a coordinate without one task per group: windows inside blocks of positions, then a carry over
-one summary row a block. A group (a chromosome) is spread over as many tasks as it has blocks."""
+one summary row a block. A group (a chromosome) is spread over as many tasks as it has blocks.
+
+Carries are merged with the rows, which are sorted by block already: many short groups have as many carries as half their rows, and by
+their size on disk Spark would send them to all tasks by way of the driver."""
 
 from __future__ import annotations
 
@@ -25,7 +28,7 @@ def running(df: DataFrame, by: Sequence[str], pos: str, order: Sequence[str | Co
     before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     summary = keyed.groupBy(*by, "_blk").agg(*[_FOLD[how](f"_v_{name}").alias(f"_s_{name}") for name, (how, _) in values.items()])
     carried = summary.select(*by, "_blk", *[(F.sum if how == "count" else _FOLD[how])(f"_s_{name}").over(before).alias(f"_c_{name}") for name, (how, _) in values.items()])
-    out = keyed.select("*", *[_FOLD[how](f"_v_{name}").over(w).alias(f"_l_{name}") for name, (how, _) in values.items()]).join(carried, [*by, "_blk"])
+    out = keyed.select("*", *[_FOLD[how](f"_v_{name}").over(w).alias(f"_l_{name}") for name, (how, _) in values.items()]).join(carried.hint("merge"), [*by, "_blk"])
     for name, (how, _) in values.items():
         local, carry = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         both = {"max": F.greatest(local, carry), "min": F.least(local, carry)}.get(how, F.when(local.isNull() & carry.isNull(), None).otherwise(F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))))
@@ -44,7 +47,7 @@ def previous(df: DataFrame, by: Sequence[str], pos: str, order: Sequence[str | C
         backward = Window.partitionBy(*by, "_blk").orderBy(*[c.desc() if isinstance(c, Column) else F.desc(c) for c in order])
         last = keyed.withColumn("_n", F.row_number().over(backward)).where("_n = 1").select(*by, "_blk", packed.alias("_tail"))
     tails = last.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_blk"))).drop("_tail")
-    out = keyed.withColumn("_prev", F.lag(packed).over(w)).join(tails, [*by, "_blk"])
+    out = keyed.withColumn("_prev", F.lag(packed).over(w)).join(tails.hint("merge"), [*by, "_blk"])
     both = F.coalesce("_prev", "_carry")
     for new in columns:
         out = out.withColumn(new, both[new])

@@ -1,70 +1,94 @@
 """Null loci that match observed ones: contiguous stretches of a background by length and score, and anchors by score.
 
-All draws are columns (``functions/draws.py``) that meet the background by equi-joins; nothing is copied to tasks, and results do
-not depend on partitions."""
+All draws repeat (``functions/draws.py``) and meet the background where its rows are; results do not depend on partitions."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandloom.functions.draws import draw
+from strandloom.functions.draws import draw, draw_array
 from strandloom.operators.bins import cumulate
 from strandloom.operators.carry import BLOCK, numbered, running, work_parts
+from strandloom.operators.stretches import FOUND, Blocks, begin, finish, met
 from strandloom.storage import settled
 
-#: Rows under one node of the tree that answers "nearest gene between two rows".
-FAN = 32
-#: Attempts of a round: most loci find their stretch in the first, the rest in few.
-ATTEMPTS = 8
+#: Rows of a block of the background: one row a block goes through the driver. A shorter run is never cut, so a block has fewer than twice as many.
+ROWS = 1 << 14
+#: Attempts of the first round; later rounds make about as many draws in all, for the loci that are left.
+ATTEMPTS = 5
+#: Draws that meet one copy of a block's rows.
+SHARE = 1 << 16
 
 
 # -- stretches of a background ---------------------------------------------------------------------------------------
-def run_index(background: DataFrame, block: int = BLOCK) -> DataFrame:
+def run_index(background: DataFrame, block: int = BLOCK, rows_in_block: int = ROWS) -> DataFrame:
     """The rows of ``background`` (run, start, end, score, gene, distance; a run's rows follow each other without gaps) numbered by
-    (run, start), with length and score * length of the scored rows summed up to this row's start (d0, w0) and end (d1, w1)."""
-    rows = numbered(background.select("run", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"), "gene", F.col("distance").cast("double").alias("distance")), ["run", "start", "end"], label="background")
+    (run, start), with length and score * length of the scored rows summed up to this row's start (d0, w0) and end (d1, w1), the number
+    of the run's last row (``close``) and a ``block``: stretches of numbers that cut only runs of ``rows_in_block`` rows or more."""
+    rows = numbered(background.select("run", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("score").cast("double").alias("score"), "gene", F.col("distance").cast("double").alias("distance")), ["run", "start", "end"], label="background").where("start is not null")
     length = F.when(F.col("score").isNotNull() & ~F.isnan("score"), F.col("end") - F.col("start"))
     weight = length * F.col("score")
     summed = running(rows, ["run"], "start", ["start", "number"], {"d1": ("sum", length), "w1": ("sum", weight)}, block=block)
     inner = {"d1": F.coalesce("d1", F.lit(0)), "w1": F.coalesce("w1", F.lit(0.0))}
     before = [(inner["d1"] - F.coalesce(length, F.lit(0))).alias("d0"), (inner["w1"] - F.coalesce(weight, F.lit(0.0))).alias("w0")]
-    return settled(summed.select("number", "run", "start", "end", "gene", "distance", *[c.alias(n) for n, c in inner.items()], *before), "runs")
-
-
-def nearest_tree(index: DataFrame, rows: int) -> list[DataFrame]:
-    """Levels of (node, kids, best): ``kids`` are the FAN entries below a node, each the least (distance, number) among its rows. The
-    lowest level's entries are rows; an entry without a distance is null."""
-    entry = F.when(F.col("distance").isNotNull() & ~F.isnan("distance"), F.struct("distance", "number"))
-    below, levels = index.select(F.col("number").alias("at"), entry.alias("best")), []
-    while True:
-        kids = F.transform(F.array_sort(F.collect_list(F.struct("at", "best"))), lambda x: x["best"])
-        level = settled(below.groupBy(F.floor(F.col("at") / FAN).alias("node")).agg(kids.alias("kids"), F.min("best").alias("best")), "nearest")
-        levels.append(level)
-        rows = math.ceil(rows / FAN)
-        if rows <= 1:
-            return levels
-        below = level.select(F.col("node").alias("at"), "best")
-
-
-def _nearest_between(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Add ``best``, the least (distance, number) of the rows ``first`` .. ``last``: at each level what lies left and right of whole
-    nodes, by two joins; the whole nodes between go to the next level."""
-    out = asked.withColumn("_a", F.col("first")).withColumn("_b", F.col("last")).withColumn("best", F.lit(None).cast(levels[0].schema["best"].dataType))
-    for level in levels:
-        left, right, there = F.floor(F.col("_a") / FAN), F.floor(F.col("_b") / FAN), F.col("_a") <= F.col("_b")
-        out = out.withColumn("_left", F.when(there, left)).withColumn("_right", F.when(there & (right > left), right))
-        out = out.join(level.select(F.col("node").alias("_left"), F.col("kids").alias("_lk")), "_left", "left").join(level.select(F.col("node").alias("_right"), F.col("kids").alias("_rk")), "_right", "left")
-        begin = F.col("_a") - F.col("_left") * FAN
-        many = F.when(F.col("_right").isNull(), F.col("_b") - F.col("_a") + 1).otherwise(FAN - begin)
-        part = lambda kids, at, n: F.array_min(F.slice(kids, at.cast("int"), n.cast("int")))
-        found = F.least("best", part(F.col("_lk"), begin + 1, many), part(F.col("_rk"), F.lit(1), F.col("_b") - F.col("_right") * FAN + 1))
-        out = out.withColumn("best", found).withColumn("_a", left + 1).withColumn("_b", F.when(there, right - 1).otherwise(F.col("_a") - 1)).drop("_left", "_right", "_lk", "_rk")
-    return out.drop("_a", "_b")
-
-
-def matched_locus_null(loci: DataFrame, background: DataFrame, n_perm: int, seed: int, tries: int = 80, cap: float | None = None, block: int = BLOCK) -> DataFrame:
+    runs = rows.groupBy("run").agg(F.min("number").alias("_open"), F.max("number").alias("close"))
+    home = F.when(F.col("close") - F.col("_open") < rows_in_block, F.col("_open")).otherwise(F.col("number"))
+    out = summed.join(runs.hint("merge"), "run")
+    return settled(out.select("number", "start", F.coalesce("end", "start").alias("end"), "gene", "distance", "close", F.floor(home / rows_in_block).cast("int").alias("block"), *[c.alias(n) for n, c in inner.items()], *before), "runs")
+
+
+def _blocks(index: DataFrame) -> tuple[int, bool, Blocks]:
+    """How many rows the background has, whether a run goes on in another block, and the blocks."""
+    nearest = F.min(F.when(F.col("distance").isNotNull() & ~F.isnan("distance"), F.struct("distance", "number")))
+    rows = index.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"), F.max_by("end", "number").alias("end"), (F.max("close") > F.max("number")).alias("cut"), nearest.alias("best")).orderBy("block").collect()
+    best = [r["best"] or (None, None) for r in rows]
+    return sum(r["n"] for r in rows), any(r["cut"] for r in rows), Blocks([r["block"] for r in rows], [r["first"] for r in rows], [r["end"] for r in rows], [x[0] for x in best], [x[1] for x in best])
+
+
+def _stream(index: DataFrame, draws: DataFrame, parts: int) -> DataFrame:
+    """Partitions of (block, part) with a block's rows and then its draws (block, part, draw)."""
+    row = F.struct("number", "start", "end", "close", "d0", "d1", "w0", "w1", "distance")
+    both = index.select("block", "part", F.lit(False).alias("drawn"), row.alias("row")).unionByName(draws.select("block", "part", F.lit(True).alias("drawn"), "draw"), allowMissingColumns=True)
+    return both.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "drawn")
+
+
+def _begun(left: DataFrame, index: DataFrame, n: int, blocks: Blocks, seed: int, attempts: range, draws: int, cap: float | None) -> DataFrame:
+    """Attempts at a stretch for every (replicate, locus, span, low, high) that is left, as far as they fit (FOUND)."""
+    spark = left.sparkSession
+    shares, parts = max(1, draws // (len(blocks.block) * SHARE)), work_parts(spark, draws)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replicate, locus = (batch[c].to_numpy().astype(np.int64) for c in ("replicate", "locus"))
+            for attempt in attempts:
+                first = draw_array(n, seed, replicate, locus, attempt)
+                part = ((replicate + locus + attempt) % shares).astype(np.int32)
+                values = [batch["locus"], batch["replicate"], pa.array(np.full(len(first), attempt, np.int32)), pa.array(first), batch["span"], batch["low"], batch["high"]]
+                made = pa.StructArray.from_arrays(values, names=["locus", "replicate", "attempt", "first", "span", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks.block[blocks.of(first)]), pa.array(part), made], names=["block", "part", "draw"])
+
+    dealt = left.where("locus is not null").repartition(parts, "replicate", "locus")
+    drawn = dealt.mapInArrow(make, "block int, part int, draw struct<locus long, replicate int, attempt int, first long, span long, low double, high double>")
+    rows = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return _stream(rows, drawn, parts).mapInArrow(lambda batches: met(batches, lambda held, asked: begin(held, asked, blocks, cap)), FOUND)
+
+
+def _finished(begun: DataFrame, index: DataFrame, cap: float | None) -> DataFrame:
+    """FOUND with the stretches that end in another block than they begin in: they meet the rows of that block."""
+    begun = settled(begun, "begun")
+    far = begun.where("block is not null")
+    asked = far.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).select("block", (F.floor(F.col("_n") / SHARE) + 1).cast("int").alias("_shares"))  # one row a block
+    draws = far.join(F.broadcast(asked), "block").select("block", F.pmod(F.col("replicate") + F.col("locus") + F.col("attempt"), "_shares").cast("int").alias("part"), F.struct(*far.columns).alias("draw"))
+    rows = index.join(F.broadcast(asked), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    ended = _stream(rows, draws, work_parts(begun.sparkSession, far.count())).mapInArrow(lambda batches: met(batches, lambda held, sent: finish(held, sent, cap)), FOUND)
+    return begun.where("block is null").unionByName(ended)
+
+
+def matched_locus_null(loci: DataFrame, background: DataFrame, n_perm: int, seed: int, tries: int = 80, cap: float | None = None, block: int = BLOCK, rows_in_block: int = ROWS) -> DataFrame:
     """For every locus (locus, span, low, high) and replicate a contiguous stretch of background rows (run, start, end, score, gene,
     distance): from a row drawn at random to the first row of its run that ends ``span`` or more after it starts, if the stretch's
     weighted mean score lies in (low, high] (null: open), and its closest gene is no farther than ``cap``. What fails is drawn
@@ -72,43 +96,34 @@ def matched_locus_null(loci: DataFrame, background: DataFrame, n_perm: int, seed
 
     Returns replicate, locus, gene, distance, mean_score, attempt: one row for each locus and replicate, with nulls where no attempt
     succeeded. ``locus`` is a whole number; a span below 1 counts as 1. A stretch without any distance has no gene and is drawn
-    again; equal distances go to the earlier row; scores that are null carry no weight. Rows and rounds are joins on row numbers
-    and on bins of coordinates: the first round of attempts does most, later ones hold the failures alone."""
-    index = run_index(background, block)
-    size = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("length")).first()
-    runs = index.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    asked = loci.select("locus", F.greatest(F.col("span").cast("long"), F.lit(1)).alias("span"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("replicate"))
-    nothing = asked.select("replicate", "locus", *[F.lit(None).cast(t).alias(c) for c, t in (("gene", index.schema["gene"].dataType), ("distance", "double"), ("mean_score", "double"), ("attempt", "int"))])
-    if not size["n"]:
+    again; equal distances go to the earlier row; scores that are null carry no weight. A draw is sent once, to the block of
+    background rows that it falls in; only in a run of ``rows_in_block`` rows or more may its stretch end in another block, and then
+    it is sent there. The first rounds of attempts do most, later ones hold the failures alone. Joins are merges of sorted rows: the
+    tables are small on disk and many times that in memory, where Spark would send them to all tasks by way of the driver."""
+    index = run_index(background, block, rows_in_block)
+    asked = settled(loci.select("locus", F.greatest(F.col("span").cast("long"), F.lit(1)).alias("span"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")), "asked")
+    replicates = F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("replicate")
+    nothing = asked.select(replicates, "locus", *[F.lit(None).cast(t).alias(c) for c, t in (("gene", index.schema["gene"].dataType), ("distance", "double"), ("mean_score", "double"), ("attempt", "int"))])
+    n, cut, blocks = _blocks(index)
+    if not n:
         return nothing
-    width = max(1, 4 * size["length"] // size["n"])
-    levels = nearest_tree(index.select("number", "distance"), runs)
-    starts = index.select("number", F.col("run").alias("_run"), F.col("start").alias("_from"), F.col("d0").alias("_d0"), F.col("w0").alias("_w0"))
-    bins = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    ends = index.select(F.col("run").alias("_run"), F.explode(bins).alias("_bin"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("number").alias("last"), "d1", "w1")
-    parts = work_parts(loci.sparkSession, asked.count() * ATTEMPTS)
-    found, left, attempt, many = None, asked, 0, ATTEMPTS
+    left, kind = asked.select(F.col("locus").cast("long").alias("locus"), "span", "low", "high", replicates), asked.schema["locus"].dataType
+    total, missing = asked.count() * n_perm, asked.where("locus is not null").select("locus").distinct().count() * n_perm
+    draws, found, attempt = ATTEMPTS * total, None, 0
     while attempt < tries:
-        many = min(many, tries - attempt)
-        dealt = left.repartition(parts, "replicate", "locus")
-        drawn = dealt.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + many - 1)))).withColumn("first", draw(size["n"], seed, F.col("replicate"), F.col("locus"), F.col("attempt")))
-        begun = drawn.join(starts.withColumnRenamed("number", "first"), "first").withColumn("_x", F.col("_from") + F.col("span")).withColumn("_bin", F.floor(F.col("_x") / width))
-        closed = begun.repartition(parts, "_run", "_bin").join(ends.repartition(parts, "_run", "_bin"), ["_run", "_bin"]).where("_s < _x and _x <= _e")
-        mean = F.try_divide(F.col("w1") - F.col("_w0"), (F.col("d1") - F.col("_d0")).cast("double"))
-        fits = (F.col("low").isNull() | (F.col("mean_score") > F.col("low"))) & (F.col("high").isNull() | (F.col("mean_score") <= F.col("high")))
-        scored = closed.withColumn("mean_score", mean).where(fits & F.col("mean_score").isNotNull()).select("replicate", "locus", "attempt", "first", "last", "mean_score")
-        near = _nearest_between(scored, levels).where("best is not null")
-        if cap is not None:
-            near = near.where(F.col("best.distance") <= cap)
-        picked = near.groupBy("replicate", "locus").agg(F.min_by(F.struct("attempt", "mean_score", "best"), "attempt").alias("p"))
-        done = settled(picked.select("replicate", "locus", F.col("p.attempt").alias("attempt"), F.col("p.mean_score").alias("mean_score"), F.col("p.best.distance").alias("distance"), F.col("p.best.number").alias("number")), "drawn")
+        many = min(max(ATTEMPTS, draws // max(1, missing)), tries - attempt)
+        near = _begun(left, index, n, blocks, seed, range(attempt, attempt + many), missing * many, cap)
+        if cut:
+            near = _finished(near, index, cap)
+        picked = near.groupBy("replicate", "locus").agg(F.min_by(F.struct("attempt", "mean_score", "distance", "number"), "attempt").alias("p"))
+        done = settled(picked.select("replicate", "locus", "p.attempt", "p.mean_score", "p.distance", "p.number"), "drawn")
         found = done if found is None else found.unionByName(done)
-        left = left.join(done.select("replicate", "locus"), ["replicate", "locus"], "left_anti")
-        attempt, many = attempt + many, 3 * many
-        if attempt < tries and not left.take(1):
+        left = left.join(done.select("replicate", "locus").hint("merge"), ["replicate", "locus"], "left_anti")
+        attempt, missing = attempt + many, missing - done.count()
+        if not missing:
             break
-    genes = found.join(index.select("number", "gene"), "number").select("replicate", "locus", "gene", "distance", "mean_score", "attempt")
-    return genes.unionByName(nothing.join(found.select("replicate", "locus"), ["replicate", "locus"], "left_anti").select(*genes.columns))
+    genes = found.join(index.select("number", "gene").hint("merge"), "number").select("replicate", F.col("locus").cast(kind).alias("locus"), "gene", "distance", "mean_score", "attempt")
+    return genes.unionByName(nothing.join(found.select("replicate", "locus").hint("merge"), ["replicate", "locus"], "left_anti").select(*genes.columns))
 
 
 # -- anchors by score ------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import draws as D
 from strandloom.operators import bins as B, carry, enrichment as E, genotypes as GT, locus_null as L, remap as R
+from strandloom.operators.stretches import Least
 
 
 def test_draws_are_the_same_in_all_engines(spark):
@@ -240,3 +241,46 @@ def test_a_gene_hit_in_many_replicates_is_a_row_a_word(spark):
     row = out.first()
     assert (row["category"], row["k"]) == ("c", 2) and abs(row["null_mean"] - k.mean()) < 1e-12 and abs(row["p"] - ((k >= 2).sum() + 1) / 131) < 1e-12
     assert "bit_or" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("rows_in_block", "share"), [(3, 1 << 16), (8, 20)])
+def test_stretches_over_several_blocks_equal_the_plain_loop(spark, monkeypatch, rows_in_block, share):
+    monkeypatch.setattr(L, "SHARE", share)
+    monkeypatch.setattr(L, "ATTEMPTS", 2)
+    rows = [(run, a, b, float("nan") if i % 37 == 0 else s, g, float("nan") if i % 41 == 0 else d) for i, (run, a, b, s, g, d) in enumerate(segments(300, 3))]
+    loci = [(1, 30, None, 4.0), (2, 500, 3.0, None), (3, 0, 2.0, 6.0), (4, 10**6, None, None), (5, 900, None, None)]
+    bg = spark.createDataFrame(rows, "run long, start long, end long, score double, gene string, distance double").repartition(3)
+    known = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in row) for row in rows]
+    for cap in (None, 1.0):
+        want = plain_null(loci, known, 12, 7, 20, cap)
+        assert sum(x[2] is not None for x in want if x[1] in (2, 5)) > 10
+        got = sorted((tuple(r) for r in L.matched_locus_null(spark.createDataFrame(loci, "locus int, span long, low double, high double"), bg, 12, 7, 20, cap, 150, rows_in_block).select("replicate", "locus", "gene", "distance", "mean_score", "attempt").collect()), key=lambda x: x[:2])
+        assert [x[:4] + x[5:] for x in got] == [x[:4] + x[5:] for x in want]
+        assert [x[4] for x in got] == [None if x[4] is None else pytest.approx(x[4]) for x in want]
+
+
+def test_matched_loci_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, kept = {}, L.settled
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(L, "settled", lambda df, label: (plans.setdefault(label, []).append(plan(df)), kept(df, label))[1])
+    bg = spark.range(400).select(F.floor(F.col("id") / 40).alias("run"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"), (F.col("id") % 9).alias("score"), F.lit("g").alias("gene"), (F.col("id") % 50).alias("distance"))
+    loci = spark.range(6).select(F.col("id").alias("locus"), F.lit(20).alias("span"), F.lit(7.0).alias("low"), F.lit(None).cast("double").alias("high"))
+    out = L.matched_locus_null(loci, bg, 3, 1)
+    assert len(plans["drawn"]) > 1 and not any("Broadcast" in p for p in [*plans["drawn"], plan(out)])
+
+
+def test_carries_are_merged(spark):
+    df = spark.range(100).select((F.col("id") % 9).alias("g"), F.col("id").alias("pos"))
+    for out in (carry.running(df, ["g"], "pos", ["pos"], {"n": ("count", F.col("pos"))}, block=10), carry.previous(df, ["g"], "pos", ["pos"], {"last": "pos"}, block=10)):
+        assert out.count() == 100 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_least_of_a_stretch_is_that_of_a_plain_search():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 33, 200):
+        values = r.integers(0, 9, n).astype(float)
+        values[r.random(n) < 0.4] = np.nan
+        low = r.integers(0, n, 300)
+        high = np.minimum(low + r.integers(0, n, 300), n - 1)
+        want = [min(((values[k], k) for k in range(a, b + 1) if not np.isnan(values[k])), default=(0, -1))[1] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        assert Least(values).place(low, high).tolist() == want

@@ -140,24 +140,24 @@ def sample_null_loci(loci: DataFrame, pool: DataFrame, n_rep: int, seed: int, to
 
     The pool is ranked once by (score, chrom, pos). A locus is an interval of ranks, found by adding its bounds to the running
     count of scores; a draw is a rank, and meets its row by an equi-join. Only a locus without an anchor looks at rows, twice
-    ``fallback`` ranks around its score."""
+    ``fallback`` ranks around its score. The joins are merges, as in ``matched_locus_null``."""
     ranked = settled(numbered(pool.where("score is not null").select("chrom", "pos", F.col("score").cast("double").alias("score")), ["score", "chrom", "pos"], "rank", "pool"), "pool")
     goal = F.col("score").cast("double")
     asked = loci.select("locus", "k", goal.alias("_goal"), (goal - tolerance).alias("_lo"), (goal + tolerance).alias("_hi"))
     edges = asked.select(F.explode(F.array("_lo", "_hi", "_goal")).alias("v")).distinct()
-    ranks = settled(_ranks_below(ranked, edges).join(edges, "v"), "ranks")
-    part = lambda c, keep, name: ranks.select(F.col("v").alias(c), F.col(keep).alias(name))
+    ranks = settled(_ranks_below(ranked, edges).join(edges.hint("merge"), "v"), "ranks")
+    part = lambda c, keep, name: ranks.select(F.col("v").alias(c), F.col(keep).alias(name)).hint("merge")
     bounded = settled(asked.join(part("_lo", "below", "_a"), "_lo").join(part("_hi", "upto", "_b"), "_hi").join(part("_goal", "below", "_c"), "_goal"), "loci")
     spans = bounded.where("_a < _b").select("locus", "k", "_a", "_b")
     lost = bounded.where("_a >= _b")
     if lost.take(1):
         near = lost.withColumn("_bin", F.explode(F.array(*[F.floor(F.col("_c") / fallback) + d for d in (-1, 0, 1)])))
-        rows = near.join(ranked.withColumn("_bin", F.floor(F.col("rank") / fallback)), "_bin").where((F.col("rank") >= F.col("_c") - fallback) & (F.col("rank") < F.col("_c") + fallback))
+        rows = near.join(ranked.withColumn("_bin", F.floor(F.col("rank") / fallback)).hint("merge"), "_bin").where((F.col("rank") >= F.col("_c") - fallback) & (F.col("rank") < F.col("_c") + fallback))
         nearest = Window.partitionBy("locus").orderBy(F.abs(F.col("score") - F.col("_goal")), F.abs(F.col("rank") - F.col("_c") + 0.5), "rank")
         close = rows.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= fallback)
         spans = spans.unionByName(close.groupBy("locus", "k").agg(F.min("rank").alias("_a"), (F.max("rank") + 1).alias("_b")))
     drawn = spans.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("rank", F.col("_a") + draw(F.col("_b") - F.col("_a"), seed, F.col("locus"), F.col("replicate")))
-    return drawn.join(ranked, "rank").select("replicate", "locus", "chrom", "pos", "k", "score")
+    return drawn.join(ranked.hint("merge"), "rank").select("replicate", "locus", "chrom", "pos", "k", "score")
 
 
 def null_locus_sites(anchors: DataFrame, pool: DataFrame) -> DataFrame:
@@ -167,8 +167,8 @@ def null_locus_sites(anchors: DataFrame, pool: DataFrame) -> DataFrame:
     Returns replicate, locus, chrom, anchor, pos, score."""
     sites = settled(numbered(pool.select("chrom", F.col("pos").cast("long").alias("pos"), F.col("score").cast("double").alias("score")), ["chrom", "pos", "score"], label="sites"), "sites")
     place = sites.groupBy("chrom", "pos").agg(F.min("number").alias("_at"))
-    around = anchors.select("replicate", "locus", "chrom", F.col("pos").cast("long").alias("anchor"), F.col("k").cast("long").alias("k")).join(place.withColumnRenamed("pos", "anchor"), ["chrom", "anchor"])
-    near = around.withColumn("number", F.explode(F.sequence(F.col("_at") - F.col("k"), F.col("_at") + F.col("k")))).withColumnRenamed("chrom", "_chrom").join(sites, "number").where(F.col("_chrom") == F.col("chrom"))
+    around = anchors.select("replicate", "locus", "chrom", F.col("pos").cast("long").alias("anchor"), F.col("k").cast("long").alias("k")).join(place.withColumnRenamed("pos", "anchor").hint("merge"), ["chrom", "anchor"])
+    near = around.withColumn("number", F.explode(F.sequence(F.col("_at") - F.col("k"), F.col("_at") + F.col("k")))).withColumnRenamed("chrom", "_chrom").join(sites.hint("merge"), "number").where(F.col("_chrom") == F.col("chrom"))
     order = Window.partitionBy("replicate", "locus").orderBy(F.abs(F.col("pos") - F.col("anchor")), "pos", "number")
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("k")).select("replicate", "locus", "chrom", "anchor", "pos", "score")
 

@@ -284,3 +284,15 @@ def test_least_of_a_stretch_is_that_of_a_plain_search():
         high = np.minimum(low + r.integers(0, n, 300), n - 1)
         want = [min(((values[k], k) for k in range(a, b + 1) if not np.isnan(values[k])), default=(0, -1))[1] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         assert Least(values).place(low, high).tolist() == want
+
+
+def test_anchors_and_their_sites_send_no_pool_through_the_driver(spark, monkeypatch):
+    plans, kept = {}, L.settled
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(L, "settled", lambda df, label: (plans.setdefault(label, []).append(plan(df)), kept(df, label))[1])
+    pool = spark.range(200).select((F.col("id") % 2).cast("string").alias("chrom"), F.col("id").alias("pos"), (F.col("id") % 90).cast("double").alias("score"))
+    loci = spark.createDataFrame([(1, 40.0, 2), (2, 5000.0, 1)], "locus long, score double, k int")
+    anchors = L.sample_null_loci(loci, pool, 4, 3, 5.0, 10)
+    own = kept(anchors, "anchors")
+    sites = L.null_locus_sites(own, pool)
+    assert sites.count() == 12 and not any("Broadcast" in p for p in (*plans["loci"], plan(anchors), plan(sites)))
